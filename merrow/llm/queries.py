@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import bpe, exact_dedup, line_dedup, packing
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 SQL = {
