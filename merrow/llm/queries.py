@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, packing
+from . import bpe, exact_dedup, line_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_quality": quality.op9_quality,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
