@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, packing, quality, toxicity
+from . import bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pii": pii.op4_pii,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_quality": quality.op9_quality,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
