@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, toxicity
+from . import ann, bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_collision_ann": ann.op2_collision_ann,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_pii": pii.op4_pii,
     "op5_toxicity": toxicity.op5_toxicity,
