@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, toxicity
+from . import ann, bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }

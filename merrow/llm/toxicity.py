@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .labelled import fit_logistic, scored, training_sample, with_labels
@@ -135,6 +136,17 @@ def score_toxicity(docs: DataFrame, model: SubwordSoftmax, threshold: float = TH
     return scored(docs, model.score, threshold)
 
 
+def keep_clean(docs: DataFrame, model: SubwordSoftmax, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores under the threshold, as they are."""
+
+    def keep(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array(model.score([t or "" for t in texts]) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = with_labels(spark, sf_dir)
     return score_toxicity(docs, fit_toxicity(docs, labels))
