@@ -52,6 +52,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 50) -
     return w
 
 
+def set_apart(labels: np.ndarray, every: int = 4) -> np.ndarray:
+    """True for every fourth row of each label: kept from training, for the curve."""
+    out = np.zeros(len(labels), bool)
+    for value in np.unique(labels):
+        out[np.flatnonzero(labels == value)[every - 1 :: every]] = True
+    return out
+
+
 def with_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
 

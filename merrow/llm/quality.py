@@ -15,7 +15,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .labelled import fit_logistic, scored, training_sample, with_labels
+from .labelled import fit_logistic, scored, set_apart, training_sample, with_labels
 
 PER_CLASS, MAX_CHARS, THRESHOLD = 2000, 20_000, 0.5
 
@@ -39,7 +39,7 @@ class CompressionQuality:
         labels = np.array([y for _, y in texts], int)
         if len(set(labels.tolist())) < 2:
             return self
-        apart = np.arange(len(texts)) % 4 == 3
+        apart = set_apart(labels)
         for kind in (1, 0):
             samples = [b for (t, y), a in zip(texts, apart, strict=True) if y == kind and not a for b in self.blocks(t)]
             self.dictionaries.append(self.trained(samples))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .labelled import fit_logistic, scored, training_sample, with_labels
+from .labelled import fit_logistic, scored, set_apart, training_sample, with_labels
 
 PER_CLASS, MAX_CHARS, THRESHOLD = 1500, 12_000, 0.7
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -68,13 +68,14 @@ class SubwordSoftmax:
         if len(set(labels.tolist())) < 2:
             return self
         rng = np.random.default_rng(self.seed)
-        apart = np.arange(len(texts)) % 4 == 3
+        apart = set_apart(labels)
         train = np.flatnonzero(~apart)
         bags = [tuple(x.astype(np.int32) for x in self.windows(texts[i][0])) for i in train]
         known = np.bincount(np.concatenate([np.unique(ids) for ids, _ in bags]), minlength=self.buckets) >= 2
         bags = [(ids[k], at[k]) for ids, at in bags for k in [known[ids]]]
         vectors = np.where(known[:, None], rng.normal(0, 0.05, (self.buckets, self.dim)), 0).astype(np.float32)
-        heads, bias = rng.normal(0, 0.5, (self.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+        # the bias is fixed: a window without evidence is clean, and clean words need not be learnt as such
+        heads, bias = rng.normal(0, 0.5, (self.dim, 2)).astype(np.float32), np.array([2, -2], np.float32)
         squares, head_squares = np.full(self.buckets, 1e-6, np.float32), np.float32(1e-4)
         y = labels[train]
         weight = len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1))
@@ -107,10 +108,11 @@ class SubwordSoftmax:
                 down = mean.T @ p
                 head_squares += (down**2).mean()
                 heads -= 0.1 * down / np.sqrt(head_squares)
-                bias -= np.float32(0.05) * p.sum(0)
         # what stays of the model for scoring: each bucket's vector through the softmax's difference
         self.table = (vectors @ (heads[:, 1] - heads[:, 0])).astype(np.float32)
-        self.curve = fit_logistic(np.array([self.evidence(texts[i][0]) for i in np.flatnonzero(apart)]), labels[apart], share)
+        known, y = [self.evidence(texts[i][0]) for i in np.flatnonzero(apart)], labels[apart]
+        blank = max(1, len(y) // 10)  # texts without evidence, so that the curve has them clean
+        self.curve = fit_logistic(np.array(known + [(0.0, 0.0, 0.0)] * blank), np.concatenate([y, np.zeros(blank, int)]), share)
         return self
 
     def evidence(self, text: str) -> tuple[float, float, float]:
