@@ -5,10 +5,14 @@ classes meet in bands of the signature. The signatures of a candidate pair are c
 them with m equal, the pair is dropped when the posterior probability of a similarity at the threshold or above
 (uniform prior) is under ``miss``. Survivors are verified on their full sets.
 
-No group is ever expanded into all its pairs. In each bucket a member meets the bucket's centre first (two rounds,
-with different centres); after each round the verified links are turned into components. Only members of a bucket
-that are still in different components meet each other, so no link that would join two components is lost; the two
-star rounds leave large groups of copies with nothing to compare.
+No group is ever expanded into all its pairs. In each bucket a member meets the bucket's centre first (rounds with
+different centres); after each round the verified links are turned into components, and only buckets that still hold
+several components go on. Before the second round the shingles of the documents in them are counted: one in which
+fewer shingles than the threshold's share occur in any other of them can have no link and goes, which is exact.
+Members of a bucket that are in different components after the last round are all compared, so no link that would
+join two components is lost: as pairs in buckets of up to ``SMALL`` members, and beyond that in blocks of ``BLOCK``
+members against blocks, each a task of its own that gives the links alone (signatures prune, then the sizes of all
+intersections of the full sets come from products of membership matrices).
 
 Defined cases: white space is ASCII; with fewer words than a shingle has, the whole sequence is one shingle; a text
 without words (or null) has an empty set, is its own component and linked with nothing; rows that share an identifier
@@ -29,6 +33,7 @@ from .common import Rolling, documents, mix64, plain_text, stored
 from .components import components
 
 ROWS, BANDS, BATCH = 4, 32, 16
+SMALL, BLOCK = 16, 256
 WHITE = np.zeros(256, bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -202,14 +207,25 @@ def near_duplicates(
 
     members = members.select("key", "id").withColumn("component", F.col("id"))
     links, labels = None, None
-    for order in (F.col("id"), F.xxhash64("id")):  # a star in each bucket, around two different centres
+    # a star in each bucket, around the smallest member, then around the one with most in common
+    for order in (F.col("id"), F.col("apart")):
         centres = members.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("centre"))
         star = members.join(centres, "key").where(F.col("component") != F.col("centre.component"))
         found = links_of(star.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")))
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        first = "apart" not in members.columns
         members = _open(members, labels)
-    rest = members.alias("x").join(members.alias("y"), "key").where("x.component < y.component")
+        if first:
+            common = stored(in_common(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "common")
+            able = common.where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", (F.col("n") - F.col("shared")).alias("apart"))
+            members = _mixed(members.join(able, "id"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    members = stored(members.join(sizes, "key"), "rest")
+    links = links.unionByName(stored(block_links(members.where(F.col("size") > SMALL), texts, shingle, percent, miss), "block-links"))
+    x, y = members.where(F.col("size") <= SMALL).alias("x"), members.alias("y")
+    near_size = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near_size)
     links = links.unionByName(links_of(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))))
     labels = components(links)
 
@@ -225,11 +241,97 @@ def near_duplicates(
     )
 
 
+def in_common(texts: DataFrame, size: int) -> DataFrame:
+    """(id, n, shared): a document's shingles, and how many of them occur in another document too."""
+    schema = pa.schema([("h", pa.int64()), ("id", pa.int64())])
+
+    def explode(batches):
+        signer = Signer(size)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = signer.shingles(text.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc_id))], schema=schema)
+
+    rows = texts.select("doc_id", "text").mapInArrow(explode, "h long, id long")
+    twice = rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", F.lit(1).alias("twice"))
+    return rows.join(twice, "h", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("twice").alias("shared"))
+
+
+def sets_of(texts: DataFrame, size: int) -> DataFrame:
+    """(id, hashes, signature): a document's full set and its minima."""
+    schema = pa.schema([("id", pa.int64()), ("hashes", pa.binary()), ("signature", pa.binary())])
+
+    def sets(batches):
+        signer = Signer(size)
+        for batch in batches:
+            made = [(i, h.tobytes(), signer.signature(h).tobytes()) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for h in [signer.shingles(t.as_py())]]
+            yield pa.RecordBatch.from_pydict({n: [m[k] for m in made] for k, n in enumerate(schema.names)}, schema=schema)
+
+    return texts.select("doc_id", "text").mapInArrow(sets, "id long, hashes binary, signature binary")
+
+
+def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of slices of the membership matrix."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column = row[several], number[column[several]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for start in range(0, int(number[-1]) + 1 if len(number) else 0, columns):
+        part = slice(*np.searchsorted(column, [start, start + columns]))
+        member = np.zeros((len(sets), columns), np.float32)
+        member[row[part], column[part] - start] = 1
+        out += member @ member.T
+    return out.astype(np.int64)
+
+
+def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """Links between components in large buckets: blocks of a bucket meet blocks, links alone come out."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    needed = least_equal(percent / 100, miss)
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = stored(sets_of(texts.join(wanted, "doc_id", "left_semi"), size), "sets")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    placed = members.select("key", "id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = placed.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def link(table: pa.Table) -> pa.Table:
+        ids, component, block = (table[c].to_numpy() for c in ("id", "component", "block"))
+        full = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(ids), -1)
+        n = np.array([len(h) for h in full])
+        alive = (component[:, None] != component) & (ids[:, None] < ids) & (100 * n[:, None] >= percent * n) & (100 * n >= percent * n[:, None])
+        if (block != block[0]).any():
+            alive &= block[:, None] != block
+        equal = np.zeros(alive.shape, np.int16)
+        for k, least in enumerate(needed):
+            for column in range(k * BATCH, (k + 1) * BATCH):
+                equal += signature[:, column, None] == signature[:, column]
+            alive &= equal >= least
+        some = np.flatnonzero(alive.any(1) | alive.any(0))
+        if not len(some):
+            return schema.empty_table()
+        both = intersections([full[i] for i in some])
+        m = n[some]
+        i, j = np.nonzero(alive[np.ix_(some, some)] & (100 * both >= percent * (m[:, None] + m - both)))
+        return pa.Table.from_arrays([pa.array(ids[some][i]), pa.array(ids[some][j])], schema=schema)
+
+    return met.join(sets, "id").groupBy("key", "low", "high").applyInArrow(link, "a long, b long").distinct()
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with their new components, in the buckets that hold more than one component."""
-    now = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stored(now.join(mixed, "key"), "open")
+    now = members.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return _mixed(now)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return stored(members.join(mixed, "key"), "open")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
