@@ -19,7 +19,7 @@ def k_core(df: DataFrame, k_user: int, k_item: int, most: int = 20, user: str =
     for _ in range(most):
         users = now.groupBy(user).agg(F.count("*").alias("_n")).where(F.col("_n") >= k_user).select(user)
         items = now.groupBy(item).agg(F.count("*").alias("_n")).where(F.col("_n") >= k_item).select(item)
-        now = stored(now.join(users, user, "left_semi").join(items, item, "left_semi"), "kcore")
+        now = stored(now.join(users, user, "left_semi").join(items, item, "left_semi").select(*now.columns), "kcore")
         after = now.count()
         if after == before:
             return now
@@ -38,7 +38,7 @@ def k_core_pairs(df: DataFrame, k_user: int, k_item: int, most: int = 20, user:
         before = (row.u, row.i)
         users = now.groupBy(user).agg(F.count("*").alias("_n")).where(F.col("_n") >= k_user).select(user)
         items = now.groupBy(item).agg(F.count("*").alias("_n")).where(F.col("_n") >= k_item).select(item)
-        now = stored(now.join(users, user, "left_semi").join(items, item, "left_semi"), "kcore")
+        now = stored(now.join(users, user, "left_semi").join(items, item, "left_semi").select(*now.columns), "kcore")
     raise RuntimeError(f"k-core not converged after {most} rounds")
 
 
