@@ -26,3 +26,26 @@ def verify_chain(manifests: Sequence[DataFrame]) -> DataFrame:
     rows = reduce(DataFrame.unionByName, [m.withColumn("position", F.lit(i)) for i, m in enumerate(manifests)])
     before = F.lag("output").over(Window.orderBy("position"))  # a row for each stage
     return rows.withColumn("linked", F.coalesce(F.col("input") == before, F.col("position") == 0)).select("position", "stage", "input_rows", "output_rows", "linked")
+
+
+def save_model(model: DataFrame, path: str, settings: dict[str, str]) -> None:
+    """A model table and, beside it, one row with its settings, row count and fingerprint."""
+    model.write.mode("errorifexists").parquet(f"{path}/rows")
+    facts = fingerprint(model.sparkSession.read.parquet(f"{path}/rows"))
+    facts.withColumn("settings", F.create_map(*[F.lit(x) for pair in sorted(settings.items()) for x in pair])).write.parquet(f"{path}/facts")
+
+
+def load_model(spark, path: str, settings: dict[str, str]) -> DataFrame:
+    """The table, if settings, row count and fingerprint are what was saved; else ValueError."""
+    model, facts = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/facts").first()
+    now = fingerprint(model).first()
+    if facts.settings != settings or (facts.rows, facts.hash_sum, facts.hash_xor) != (now.rows, now.hash_sum, now.hash_xor):
+        raise ValueError(f"the model in {path} is not the one asked for")
+    return model
+
+
+def write_report(report: DataFrame, path: str, kinds: Sequence[str] = ("csv", "json")) -> None:
+    """A report of bounded size in one file of each kind; failures are just a filtered report."""
+    for kind in kinds:
+        writer = report.coalesce(1).write.mode("errorifexists")
+        (writer.option("header", True).csv if kind == "csv" else writer.json)(f"{path}/{kind}")
