@@ -335,4 +335,4 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80)
+    return near_duplicates(documents(spark, sf_dir), shingle=4, percent=80).drop("class_id")
