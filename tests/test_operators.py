@@ -253,6 +253,22 @@ def test_reviews_and_splits_round_trip(spark, tmp_path):
         src.merge_domains([df])
 
 
+def test_metadata_of_kept_items_only(spark, tmp_path):
+    for domain, ids_ in (("A", ["x", "y"]), ("B", ["x"])):
+        (tmp_path / f"{domain}.jsonl").write_text("\n".join(json.dumps({"parent_asin": i, "title": f"{domain}{i}", "price": "3", "categories": ["c"], "extra": 1}) for i in ids_))
+    keep = spark.createDataFrame([("x", "A"), ("x", "A"), ("x", "B")], "parent_asin string, domain string")
+    files = {d: str(tmp_path / f"{d}.jsonl") for d in "AB"}
+    assert src.read_metadata(spark, files).count() == 3
+    assert rows(src.read_metadata(spark, files, keep).select("domain", "parent_asin", "title")) == [("A", "x", "Ax"), ("B", "x", "Bx")]
+
+
+def test_model_round_trip_is_checked(spark, pairs, tmp_path):
+    provenance.save_model(pairs, str(tmp_path / "m"), {"k": "2"})
+    assert rows(provenance.load_model(spark, str(tmp_path / "m"), {"k": "2"})) == rows(pairs)
+    with pytest.raises(ValueError):
+        provenance.load_model(spark, str(tmp_path / "m"), {"k": "3"})
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(7)
     data = [(f"u{rng.randrange(5)}", f"i{rng.randrange(4)}", rng.choice([1, 5, 9]), 10**12 + rng.randrange(6), i) for i in range(80)]
