@@ -227,7 +227,8 @@ def c03_profile_snapshot(v):
 @query(f"""{duck('v_thin7', 'v_thin13')} SELECT CAST(coalesce(sum(greatest(w - coalesce(h, 0), 0)), 0) AS BIGINT) AS extra_rows, coalesce(sum(greatest(w - coalesce(h, 0), 0)), 0) = 0 AS ok
 FROM (SELECT user_id, parent_asin, count(*) AS w FROM v_thin13 GROUP BY ALL) LEFT JOIN (SELECT user_id, parent_asin, count(*) AS h FROM v_thin7 GROUP BY ALL) USING (user_id, parent_asin)""")
 def c04_core_is_subset(v):
-    return leakage.check_subset(v.v_thin7, v.v_thin13, ["user_id", "parent_asin"])
+    core = kcore.k_core(v.v_interactions, 3, 3) if v.whole else v.v_thin13
+    return leakage.check_subset(v.v_thin7, core, ["user_id", "parent_asin"])
 
 
 @query(duck("v_split") + " SELECT max(ts) FILTER (WHERE split = 'train') AS fit_max, min(ts) FILTER (WHERE split = 'validation') AS target_min, max(ts) FILTER (WHERE split = 'train') < min(ts) FILTER (WHERE split = 'validation') AND min(ts) FILTER (WHERE split = 'train') > 0 AS ok FROM v_split")

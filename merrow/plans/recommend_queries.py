@@ -1,4 +1,4 @@
-"""Queries of collaborative filtering, list fusion and ranking evaluation, over the thinned events and their split."""
+"""Queries of collaborative filtering, list fusion and ranking evaluation, over the events and their split (thinned where SQL checks)."""
 
 from __future__ import annotations
 

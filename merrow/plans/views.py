@@ -59,14 +59,16 @@ FROM {v_tool_log} GROUP BY request_id, agent, kind, user_id""",
 
 
 class Views:
-    """The tables below ``sf_dir`` and the views over them, as DataFrames."""
+    """The tables below ``sf_dir`` and the views over them, as DataFrames; if ``whole``, the thinned views have all events."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True) -> None:
+        self.spark, self.dir, self.whole, self._made = spark, sf_dir, whole, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES and name not in VIEWS:
             raise AttributeError(name)
+        if self.whole and name in ("v_thin7", "v_thin13"):
+            return self.v_interactions
         if name not in self._made:
             if name in TABLES:
                 self._made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -76,7 +78,7 @@ class Views:
         return self._made[name]
 
     def split(self) -> DataFrame:
-        """The thinned events with their split."""
+        """The events with their split; thinned ones, if not ``whole``."""
         return temporal_split(self.v_thin7)
 
 
