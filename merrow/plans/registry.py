@@ -12,8 +12,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-#: What SQL reads that checks an operator on thinned events only.
-THINNED = ("v_thin7", "v_thin13")
+#: Marks of SQL that checks an operator on a part only: thinned events, the first words of a query.
+PARTS = ("v_thin7", "v_thin13", "[1:5]")
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -22,7 +22,7 @@ def query(sql: str | None = None, name: str | None = None):
     Where that statement reads only a part of the input, the name is the checked part, and NAME_whole does the same
     over the whole input. A query without SQL reads the whole.
     """
-    part = any(mark in (sql or "") for mark in THINNED)
+    part = any(mark in (sql or "") for mark in PARTS)
 
     def put(f: Callable[[Views], DataFrame]):
         key = name or f.__name__

@@ -45,8 +45,9 @@ def f04_postings_stemmed(v):
 
 
 def bench_queries(v):
-    """The first five words of each benchmark text, by item."""
-    return v.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.slice(text.index_tokens("text"), 1, 5)).alias("token")).distinct()
+    """The distinct words of each benchmark text, by item; of its first five, if not ``whole``."""
+    words = text.index_tokens("text")
+    return v.benchmark.select(F.col("item_id").alias("query_id"), F.explode(words if v.whole else F.slice(words, 1, 5)).alias("token")).distinct()
 
 
 BM25_SQL = (

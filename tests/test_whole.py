@@ -34,3 +34,16 @@ def test_pairs_and_queries_without_sql_see_all_events(spark, train):
     found = __spark_entry__.queries()
     assert found["h01_binary_pairs_whole"](spark, DIR).count() == train[3]
     assert found["h22_bpr_fit"](spark, DIR).count() == train[2]
+
+
+def test_search_scores_every_word_of_the_query(spark):
+    found = __spark_entry__.queries()["f05_bm25_search_whole"](spark, DIR)
+    with duckdb.connect() as con:
+        for table in ("documents", "benchmark"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
+        sql = registry.SQL["f05_bm25_search"]
+        assert sql.count("[1:5]") == 1
+        expected = {(q, i): (s, r) for q, i, s, r in con.sql(sql.replace("[1:5]", "")).fetchall()}
+    got = {(r.query_id, r.id): (r.score, r["rank"]) for r in found.collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k][0] - expected[k][0]) < 2e-6 and got[k][1] == expected[k][1] for k in got)
