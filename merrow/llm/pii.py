@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,8 +89,7 @@ NUMBER_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five si
 
 _NUMBER = "(?:" + "|".join(NUMBER_WORDS) + ")"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-FOREIGN = " ­Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९ -⿿　﹐-﹯﻿＀-￯\U0001d400-\U0001d7ff"
-TRIGGER = re.compile(rf"[{FOREIGN}]|\b(?i:dot|{_NUMBER[3:-1]})\b|{_OPEN}\s?(?i:at|dot|@|\.)\s?{_CLOSE}")
+TRIGGER = re.compile(rf"\b(?i:dot|{_NUMBER[3:-1]})\b|\b(?i:plus)\s[0-9(]|{_OPEN}\s?(?i:at|dot|@|\.)\s?{_CLOSE}")  # every match of REWRITE has one
 REWRITE = re.compile(
     rf"(?P<at>\s?{_OPEN}\s?(?i:at|@)\s?{_CLOSE}\s?|(?<=[A-Za-z0-9])\s(?i:at)\s(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:\s(?i:dot)\s|\s?{_OPEN}\s?(?i:dot|\.)\s?{_CLOSE}\s?)[A-Za-z0-9]))"
     rf"|(?P<dot>\s?{_OPEN}\s?(?i:dot|\.)\s?{_CLOSE}\s?|(?<=[A-Za-z0-9])\s(?i:dot)\s(?=[A-Za-z0-9]))"
@@ -98,24 +98,34 @@ REWRITE = re.compile(
 )
 
 
-def folded(text: str) -> tuple[str, list[int] | None]:
-    """Look-alikes and compatibility forms as ASCII, invisible characters gone; source positions if any character went."""
+@cache
+def fold(c: str) -> str:
+    """A character beyond ASCII as what it looks like: an ASCII character, nothing if invisible, or itself."""
+    if c in INVISIBLE:
+        return ""
+    if c in LOOK_ALIKE:
+        return LOOK_ALIKE[c]
+    digit = unicodedata.decimal(c, None)
+    plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
+    return plain if len(plain) == 1 and plain.isascii() else c
+
+
+def folded(text: str) -> tuple[str, list[int]]:
+    """Look-alikes and compatibility forms as ASCII, invisible characters gone; the source position of each character."""
     out, kept = [], []
     for i, c in enumerate(text):
-        if c < "\x80":
-            out.append(c)
-        elif c in INVISIBLE:
-            continue
-        elif c in LOOK_ALIKE:
-            out.append(LOOK_ALIKE[c])
-        else:
-            digit = unicodedata.decimal(c, None)
-            plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
-            out.append(plain if len(plain) == 1 and plain.isascii() else c)
-        kept.append(i)
+        plain = c if c < "\x80" else fold(c)
+        if plain:
+            out.append(plain)
+            kept.append(i)
     return "".join(out), kept
 
 
+def disguised(text: str) -> bool:
+    """Whether ``rewritten`` may change the text."""
+    return not text.isascii() and any(c >= "\x80" and fold(c) != c for c in set(text)) or bool(TRIGGER.search(text))
+
+
 def rewritten(text: str) -> tuple[str, list[int], list[int], list[int]]:
     """The text without disguises; for each of its characters the source start, the source end, and changes before it."""
     plain, source = folded(text)
@@ -142,11 +152,8 @@ def rewritten(text: str) -> tuple[str, list[int], list[int], list[int]]:
     return "".join(out), starts, ends, changed
 
 
-def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(base, added) spans of a text."""
-    base = identifiers(text)
-    if not TRIGGER.search(text):
-        return base, []
+def added_spans(text: str, base: list[Span]) -> list[Span]:
+    """What the rewritten text has beyond the base spans, by source ranges."""
     plain, starts, ends, changed = rewritten(text)
     added = []
     for kind, a, b in identifiers(plain):
@@ -154,7 +161,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
             start, end = starts[a], ends[b - 1]
             if all(k != kind or end <= s or e <= start for k, s, e in base):
                 added.append((kind, start, end))
-    return base, added
+    return added
+
+
+def all_spans(text: str) -> tuple[list[Span], list[Span]]:
+    """(base, added) spans of a text."""
+    base = identifiers(text)
+    return base, added_spans(text, base) if disguised(text) else []
 
 
 def written(spans: list[Span]) -> str:
