@@ -16,13 +16,23 @@ from .views import Views
 
 
 def events_stream(v: Views):
-    """The events table as a stream: written as slices by time, of which each trigger reads one."""
+    """The events table as a stream: slices by time, of which each trigger reads one file.
+
+    Triggers take files by modification time and, where those are equal, in no order of ours; ``delay_of`` is a
+    watermark delay that makes the order irrelevant.
+    """
     source = scratch(v)
     v.events.repartitionByRange(4, "ts").write.parquet(source)
     stream = v.spark.readStream.schema(v.events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     return stream.withColumn("event_time", F.to_utc_timestamp(F.col("ts").cast("string"), "UTC"))
 
 
+def delay_of(v: Views) -> str:
+    """A watermark delay over the measured span of the events: no row is late, whatever slice comes first."""
+    first, last = v.events.agg(F.min("ts"), F.max("ts")).first()
+    return f"{(last - first).days + 2 if first else 1} days"
+
+
 def scratch(v: Views) -> str:
     return f"{shared_folder(v.spark)}/merrow-stream-{uuid.uuid4().hex}"
 
@@ -73,7 +83,7 @@ def s03_stream_first_seen(v):
 
 @query()
 def s04_stream_sessions(v):
-    return jobs.run_once(jobs.stream_sessions(events_stream(v), "2 hours"), "complete", scratch(v))
+    return jobs.run_once(jobs.stream_sessions(events_stream(v), "2 hours", delay=delay_of(v)), "complete", scratch(v))
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type AS tool, count(*) AS calls, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END::DOUBLE AS error_share FROM events GROUP BY 1, 2")
@@ -86,4 +96,4 @@ def s05_stream_tool_log(v):
 @query()
 def s01_stream_clean(v):
     rows = events_stream(v).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"), F.col("event_type").alias("parent_asin"), (1 + F.col("event_id") % 7).alias("rating"), (1_704_067_200_000 + F.col("event_id") % 5000).alias("ts"), "event_time")
-    return jobs.run_once(jobs.stream_clean(rows, delay="60 days"), "append", scratch(v))
+    return jobs.run_once(jobs.stream_clean(rows, delay=delay_of(v)), "append", scratch(v))
