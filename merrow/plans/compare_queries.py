@@ -47,7 +47,7 @@ p AS (SELECT policy, round(avg(hits * 1.0 / n), 6) AS macro_recall, round(avg(CA
 SELECT policy, round(macro_recall - bm, 6) AS gain, hit_rate >= 0.9 * bh AS guards_kept, macro_recall - bm >= 0.001 AND hit_rate >= 0.9 * bh AND policy <> 'popular' AS accepted FROM p CROSS JOIN b""")
 def k24_policy_guardrails(v):
     w = World(v)
-    by_policy = metrics.retrieval_metrics(w.lists(), w.targets, 2000, ["source"]).withColumnRenamed("source", "policy")
+    by_policy = metrics.retrieval_metrics(w.lists(), w.targets, v.n_items(), ["source"]).withColumnRenamed("source", "policy")
     return compare.policy_guardrails(by_policy, "popular", "macro_recall", 0.001, {"hit_rate": 0.9})
 
 
@@ -57,7 +57,7 @@ SELECT source, count(*) AS users, round(avg(hits * 1.0 / n), 6) AS macro_recall,
 def k26_outside_core_eval(v):
     w = World(v)
     core = w.pairs.groupBy("item").agg(F.count("*").alias("n")).where("n >= 5")
-    return compare.outside_core_eval(w.lists(), w.targets, core, 2000)
+    return compare.outside_core_eval(w.lists(), w.targets, core, v.n_items())
 
 
 @query(BASE + NDCG + ", b AS (SELECT ndcg, recall, CASE WHEN history_size = 0 THEN '0' WHEN history_size <= 4 THEN '1-4' WHEN history_size <= 9 THEN '5-9' ELSE '10+' END AS bucket FROM mt JOIN ch USING (user_id)) SELECT 'cf' AS variant, bucket, count(*) AS users, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM (SELECT * FROM b UNION ALL SELECT ndcg, recall, 'all' FROM b) GROUP BY 2")

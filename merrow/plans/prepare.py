@@ -28,9 +28,11 @@ def a05_tag_domain(v):
     return src.tag_domain(bare).select("user_id", "original_item_id", "parent_asin", "domain", "ts")
 
 
-@query(duck("v_interactions") + " SELECT user_id, parent_asin, domain, ts FROM v_interactions WHERE domain IN ('PROMO', 'SMALL') UNION ALL SELECT user_id, parent_asin, domain, ts FROM v_interactions WHERE domain = 'LARGE'")
+@query(duck("v_interactions") + " SELECT user_id, parent_asin, domain, ts FROM v_interactions WHERE domain IN ('PROMO', 'SMALL') UNION ALL SELECT user_id, parent_asin, domain, ts FROM v_interactions WHERE domain = 'LARGE'", part=True)
 def a06_merge_domains(v):
     rows = v.v_interactions.select("user_id", "parent_asin", "domain", "ts")
+    if v.whole:
+        return src.merge_domains([rows.where(F.col("domain").eqNullSafe(r.domain)) for r in rows.select("domain").distinct().orderBy("domain").collect()])  # one row a domain
     return src.merge_domains([rows.where(F.col("domain").isin("PROMO", "SMALL")), rows.where("domain = 'LARGE'")])
 
 
@@ -240,7 +242,7 @@ def c05_evaluation_protocol(v):
 SELECT split, count(*) AS rows, min(ts) AS min_ts, max(ts) AS max_ts, max(user_idx) AS max_user, max(item_idx) AS max_item, count(*) FILTER (WHERE user_idx NOT BETWEEN 0 AND 1399 OR item_idx NOT BETWEEN 0 AND 1999) AS out_of_range FROM x GROUP BY split""")
 def c06_split_audit(v):
     rows = v.split().select("split", "ts", F.col("l_partkey").alias("item_idx"), F.expr("cast(substr(user_id, 2) as long)").alias("user_idx"))
-    return leakage.audit_splits(rows, 1400, 2000)
+    return leakage.audit_splits(rows, v.n_users(), v.n_items())
 
 
 @query(duck("v_thin13", "v_items") + """ SELECT (SELECT count(*) FROM v_thin13) AS events, (SELECT count(*) FROM (SELECT DISTINCT user_id, parent_asin FROM v_thin13)) AS pairs,

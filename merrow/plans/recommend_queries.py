@@ -44,6 +44,7 @@ class World:
         self.pairs = cf.pairs_of(self.train)
         self.history = self.pairs.join(self.users, "user_id", "left_semi")
         self.pop = cf.popularity(self.train)
+        self.n_items = v.n_items
         self.cohort = split.cohort(self.train, rows.where("split = 'validation'"), item="item")
 
     def sim(self):
@@ -205,7 +206,7 @@ CANDIDATES = ", cd AS (SELECT DISTINCT user_id, (item + 3) % 2000 AS item FROM h
 
 
 def candidates_of(w):
-    return w.history.select("user_id", ((F.col("item") + 3) % 2000).alias("item")).distinct()
+    return w.history.select("user_id", ((F.col("item") + 3) % w.n_items()).alias("item")).distinct()
 
 
 @query(BASE + CANDIDATES + " SELECT user_id, item, round(CASE WHEN pop IS NULL THEN 0 ELSE coalesce(score, 0) + 0.000001 * pop / (SELECT max(pop) FROM pop) END, 9) AS score FROM cd LEFT JOIN sc USING (user_id, item) LEFT JOIN pop USING (item)")
@@ -233,7 +234,7 @@ rk AS (SELECT user_id, item, pos, score, coalesce(s, CASE WHEN r <= 10 THEN 'ran
 
 
 def ranked_of(w):
-    rows = w.scores().select("user_id", "item").union(w.history).union(w.history.select("user_id", (F.col("item") + 3) % 2000)).distinct()
+    rows = w.scores().select("user_id", "item").union(w.history).union(w.history.select("user_id", (F.col("item") + 3) % w.n_items())).distinct()
     rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("item")))
     visible = rows.select("item").distinct().where("item % 5 <> 0").withColumn("domain", F.lit("D"))
     return cf.rank_candidates(rows, w.scores(), visible, w.history, 10)
@@ -354,7 +355,7 @@ SELECT source, count(*) AS users, round(avg(hits * 1.0 / n), 6) AS macro_recall,
 round((SELECT count(DISTINCT item) FROM ls WHERE ls.source = g.source) / 2000.0, 6) AS catalog_share FROM g GROUP BY source""")
 def k13_retrieval_metrics(v):
     w = World(v)
-    return metrics.retrieval_metrics(w.lists(), w.targets, 2000, ["source"])
+    return metrics.retrieval_metrics(w.lists(), w.targets, v.n_items(), ["source"])
 
 
 @query(BASE + """, x AS (SELECT CASE WHEN item IN (SELECT item FROM pr) THEN 'warm' ELSE 'cold' END AS familiarity, user_id, item, (user_id, item) IN (SELECT user_id, item FROM tk) AS hit FROM tg), g AS (SELECT familiarity, user_id, count(*) AS n, count(*) FILTER (WHERE hit) AS hits FROM x GROUP BY 1, 2)

@@ -16,13 +16,13 @@ SQL: dict[str, str] = {}
 PARTS = ("v_thin7", "v_thin13", "[1:5]")
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None, part: bool = False):
     """Registers f(views) -> DataFrame under its name; ``sql`` is the equivalent DuckDB statement.
 
-    Where that statement reads only a part of the input, the name is the checked part, and NAME_whole does the same
+    Where that statement reads only a part of the input (``part``, or by its marks), the name is the checked part, and NAME_whole does the same
     over the whole input. A query without SQL reads the whole.
     """
-    part = any(mark in (sql or "") for mark in PARTS)
+    part = part or any(mark in (sql or "") for mark in PARTS)
 
     def put(f: Callable[[Views], DataFrame]):
         key = name or f.__name__

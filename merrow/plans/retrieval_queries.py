@@ -11,9 +11,10 @@ from .registry import query
 from .views import duck
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'))) AS n_distinct FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'))) AS n_distinct FROM documents WHERE lang = 'en'", part=True)
 def f03_tokenize_ascii(v):
-    tokens = v.documents.where("lang = 'en'").select("doc_id", text.tokenize_ascii("text").alias("t"))
+    docs = v.documents if v.whole else v.documents.where("lang = 'en'")
+    tokens = docs.select("doc_id", text.tokenize_ascii("text").alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 

@@ -77,6 +77,14 @@ class Views:
                 self._made[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in set(re.findall(r"\{(\w+)\}", sql))})
         return self._made[name]
 
+    def n_items(self) -> int:
+        """Items of the catalog; 2000, those of sf0.01 that the SQL names, if not ``whole``."""
+        return self.part.count() if self.whole else 2000
+
+    def n_users(self) -> int:
+        """Users of the customer table; 1400, the bound that the SQL names, if not ``whole``."""
+        return self.customer.count() if self.whole else 1400
+
     def split(self) -> DataFrame:
         """The events with their split; thinned ones, if not ``whole``."""
         return temporal_split(self.v_thin7)

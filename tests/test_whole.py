@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from merrow.plans import registry
+from merrow.plans.views import Views
 
 DIR = "/root/testdata/sf0.001"
 
@@ -47,3 +48,25 @@ def test_search_scores_every_word_of_the_query(spark):
     got = {(r.query_id, r.id): (r.score, r["rank"]) for r in found.collect()}
     assert got.keys() == expected.keys()
     assert all(abs(got[k][0] - expected[k][0]) < 2e-6 and got[k][1] == expected[k][1] for k in got)
+
+
+def test_every_domain_and_every_document(spark):
+    found = __spark_entry__.queries()
+    events = duckdb.sql(f"SELECT p_type, count(*) FROM '{DIR}/lineitem.parquet' JOIN '{DIR}/orders.parquet' ON o_orderkey = l_orderkey JOIN '{DIR}/part.parquet' ON p_partkey = l_partkey GROUP BY 1").fetchall()
+    merged = found["a06_merge_domains_whole"](spark, DIR).groupBy("domain").count().collect()
+    assert sorted(map(tuple, merged)) == sorted(events)
+    assert found["f03_tokenize_ascii_whole"](spark, DIR).count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
+
+
+def test_sizes_come_from_the_tables(spark):
+    found = __spark_entry__.queries()
+    assert found["h17_score_candidates_whole"](spark, DIR).agg(F.max("item")).first()[0] < 200
+    audit = found["c06_split_audit_whole"](spark, DIR)
+    assert {r.out_of_range for r in audit.collect()} == {0}
+    assert found["k13_retrieval_metrics_whole"](spark, DIR).where("source = 'cf'").first().catalog_share > 0.2
+
+
+@pytest.mark.parametrize(("whole", "sizes"), [(True, (150, 200)), (False, (1400, 2000))])
+def test_sizes(spark, whole, sizes):
+    v = Views(spark, DIR, whole)
+    assert (v.n_users(), v.n_items()) == sizes
