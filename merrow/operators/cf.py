@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGITS = 9
+DIGITS, SHORT = 9, 20_000
 
 
 def pairs_of(df: DataFrame, user: str = "user_id", item: str = "item") -> DataFrame:
@@ -60,17 +60,22 @@ def top_neighbors(sim: DataFrame, k: int = 20) -> DataFrame:
     return sim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def exact_sum(sim: str = "sim") -> Column:
+    """A sum of similarities at six digits, by way of integers: the same in whatever order it is taken."""
+    return F.expr(f"(sum(cast(round({sim} * 1e9) as bigint)) + 500) div 1000") / 1e6
+
+
 def knn_scores(history: DataFrame, sim: DataFrame, orientation: str = "runtime") -> DataFrame:
     """runtime: i among the neighbours of the history's items; matrix: the history's items among the neighbours of i."""
     at, to = ("item", "neighbor") if orientation == "runtime" else ("neighbor", "item")
     rows = sim.select(F.col(at).alias("_j"), F.col(to).alias("_i"), "sim")
     found = history.join(rows, history.item == rows["_j"])
-    return found.groupBy("user_id", F.col("_i").alias("item")).agg(F.round(F.sum("sim"), 6).alias("score"))
+    return found.groupBy("user_id", F.col("_i").alias("item")).agg(exact_sum().alias("score"))
 
 
 def similar_items(sim: DataFrame, seeds: DataFrame, k: int, domains: DataFrame | None = None) -> DataFrame:
     """seeds (request_id, item): summed rows of the seeds, without them, restricted by domains (request_id, item) before the cut."""
-    rows = seeds.join(sim, "item").groupBy("request_id", F.col("neighbor").alias("item")).agg(F.round(F.sum("sim"), 6).alias("score"))
+    rows = seeds.join(sim, "item").groupBy("request_id", F.col("neighbor").alias("item")).agg(exact_sum().alias("score"))
     rows = rows.join(seeds, ["request_id", "item"], "left_anti")
     if domains is not None:
         rows = rows.join(domains, ["request_id", "item"], "left_semi")
@@ -96,11 +101,16 @@ def filled(lists: DataFrame, users: DataFrame, seen: DataFrame, order: DataFrame
     """lists (user_id, item, rank) filled up to k from order (kind, place, item); users (user_id, kind).
 
     A user needs at most k plus the number of seen and listed items of its order, so only those places are looked at.
+    All users look at the first places: up to ``SHORT`` of them are broadcast, more are joined by shuffle, where
+    adaptive execution splits a place that many users share.
     """
     n_seen = seen.groupBy("user_id").agg(F.count("*").alias("n_seen"))
     n_have = lists.groupBy("user_id").agg(F.count("*").alias("n_have"))
     need = users.join(n_seen, "user_id", "left").join(n_have, "user_id", "left").na.fill(0, ["n_seen", "n_have"])
     places = need.where(F.col("n_have") < k).select("user_id", "kind", "n_have", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_seen") + F.col("n_have") + k - 1)).alias("place"))
+    most = need.agg(F.max(F.col("n_seen") + F.col("n_have"))).first()[0] or 0
+    order = order.where(F.col("place") < most + k)
+    order = F.broadcast(order) if most + k <= SHORT else order
     spare = places.join(order, ["kind", "place"]).join(seen, ["user_id", "item"], "left_anti").join(lists.select("user_id", "item"), ["user_id", "item"], "left_anti")
     by_place = Window.partitionBy("user_id").orderBy("place")
     more = spare.withColumn("rank", F.row_number().over(by_place) + F.col("n_have")).where(F.col("rank") <= k)

@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merrow.functions.storage import stored
+
 
 def temporal_cutoffs(df: DataFrame, ratios: tuple[float, float] = (0.8, 0.1), ts: str = "ts") -> tuple[int, int]:
     """Times at the ranks int(n * r) - 1 of the sorted times, without interpolation.
 
-    Counts by time and day come first: the running sum is over days, then within the day that holds the rank.
+    Events are counted by time and the counts are written, one row a time. Running sums then go over days, over the
+    seconds of the day that holds the rank and over the milliseconds of that second, so no window has more rows
+    than there are days, or 86,400.
     """
-    day = 86_400_000
-    times = df.groupBy(ts).agg(F.count("*").alias("n"))
-    days = times.groupBy(F.floor(F.col(ts) / day).cast("long").alias("day")).agg(F.sum("n").alias("n"))
-    total = days.agg(F.sum("n").alias("n")).first().n or 0
+    times = stored(df.groupBy(F.col(ts).cast("long").alias("t")).agg(F.count("*").alias("n")), "times")
+    total = times.agg(F.sum("n").alias("n")).first().n or 0
     if not total:
         raise ValueError("no events to split")
-    running = days.select("day", F.sum("n").over(Window.orderBy("day")).alias("upto"), "n")  # a row for each day
     out = []
     for share in (ratios[0], ratios[0] + ratios[1]):
-        rank = min(max(int(total * share) - 1, 0), total - 1)
-        at = running.where(F.col("upto") > rank).orderBy("day").first()
-        inside = times.where(F.floor(F.col(ts) / day) == at.day)
-        upto = inside.select(ts, F.sum("n").over(Window.orderBy(ts)).alias("upto"))  # times within one day
-        out.append(upto.where(F.col("upto") > rank - (at.upto - at.n)).orderBy(ts).first()[ts])
+        rank, inside, at = min(max(int(total * share) - 1, 0), total - 1), times, None
+        for unit in (86_400_000, 1000, 1):
+            steps = inside.groupBy(F.floor(F.col("t") / unit).cast("long").alias("step")).agg(F.sum("n").alias("n"))
+            upto = steps.select("step", "n", F.sum("n").over(Window.orderBy("step")).alias("upto"))
+            at = upto.where(F.col("upto") > rank).orderBy("step").first()
+            rank -= at.upto - at.n
+            inside = inside.where((F.col("t") >= at.step * unit) & (F.col("t") < (at.step + 1) * unit))
+        out.append(at.step)
     return out[0], out[1]
 
 

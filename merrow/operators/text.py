@@ -90,8 +90,10 @@ def bm25(postings: DataFrame, queries: DataFrame, visible: DataFrame | None = No
     """
     rows = postings if visible is None else postings.join(visible.select("id").distinct(), "id", "left_semi")
     size = rows.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    asked = queries.select("query_id", "token").distinct()
+    rows = rows.join(asked.select("token").distinct(), "token", "left_semi")
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
-    wanted = queries.select("query_id", "token").distinct().join(df, "token")
+    wanted = asked.join(df, "token")
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(FLOOR))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     hits = rows.join(wanted, "token").crossJoin(size)  # one row of statistics

@@ -29,7 +29,7 @@ def meta(v):
 
 
 def asof_items(v):
-    return items(v).join(src.first_seen(v.v_thin13).withColumnRenamed("parent_asin", "item_id"), "item_id", "left")
+    return items(v).join(src.first_seen(v.v_interactions).withColumnRenamed("parent_asin", "item_id"), "item_id", "left")
 
 
 @query(META_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY domain, asin ORDER BY (CASE WHEN title IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN store IS NOT NULL THEN 1 ELSE 0 END) + (CASE WHEN price IS NOT NULL THEN 1 ELSE 0 END) DESC, copy_no, seq) AS rn FROM m)
@@ -49,11 +49,11 @@ def b20_normalize_categories(v):
     return dirty.select("item_id", F.array_join(catalog.normalized_categories("c"), "|").alias("categories"))
 
 
-@query(duck("v_items", "v_thin13") + """, i AS (SELECT item_id, domain, item_id IN (SELECT parent_asin FROM v_thin13) AS have FROM v_items)
+@query(duck("v_items", "v_interactions") + """, i AS (SELECT item_id, domain, item_id IN (SELECT parent_asin FROM v_interactions) AS have FROM v_items)
 SELECT domain, count(*) AS ids, count(*) FILTER (WHERE have) AS covered, round(count(*) FILTER (WHERE have) * 1.0 / count(*), 6) AS share
 FROM (SELECT domain, have FROM i UNION ALL SELECT '*', have FROM i) GROUP BY domain""")
 def b21_coverage(v):
-    return catalog.coverage(v.v_thin13.select(F.col("parent_asin").alias("item_id")), v.v_items.select("item_id", "domain"))
+    return catalog.coverage(v.v_interactions.select(F.col("parent_asin").alias("item_id")), v.v_items.select("item_id", "domain"))
 
 
 @query(duck("v_items") + " SELECT 0 AS repeated_ids, count(*) FILTER (WHERE item_id <> concat(domain, '::', original_item_id)) AS bad_ids, count(*) FILTER (WHERE trim(coalesce(domain, '')) = '') AS blank_domains, true AS ok FROM v_items")
@@ -62,7 +62,7 @@ def b22_validate_catalog(v):
 
 
 CUT = 880_000_000_000
-SEEN_SQL = duck("v_items", "v_thin13") + ", s AS (SELECT parent_asin AS item_id, min(ts) AS first_seen_ts FROM v_thin13 GROUP BY 1)"
+SEEN_SQL = duck("v_items", "v_interactions") + ", s AS (SELECT parent_asin AS item_id, min(ts) AS first_seen_ts FROM v_interactions GROUP BY 1)"
 
 
 @query(f"{SEEN_SQL} SELECT item_id, title, first_seen_ts, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS average_rating, CAST(NULL AS DOUBLE) AS rating_number FROM v_items JOIN s USING (item_id) WHERE first_seen_ts <= {CUT}")
@@ -113,11 +113,11 @@ def e11_filtered_listing_ascending(v):
     return catalog.filter_items(items(v), {"domain": "PROMO"}, "rating_number", False, 25).select("item_id", "rating_number", "total_matches")
 
 
-@query(duck("v_thin13", "v_items") + ", w AS (SELECT row_number() OVER (ORDER BY x) AS pos, x AS item_id FROM (SELECT DISTINCT CASE WHEN l_partkey % 10 = 0 THEN concat(parent_asin, '?') ELSE parent_asin END AS x FROM v_thin13)) SELECT pos, w.item_id, title, v_items.item_id IS NULL AS missing FROM w LEFT JOIN v_items ON w.item_id = v_items.item_id")
+@query(duck("v_interactions", "v_items") + ", w AS (SELECT row_number() OVER (ORDER BY x) AS pos, x AS item_id FROM (SELECT DISTINCT CASE WHEN l_partkey % 10 = 0 THEN concat(parent_asin, '?') ELSE parent_asin END AS x FROM v_interactions)) SELECT pos, w.item_id, title, v_items.item_id IS NULL AS missing FROM w LEFT JOIN v_items ON w.item_id = v_items.item_id")
 def e12_lookup(v):
     from merrow.operators.ids import build_sorted_ids
 
-    wanted = v.v_thin13.select(F.expr("CASE WHEN l_partkey % 10 = 0 THEN concat(parent_asin, '?') ELSE parent_asin END").alias("item_id"))
+    wanted = v.v_interactions.select(F.expr("CASE WHEN l_partkey % 10 = 0 THEN concat(parent_asin, '?') ELSE parent_asin END").alias("item_id"))
     wanted = build_sorted_ids(wanted, "item_id").select("item_id", (F.col("idx") + 1).alias("pos"))
     return catalog.lookup(items(v), wanted).select("pos", "item_id", "title", "missing")
 
@@ -138,9 +138,9 @@ def e15_item_text(v):
     return catalog.item_text(items(v))
 
 
-@query(duck("v_thin13", "v_items") + " SELECT user_id AS request_id, count(*) FILTER (WHERE price <= 1000 AND (cat1 = 'PROMO' OR cat2 = 'PROMO')) AS satisfying, count(*) FILTER (WHERE price IS NULL) AS without_price FROM (SELECT DISTINCT user_id, parent_asin FROM v_thin13) t JOIN v_items ON parent_asin = item_id GROUP BY 1")
+@query(duck("v_interactions", "v_items") + " SELECT user_id AS request_id, count(*) FILTER (WHERE price <= 1000 AND (cat1 = 'PROMO' OR cat2 = 'PROMO')) AS satisfying, count(*) FILTER (WHERE price IS NULL) AS without_price FROM (SELECT DISTINCT user_id, parent_asin FROM v_interactions) t JOIN v_items ON parent_asin = item_id GROUP BY 1")
 def e16_satisfying(v):
-    recs = v.v_thin13.select(F.col("user_id").alias("request_id"), F.col("parent_asin").alias("item_id")).distinct()
+    recs = v.v_interactions.select(F.col("user_id").alias("request_id"), F.col("parent_asin").alias("item_id")).distinct()
     return catalog.satisfying(recs, items(v), 1000.0, "PROMO")
 
 
@@ -149,12 +149,12 @@ def e17_deepest_category(v):
     return catalog.deepest_category(items(v))
 
 
-@query(duck("v_thin13") + ", f AS (SELECT user_id AS request_id, parent_asin AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS p, l_quantity AS score FROM v_thin13), g AS (SELECT request_id, item_id, min(p) AS p, arg_min(score, p) AS score FROM f GROUP BY 1, 2) SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY p) - 1 AS pos, score FROM g")
+@query(duck("v_interactions") + ", f AS (SELECT user_id AS request_id, parent_asin AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS p, l_quantity AS score FROM v_interactions), g AS (SELECT request_id, item_id, min(p) AS p, arg_min(score, p) AS score FROM f GROUP BY 1, 2) SELECT request_id, item_id, row_number() OVER (PARTITION BY request_id ORDER BY p) - 1 AS pos, score FROM g")
 def e18_normalize_candidates(v):
     from .views import ORDER
 
     row = F.struct(*ORDER, F.struct(F.col("parent_asin").alias("item_id"), F.col("l_quantity").alias("score")).alias("c"))
-    lists = v.v_thin13.groupBy(F.col("user_id").alias("request_id")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["c"]).alias("candidates"))
+    lists = v.v_interactions.groupBy(F.col("user_id").alias("request_id")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["c"]).alias("candidates"))
     return catalog.normalize_candidates(lists)
 
 

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from merrow.functions.storage import shared_folder
-from merrow.operators import cf, compare, fusion, metrics, provenance, split, text
+from merrow.operators import compare, fusion, metrics, provenance, split, text
 from merrow.sources import interactions as src
 
 from .recommend_queries import BASE, NDCG, POP_LISTS, World
 from .registry import query
-from .retrieval_queries import BM25_SQL, bench_queries
+from .retrieval_queries import BM25_SQL, bench_queries, postings_of
 from .views import duck
 
 
@@ -30,13 +30,13 @@ def a04_save_and_load_splits(v):
 @query(BASE + " SELECT item, neighbor, rank FROM nb")
 def a14_save_and_load_similarity(v):
     path, settings = scratch(v), {"k": "20"}
-    provenance.save_model(cf.top_neighbors(World(v).sim(), 20).select("item", "neighbor", "rank"), path, settings)
+    provenance.save_model(World(v).neighbors.select("item", "neighbor", "rank"), path, settings)
     return provenance.load_model(v.spark, path, settings)
 
 
 @query(BM25_SQL.replace("{post}", "post") + ", se AS (SELECT query_id, id, rank FROM rk WHERE rank <= 20), k AS (SELECT query_id, id, lang AS title, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM se JOIN documents ON doc_id = id WHERE id % 4 <> 0) SELECT * FROM k WHERE place <= 5")
 def k03_recommend_from_intent(v):
-    found = text.bm25_search(text.build_postings(v.documents, "doc_id", "text"), bench_queries(v), 20)
+    found = text.bm25_search(postings_of(v), bench_queries(v), 20)
     seen = found.where("id % 4 = 0").select("query_id", "id")
     asked = v.benchmark.select(F.col("item_id").alias("query_id"), F.lit("plain words").alias("text"))
     return compare.recommend_from_intent(found, asked, seen, v.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("title")), 5)

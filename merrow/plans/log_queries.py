@@ -13,18 +13,18 @@ from .views import ORDER, duck
 LOG, SCORED = duck("v_tool_log"), duck("v_scored")
 
 
-@query(f"{duck('v_thin13', 'v_items')}" + """, e AS (SELECT t.*, price, cat1, cat2, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS rn FROM v_thin13 t JOIN v_items ON parent_asin = item_id WHERE ts <= 915148800000),
+@query(f"{duck('v_interactions', 'v_items')}" + """, e AS (SELECT t.*, price, cat1, cat2, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) AS rn FROM v_interactions t JOIN v_items ON parent_asin = item_id WHERE ts <= 915148800000),
 c AS (SELECT user_id, c, count(*) AS n FROM (SELECT user_id, unnest([cat1, cat2]) AS c FROM (SELECT DISTINCT user_id, parent_asin, cat1, cat2 FROM e)) GROUP BY 1, 2), tc AS (SELECT user_id, string_agg(c, '|' ORDER BY n DESC, c) AS top FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, c) AS r FROM c) WHERE r <= 3 GROUP BY 1)
 SELECT user_id, count(*) AS n_events, min(price) AS price_min, max(price) AS price_max, any_value(top) AS top_categories, string_agg(CASE WHEN rn <= 3 THEN parent_asin END, '|' ORDER BY rn) AS recent_items FROM e JOIN tc USING (user_id) GROUP BY user_id""")
 def l01_user_profile(v):
-    rows = profile.user_profile(v.v_thin13, items(v), 915148800000, list(ORDER), top=3, recent=3)
+    rows = profile.user_profile(v.v_interactions, items(v), 915148800000, list(ORDER), top=3, recent=3)
     return rows.select("user_id", "n_events", "price_min", "price_max", F.array_join("top_categories", "|").alias("top_categories"), F.array_join("recent_items", "|").alias("recent_items"))
 
 
-@query(f"{duck('v_thin13', 'v_items')}" + """, p AS (SELECT user_id, item_id, cat2, avg(rating) AS r FROM v_thin13 JOIN v_items ON parent_asin = item_id GROUP BY 1, 2, 3)
+@query(f"{duck('v_interactions', 'v_items')}" + """, p AS (SELECT user_id, item_id, cat2, avg(rating) AS r FROM v_interactions JOIN v_items ON parent_asin = item_id GROUP BY 1, 2, 3)
 SELECT user_id, string_agg(item_id, '|' ORDER BY item_id) FILTER (WHERE r >= 4) AS love_items, string_agg(item_id, '|' ORDER BY item_id) FILTER (WHERE r <= 2) AS hate_items FROM p GROUP BY 1""")
 def l01_love_and_hate(v):
-    rows = profile.love_and_hate(v.v_thin13.select("user_id", F.col("parent_asin").alias("item_id"), "rating"), 4, 2)
+    rows = profile.love_and_hate(v.v_interactions.select("user_id", F.col("parent_asin").alias("item_id"), "rating"), 4, 2)
     join = lambda c: F.when(F.size(c) > 0, F.array_join(F.array_sort(c), "|")).alias(c)
     return rows.select("user_id", join("love_items"), join("hate_items"))
 
@@ -252,10 +252,16 @@ def p06_aggregate_metrics(v):
     return stats.aggregate_metrics(v.v_scored, ["latency", "spend", "errors"], ["agent"])
 
 
-@query(f"{DAYS} SELECT user_id, round(a, 6) AS a, round(b, 6) AS b FROM pp")
+MICRO_MEAN = "floor((2 * sum(m) FILTER (WHERE {0}) + count(*) FILTER (WHERE {0})) / (2 * count(*) FILTER (WHERE {0}))) / 1e6"
+
+
+@query(
+    f"{DAYS}, m AS (SELECT user_id, side, CAST(round(latency * 1e6) AS BIGINT) AS m FROM d) "
+    f"SELECT user_id, {MICRO_MEAN.format('side')} AS a, {MICRO_MEAN.format('NOT side')} AS b FROM m JOIN pp USING (user_id) GROUP BY user_id"
+)
 def p07_pair_runs(v):
     rows = two_agents(v)
-    return stats.pair_runs(rows.where("side"), rows.where("NOT side"), "user_id", "latency").select("user_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+    return stats.pair_runs(rows.where("side"), rows.where("NOT side"), "user_id", "latency")
 
 
 CONTRAST = f"{DAYS}, k AS (SELECT concat('K', CAST(user_id % 5 AS VARCHAR)) AS kind, CAST(round(a * 1000) AS BIGINT) / 1000.0::DOUBLE AS a, CAST(round(b * 1000) AS BIGINT) / 1000.0::DOUBLE AS b FROM pp), g AS (SELECT kind, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(b - a), 6) AS diff, count(*) FILTER (WHERE b > a) AS wins, count(*) FILTER (WHERE b < a) AS losses, count(*) FILTER (WHERE a = b) AS ties FROM (SELECT * FROM k UNION ALL SELECT 'all', a, b FROM k) GROUP BY 1)"

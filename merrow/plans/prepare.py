@@ -28,12 +28,11 @@ def a05_tag_domain(v):
     return src.tag_domain(bare).select("user_id", "original_item_id", "parent_asin", "domain", "ts")
 
 
-@query(duck("v_interactions") + " SELECT user_id, parent_asin, domain, ts FROM v_interactions WHERE domain IN ('PROMO', 'SMALL') UNION ALL SELECT user_id, parent_asin, domain, ts FROM v_interactions WHERE domain = 'LARGE'", part=True)
+@query(duck("v_interactions") + " SELECT user_id, parent_asin, domain, ts FROM v_interactions")
 def a06_merge_domains(v):
     rows = v.v_interactions.select("user_id", "parent_asin", "domain", "ts")
-    if v.whole:
-        return src.merge_domains([rows.where(F.col("domain").eqNullSafe(r.domain)) for r in rows.select("domain").distinct().orderBy("domain").collect()])  # one row a domain
-    return src.merge_domains([rows.where(F.col("domain").isin("PROMO", "SMALL")), rows.where("domain = 'LARGE'")])
+    domains = rows.select("domain").distinct().orderBy("domain").collect()  # one row a domain
+    return src.merge_domains([rows.where(F.col("domain").eqNullSafe(r.domain)) for r in domains])
 
 
 @query(duck("v_interactions") + " SELECT domain, count(*) AS events, count(DISTINCT user_id) AS users, count(DISTINCT parent_asin) AS items FROM v_interactions GROUP BY domain")
@@ -68,9 +67,9 @@ def a11_ids_sorted(v):
     return ids.build_sorted_ids(v.v_interactions, "parent_asin")
 
 
-@query(f"{duck('v_thin7', 'v_interactions')}, {ITEMS_SQL} SELECT user_id, i.idx AS item_idx FROM v_thin7 JOIN i USING (parent_asin)")
+@query(f"{duck('v_interactions')}, {ITEMS_SQL} SELECT user_id, i.idx AS item_idx FROM v_interactions JOIN i USING (parent_asin)")
 def a13_translate_ids(v):
-    rows = v.v_thin7.select("user_id", "parent_asin")
+    rows = v.v_interactions.select("user_id", "parent_asin")
     local, everywhere = ids.build_sorted_ids(rows, "parent_asin"), ids.build_sorted_ids(v.v_interactions, "parent_asin")
     pairs = rows.join(local, "parent_asin").select("user_id", F.col("idx").alias("item_idx"))
     return ids.translate_ids(pairs, local, everywhere, "parent_asin", "item_idx")
@@ -138,20 +137,20 @@ def kcore_sql(view: str, k: int, rounds: int, pairs: bool = False) -> str:
     return ", ".join(steps)
 
 
-@query(f"{kcore_sql('v_thin7', 3, 20)} SELECT user_id, parent_asin, ts FROM k20")
+@query(f"{kcore_sql('v_interactions', 3, 20)} SELECT user_id, parent_asin, ts FROM k20")
 def b09_k_core_events(v):
-    return kcore.k_core(v.v_thin7, 3, 3).select("user_id", "parent_asin", "ts")
+    return kcore.k_core(v.v_interactions, 3, 3).select("user_id", "parent_asin", "ts")
 
 
-@query(f"{kcore_sql('v_thin7', 3, 20, True)} SELECT e.user_id, e.parent_asin, e.ts FROM v_thin7 e JOIN k20 USING (user_id, parent_asin)")
+@query(f"{kcore_sql('v_interactions', 3, 20, True)} SELECT e.user_id, e.parent_asin, e.ts FROM v_interactions e JOIN k20 USING (user_id, parent_asin)")
 def b10_k_core_pairs(v):
-    core = kcore.k_core_pairs(v.v_thin7, 3, 3)
-    return v.v_thin7.join(core, ["user_id", "parent_asin"], "left_semi").select("user_id", "parent_asin", "ts")
+    core = kcore.k_core_pairs(v.v_interactions, 3, 3)
+    return v.v_interactions.join(core, ["user_id", "parent_asin"], "left_semi").select("user_id", "parent_asin", "ts")
 
 
 @query(duck("v_split") + " SELECT c1 AS first_cutoff, c2 AS second_cutoff FROM v_cut")
 def b11_temporal_cutoffs(v):
-    first, second = split.temporal_cutoffs(v.v_thin7)
+    first, second = split.temporal_cutoffs(v.v_interactions)
     return v.spark.range(1).select(F.lit(first).cast("long").alias("first_cutoff"), F.lit(second).cast("long").alias("second_cutoff"))
 
 
@@ -200,12 +199,12 @@ def b16_train_core_report(v):
 DOMAINS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
-@query(f"""{kcore_sql('v_thin7', 2, 20)}, """ + ", ".join(
-    [f"d{i}_0 AS MATERIALIZED (SELECT * FROM v_thin7 WHERE domain = '{d}')" for i, d in enumerate(DOMAINS)]
+@query(f"""{kcore_sql('v_interactions', 2, 20)}, """ + ", ".join(
+    [f"d{i}_0 AS MATERIALIZED (SELECT * FROM v_interactions WHERE domain = '{d}')" for i, d in enumerate(DOMAINS)]
     + [f"d{i}_{n + 1} AS MATERIALIZED (SELECT * FROM d{i}_{n} WHERE user_id IN (SELECT user_id FROM d{i}_{n} GROUP BY 1 HAVING count(*) >= 2) AND parent_asin IN (SELECT parent_asin FROM d{i}_{n} GROUP BY 1 HAVING count(*) >= 2))" for n in range(20) for i in range(6)]
 ) + " SELECT (SELECT count(*) FROM (" + " UNION ".join(f"SELECT user_id FROM d{i}_20" for i in range(6)) + ")) AS users_single_domain, (SELECT count(DISTINCT user_id) FROM k20) AS users_combined")
 def b17_cold_start_report(v):
-    return kcore.cold_start_report(v.v_thin7, 2, 2, DOMAINS)
+    return kcore.cold_start_report(v.v_interactions, 2, 2, DOMAINS)
 
 
 @query(duck("v_split") + """ SELECT min(ts) FILTER (WHERE split = 'train') AS train_min, max(ts) FILTER (WHERE split = 'train') AS train_max, min(ts) FILTER (WHERE split = 'validation') AS validation_min,
@@ -223,14 +222,15 @@ def c02_split_overlap(v):
 
 @query(duck("v_split") + " SELECT count(*) FILTER (WHERE ts > (SELECT c1 FROM v_cut)) AS late_rows, max(ts) AS max_ts, count(*) FILTER (WHERE ts > (SELECT c1 FROM v_cut)) = 0 AS ok FROM v_split WHERE split <> 'test'")
 def c03_profile_snapshot(v):
-    return leakage.check_asof(v.split().where("split <> 'test'"), split.temporal_cutoffs(v.v_thin7)[0])
+    return leakage.check_asof(v.split().where("split <> 'test'"), split.temporal_cutoffs(v.v_interactions)[0])
 
 
-@query(f"""{duck('v_thin7', 'v_thin13')} SELECT CAST(coalesce(sum(greatest(w - coalesce(h, 0), 0)), 0) AS BIGINT) AS extra_rows, coalesce(sum(greatest(w - coalesce(h, 0), 0)), 0) = 0 AS ok
-FROM (SELECT user_id, parent_asin, count(*) AS w FROM v_thin13 GROUP BY ALL) LEFT JOIN (SELECT user_id, parent_asin, count(*) AS h FROM v_thin7 GROUP BY ALL) USING (user_id, parent_asin)""")
+@query(f"""{kcore_sql('v_interactions', 3, 20)}, x AS (SELECT user_id, parent_asin, count(*) AS w FROM k20 GROUP BY 1, 2), y AS (SELECT user_id, parent_asin, count(*) AS h FROM v_interactions GROUP BY 1, 2)
+SELECT CAST(coalesce(sum(greatest(w - coalesce(h, 0), 0)), 0) AS BIGINT) AS extra_rows, coalesce(sum(greatest(w - coalesce(h, 0), 0)), 0) = 0 AS ok
+FROM x LEFT JOIN y USING (user_id, parent_asin)""")
 def c04_core_is_subset(v):
-    core = kcore.k_core(v.v_interactions, 3, 3) if v.whole else v.v_thin13
-    return leakage.check_subset(v.v_thin7, core, ["user_id", "parent_asin"])
+    core = kcore.k_core(v.v_interactions, 3, 3)
+    return leakage.check_subset(v.v_interactions, core, ["user_id", "parent_asin"])
 
 
 @query(duck("v_split") + " SELECT max(ts) FILTER (WHERE split = 'train') AS fit_max, min(ts) FILTER (WHERE split = 'validation') AS target_min, max(ts) FILTER (WHERE split = 'train') < min(ts) FILTER (WHERE split = 'validation') AND min(ts) FILTER (WHERE split = 'train') > 0 AS ok FROM v_split")
@@ -239,16 +239,16 @@ def c05_evaluation_protocol(v):
 
 
 @query(duck("v_split") + """, x AS (SELECT *, l_partkey AS item_idx, CAST(substr(user_id, 2) AS BIGINT) AS user_idx FROM v_split)
-SELECT split, count(*) AS rows, min(ts) AS min_ts, max(ts) AS max_ts, max(user_idx) AS max_user, max(item_idx) AS max_item, count(*) FILTER (WHERE user_idx NOT BETWEEN 0 AND 1399 OR item_idx NOT BETWEEN 0 AND 1999) AS out_of_range FROM x GROUP BY split""")
+SELECT split, count(*) AS rows, min(ts) AS min_ts, max(ts) AS max_ts, max(user_idx) AS max_user, max(item_idx) AS max_item, count(*) FILTER (WHERE user_idx NOT BETWEEN 0 AND (SELECT count(*) - 1 FROM customer) OR item_idx NOT BETWEEN 0 AND (SELECT count(*) - 1 FROM part)) AS out_of_range FROM x GROUP BY split""")
 def c06_split_audit(v):
     rows = v.split().select("split", "ts", F.col("l_partkey").alias("item_idx"), F.expr("cast(substr(user_id, 2) as long)").alias("user_idx"))
     return leakage.audit_splits(rows, v.n_users(), v.n_items())
 
 
-@query(duck("v_thin13", "v_items") + """ SELECT (SELECT count(*) FROM v_thin13) AS events, (SELECT count(*) FROM (SELECT DISTINCT user_id, parent_asin FROM v_thin13)) AS pairs,
-(SELECT count(*) FROM v_items WHERE item_id NOT IN (SELECT parent_asin FROM v_thin13)) AS unmapped_items, (SELECT count(DISTINCT parent_asin) FROM v_thin13 WHERE parent_asin NOT IN (SELECT item_id FROM v_items)) AS uncatalogued_ids""")
+@query(duck("v_interactions", "v_items") + """ SELECT (SELECT count(*) FROM v_interactions) AS events, (SELECT count(*) FROM (SELECT DISTINCT user_id, parent_asin FROM v_interactions)) AS pairs,
+(SELECT count(*) FROM v_items WHERE item_id NOT IN (SELECT parent_asin FROM v_interactions)) AS unmapped_items, (SELECT count(DISTINCT parent_asin) FROM v_interactions WHERE parent_asin NOT IN (SELECT item_id FROM v_items)) AS uncatalogued_ids""")
 def c07_preflight(v):
-    return leakage.preflight(v.v_thin13, v.v_items, v.v_thin13.select("parent_asin").distinct())
+    return leakage.preflight(v.v_interactions, v.v_items, v.v_interactions.select("parent_asin").distinct())
 
 
 @query(duck("v_split") + """, f AS (SELECT user_id, parent_asin, min(ts) AS t FROM v_split GROUP BY 1, 2), s AS (SELECT DISTINCT user_id, parent_asin FROM v_split WHERE l_linenumber <= 2),
@@ -256,8 +256,8 @@ fu AS (SELECT user_id, parent_asin FROM f WHERE t > (SELECT c1 FROM v_cut))
 SELECT user_id, count(*) FILTER (WHERE (user_id, parent_asin) IN (SELECT user_id, parent_asin FROM fu)) AS leaked_items, count(*) FILTER (WHERE (user_id, parent_asin) IN (SELECT user_id, parent_asin FROM fu)) > 0 AS leak
 FROM s WHERE user_id IN (SELECT user_id FROM fu) GROUP BY user_id""")
 def c08_leak_probe(v):
-    shown = v.v_thin7.where("l_linenumber <= 2").groupBy("user_id").agg(F.collect_set("parent_asin").alias("items"))
-    return leakage.leak_probe(v.v_thin7, shown, split.temporal_cutoffs(v.v_thin7)[0]).withColumn("leaked_items", F.col("leaked_items").cast("long"))
+    shown = v.v_interactions.where("l_linenumber <= 2").groupBy("user_id").agg(F.collect_set("parent_asin").alias("items"))
+    return leakage.leak_probe(v.v_interactions, shown, split.temporal_cutoffs(v.v_interactions)[0]).withColumn("leaked_items", F.col("leaked_items").cast("long"))
 
 
 PER_USER = "p AS (SELECT user_id, count(*) AS n FROM v_interactions GROUP BY 1)"
@@ -289,7 +289,7 @@ def d03_top_categories(v):
 
 @query(duck("v_split") + " SELECT user_id, count(*) AS events, CASE WHEN count(*) <= 3 THEN 'sparse_history' ELSE 'warm' END AS segment FROM v_split WHERE ts <= (SELECT c1 FROM v_cut) GROUP BY 1")
 def d04_segment_users(v):
-    return eda.segment_users(v.v_thin7, split.temporal_cutoffs(v.v_thin7)[0])
+    return eda.segment_users(v.v_interactions, split.temporal_cutoffs(v.v_interactions)[0])
 
 
 @query(duck("v_split") + """, u AS (SELECT split, user_id, count(DISTINCT domain) AS d FROM v_split GROUP BY 1, 2)

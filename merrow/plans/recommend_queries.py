@@ -1,10 +1,13 @@
-"""Queries of collaborative filtering, list fusion and ranking evaluation, over the events and their split (thinned where SQL checks)."""
+"""Queries of collaborative filtering, list fusion and ranking evaluation, over the events and their split."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from merrow.functions.storage import stored
 from merrow.operators import cf, fusion, metrics, split
 
 from .registry import query
@@ -24,7 +27,7 @@ cn AS (SELECT item, count(*) AS n FROM pr GROUP BY 1),
 sim AS MATERIALIZED (SELECT co.item, co.neighbor, round(co / (sqrt(a.n) * sqrt(b.n)), 9) AS sim FROM co JOIN cn a ON a.item = co.item JOIN cn b ON b.item = co.neighbor),
 nb AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY sim DESC, neighbor) AS rank FROM sim) WHERE rank <= 20),
 hp AS MATERIALIZED (SELECT pr.* FROM pr JOIN us USING (user_id)),
-sc AS MATERIALIZED (SELECT user_id, neighbor AS item, round(sum(sim), 6) AS score FROM hp JOIN nb USING (item) GROUP BY 1, 2),
+sc AS MATERIALIZED (SELECT user_id, neighbor AS item, ((sum(CAST(round(sim * 1e9) AS BIGINT)) + 500) // 1000) / 1e6 AS score FROM hp JOIN nb USING (item) GROUP BY 1, 2),
 un AS (SELECT * FROM sc WHERE (user_id, item) NOT IN (SELECT user_id, item FROM hp)),
 tk AS MATERIALIZED (SELECT user_id, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM un) WHERE rank <= 10)"""
 POP_LISTS = """,
@@ -34,24 +37,64 @@ ls AS MATERIALIZED (SELECT user_id, 'cf' AS source, rank, item FROM tk UNION ALL
 
 
 class World:
-    """The pieces that these queries share."""
+    """The pieces that these queries share, each made when first used; what several of them read is written once."""
 
     def __init__(self, v) -> None:
-        rows = v.split().withColumn("item", F.col("l_partkey"))
-        self.events, self.train = rows, rows.where("split = 'train'")
-        self.targets = cf.pairs_of(rows.where("split = 'validation'"))
-        self.users = self.targets.select("user_id").distinct()
-        self.pairs = cf.pairs_of(self.train)
-        self.history = self.pairs.join(self.users, "user_id", "left_semi")
-        self.pop = cf.popularity(self.train)
-        self.n_items = v.n_items
-        self.cohort = split.cohort(self.train, rows.where("split = 'validation'"), item="item")
+        self._v = v
 
-    def sim(self):
+    @cached_property
+    def events(self):
+        rows = self._v.split().withColumn("item", F.col("l_partkey"))
+        return stored(rows.select("user_id", "item", "domain", "ts", *ORDER, "split"), "split")
+
+    @cached_property
+    def train(self):
+        return self.events.where("split = 'train'")
+
+    @cached_property
+    def targets(self):
+        return cf.pairs_of(self.events.where("split = 'validation'"))
+
+    @cached_property
+    def users(self):
+        return self.targets.select("user_id").distinct()
+
+    @cached_property
+    def pairs(self):
+        return cf.pairs_of(self.train)
+
+    @cached_property
+    def history(self):
+        return self.pairs.join(self.users, "user_id", "left_semi")
+
+    @cached_property
+    def pop(self):
+        return cf.popularity(self.train)
+
+    @cached_property
+    def cohort(self):
+        return split.cohort(self.train, self.events.where("split = 'validation'"), item="item")
+
+    def n_items(self):
+        return self._v.n_items()
+
+    @cached_property
+    def _sim(self):
         return cf.item_cosine(self.pairs)
 
+    def sim(self):
+        return self._sim
+
+    @cached_property
+    def neighbors(self):
+        return stored(cf.top_neighbors(self.sim(), 20), "neighbors")
+
+    @cached_property
+    def _scores(self):
+        return stored(cf.knn_scores(self.history, self.neighbors), "scores")
+
     def scores(self):
-        return cf.knn_scores(self.history, cf.top_neighbors(self.sim(), 20))
+        return self._scores
 
     def cf_list(self, k: int = 10):
         return cf.topk(self.scores(), self.history, k).select("user_id", "item", "score", "rank")
@@ -94,9 +137,9 @@ def h01_binary_pairs(v):
     return World(v).pairs
 
 
-@query(duck("v_thin7") + " SELECT max(CAST(substr(user_id, 2) AS BIGINT)) + 1 AS n_users, max(l_partkey) + 1 AS n_items FROM v_thin7")
+@query(duck("v_interactions") + " SELECT max(CAST(substr(user_id, 2) AS BIGINT)) + 1 AS n_users, max(l_partkey) + 1 AS n_items FROM v_interactions")
 def h02_matrix_shape(v):
-    return cf.matrix_shape(v.v_thin7.select(F.expr("cast(substr(user_id, 2) as long)").alias("user_idx"), F.col("l_partkey").alias("item_idx")))
+    return cf.matrix_shape(v.v_interactions.select(F.expr("cast(substr(user_id, 2) as long)").alias("user_idx"), F.col("l_partkey").alias("item_idx")))
 
 
 @query(BASE + " SELECT item, pop, place FROM pop")
@@ -121,7 +164,7 @@ def h05_item_cosine(v):
 
 @query(BASE + " SELECT item, neighbor, rank FROM nb")
 def h06_top_neighbors(v):
-    return cf.top_neighbors(World(v).sim(), 20).select("item", "neighbor", "rank")
+    return World(v).neighbors.select("item", "neighbor", "rank")
 
 
 @query(BASE + " SELECT user_id, item, score FROM sc")
@@ -129,14 +172,14 @@ def h07_knn_scores(v):
     return World(v).scores()
 
 
-@query(BASE + " SELECT user_id, nb.item, round(sum(sim), 6) AS score FROM hp JOIN nb ON nb.neighbor = hp.item GROUP BY 1, 2")
+@query(BASE + " SELECT user_id, nb.item, ((sum(CAST(round(sim * 1e9) AS BIGINT)) + 500) // 1000) / 1e6 AS score FROM hp JOIN nb ON nb.neighbor = hp.item GROUP BY 1, 2")
 def h08_knn_scores_matrix(v):
     w = World(v)
-    return cf.knn_scores(w.history, cf.top_neighbors(w.sim(), 20), "matrix")
+    return cf.knn_scores(w.history, w.neighbors, "matrix")
 
 
 SEEDS = ", sd AS (SELECT user_id AS request_id, item FROM rc WHERE rank <= 3)"
-SIMILAR = SEEDS + ", ss AS (SELECT request_id, neighbor AS item, round(sum(sim), 6) AS score FROM sd JOIN nb USING (item) GROUP BY 1, 2), sr AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item) AS rank FROM ss WHERE (request_id, item) NOT IN (SELECT request_id, item FROM sd){0})"
+SIMILAR = SEEDS + ", ss AS (SELECT request_id, neighbor AS item, ((sum(CAST(round(sim * 1e9) AS BIGINT)) + 500) // 1000) / 1e6 AS score FROM sd JOIN nb USING (item) GROUP BY 1, 2), sr AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, item) AS rank FROM ss WHERE (request_id, item) NOT IN (SELECT request_id, item FROM sd){0})"
 
 
 def seeds_of(w):
@@ -148,7 +191,7 @@ def h09_similar_items(v):
     w = World(v)
     seeds = seeds_of(w)
     allowed = seeds.select("request_id").distinct().join(w.pop.where("item % 2 = 0").select("item"))
-    return cf.similar_items(cf.top_neighbors(w.sim(), 20).drop("rank"), seeds, 10, allowed).select("request_id", "item", "score", "rank")
+    return cf.similar_items(w.neighbors.drop("rank"), seeds, 10, allowed).select("request_id", "item", "score", "rank")
 
 
 @query(BASE + " SELECT user_id, item, rank FROM tk")
@@ -202,7 +245,7 @@ def h16_popularity_only(v):
     return World(v).popular_list()
 
 
-CANDIDATES = ", cd AS (SELECT DISTINCT user_id, (item + 3) % 2000 AS item FROM hp)"
+CANDIDATES = ", cd AS (SELECT DISTINCT user_id, (item + 3) % (SELECT count(*) FROM part) AS item FROM hp)"
 
 
 def candidates_of(w):
@@ -227,7 +270,7 @@ def h19_signal_flags(v):
     return cf.signal_flags(w.users, w.history, w.scores())
 
 
-RANKED = """, cd AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY item) AS pos FROM (SELECT user_id, item FROM sc UNION SELECT user_id, item FROM hp UNION SELECT user_id, (item + 3) % 2000 FROM hp)),
+RANKED = """, cd AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY item) AS pos FROM (SELECT user_id, item FROM sc UNION SELECT user_id, item FROM hp UNION SELECT user_id, (item + 3) % (SELECT count(*) FROM part) FROM hp)),
 st AS (SELECT cd.*, score, CASE WHEN cd.item % 5 = 0 THEN 'hidden' WHEN (cd.user_id, cd.item) IN (SELECT user_id, item FROM hp) THEN 'seen' WHEN score IS NULL THEN 'unscored' END AS s FROM cd LEFT JOIN sc USING (user_id, item)),
 rr AS (SELECT *, CASE WHEN s IS NULL THEN row_number() OVER (PARTITION BY user_id, s IS NULL ORDER BY score DESC, pos) END AS r FROM st),
 rk AS (SELECT user_id, item, pos, score, coalesce(s, CASE WHEN r <= 10 THEN 'ranked' ELSE 'beyond_k' END) AS status, CASE WHEN r <= 10 THEN r END AS rank FROM rr)"""
@@ -260,7 +303,7 @@ def h24_random_baseline(v):
     return cf.random_topk(w.users, build_sorted_ids(w.pop, "item"), 10)
 
 
-@query(BASE + ", ki AS (SELECT item FROM pr GROUP BY 1 HAVING count(*) >= 3), kp AS (SELECT pr.* FROM pr JOIN ki USING (item)), k2 AS (SELECT a.item, b.item AS neighbor, count(*) AS co FROM kp a JOIN kp b USING (user_id) WHERE a.item <> b.item GROUP BY 1, 2), kc AS (SELECT item, count(*) AS n FROM kp GROUP BY 1), ks AS (SELECT k2.item, k2.neighbor, round(co / (sqrt(a.n) * sqrt(b.n)), 9) AS sim FROM k2 JOIN kc a ON a.item = k2.item JOIN kc b ON b.item = k2.neighbor), kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY sim DESC, neighbor) AS rank FROM ks) WHERE rank <= 20) SELECT user_id, neighbor AS item, round(sum(sim), 6) AS score FROM hp JOIN kn USING (item) GROUP BY 1, 2")
+@query(BASE + ", ki AS (SELECT item FROM pr GROUP BY 1 HAVING count(*) >= 3), kp AS (SELECT pr.* FROM pr JOIN ki USING (item)), k2 AS (SELECT a.item, b.item AS neighbor, count(*) AS co FROM kp a JOIN kp b USING (user_id) WHERE a.item <> b.item GROUP BY 1, 2), kc AS (SELECT item, count(*) AS n FROM kp GROUP BY 1), ks AS (SELECT k2.item, k2.neighbor, round(co / (sqrt(a.n) * sqrt(b.n)), 9) AS sim FROM k2 JOIN kc a ON a.item = k2.item JOIN kc b ON b.item = k2.neighbor), kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY sim DESC, neighbor) AS rank FROM ks) WHERE rank <= 20) SELECT user_id, neighbor AS item, ((sum(CAST(round(sim * 1e9) AS BIGINT)) + 500) // 1000) / 1e6 AS score FROM hp JOIN kn USING (item) GROUP BY 1, 2")
 def h27_core_model(v):
     """Similarities from the items with three users or more, applied to all events before the targets."""
     w = World(v)
@@ -277,7 +320,7 @@ def k01_recent_items(v):
 SELECT user_id, item, rank, p_name AS title FROM br JOIN part ON p_partkey = item WHERE rank <= 10""")
 def k02_recommend_batch(v):
     w = World(v)
-    found = cf.similar_items(cf.top_neighbors(w.sim(), 20).drop("rank"), seeds_of(w), 50).select(F.col("request_id").alias("user_id"), "item", "score")
+    found = cf.similar_items(w.neighbors.drop("rank"), seeds_of(w), 50).select(F.col("request_id").alias("user_id"), "item", "score")
     best = cf.topk(found, w.history, 10)
     return best.join(v.part.select(F.col("p_partkey").alias("item"), F.col("p_name").alias("title")), "item").select("user_id", "item", "rank", "title")
 
@@ -352,7 +395,7 @@ def k12_catalog_coverage(v):
 @query(BASE + POP_LISTS + """, nr AS (SELECT user_id, count(*) AS n FROM tg GROUP BY 1), g AS (SELECT source, nr.user_id, n, count(DISTINCT ls.item) AS size, count(DISTINCT CASE WHEN (ls.user_id, ls.item) IN (SELECT user_id, item FROM tg) THEN ls.item END) AS hits
 FROM nr CROSS JOIN (SELECT DISTINCT source FROM ls) s LEFT JOIN ls USING (user_id, source) GROUP BY 1, 2, 3)
 SELECT source, count(*) AS users, round(avg(hits * 1.0 / n), 6) AS macro_recall, round(sum(hits) / sum(n), 6) AS target_coverage, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(size), 6) AS mean_size,
-round((SELECT count(DISTINCT item) FROM ls WHERE ls.source = g.source) / 2000.0, 6) AS catalog_share FROM g GROUP BY source""")
+round((SELECT count(DISTINCT item) FROM ls WHERE ls.source = g.source) / (SELECT count(*) * 1.0 FROM part), 6) AS catalog_share FROM g GROUP BY source""")
 def k13_retrieval_metrics(v):
     w = World(v)
     return metrics.retrieval_metrics(w.lists(), w.targets, v.n_items(), ["source"])
@@ -422,7 +465,7 @@ FROM p LEFT JOIN sim s ON s.item = p.item AND s.neighbor = p.neighbor LEFT JOIN
 def k22_cf_links(v):
     w = World(v)
     pairs = w.history.join(w.targets.withColumnRenamed("item", "neighbor"), "user_id").where("item <> neighbor").select("item", "neighbor").distinct()
-    return metrics.cf_links(pairs, w.sim(), cf.top_neighbors(w.sim(), 20))
+    return metrics.cf_links(pairs, w.sim(), w.neighbors)
 
 
 @query(BASE + """, x AS (SELECT coalesce(n, 0) AS n, (user_id, tg.item) IN (SELECT user_id, item FROM sc) AS r, (user_id, tg.item) IN (SELECT user_id, item FROM tk) AS t FROM tg LEFT JOIN cn ON cn.item = tg.item)
@@ -437,7 +480,7 @@ n AS (SELECT user_id, count(*) AS novel FROM tg WHERE (user_id, item) NOT IN (SE
 def k25_freeze_cohort(v):
     w = World(v)
     seeds = w.recent_list(1).select("user_id", F.col("item").alias("seed"))
-    found = cf.similar_items(cf.top_neighbors(w.sim(), 20).drop("rank"), seeds.select(F.col("user_id").alias("request_id"), F.col("seed").alias("item")), 25)
+    found = cf.similar_items(w.neighbors.drop("rank"), seeds.select(F.col("user_id").alias("request_id"), F.col("seed").alias("item")), 25)
     n = found.groupBy(F.col("request_id").alias("user_id")).agg(F.count("*").alias("candidates"))
     novel = w.targets.join(w.pairs, ["user_id", "item"], "left_anti").groupBy("user_id").agg(F.count("*").alias("novel_targets"))
     size = w.history.groupBy("user_id").agg(F.count("*").alias("history_items"))

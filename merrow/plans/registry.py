@@ -12,25 +12,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-#: Marks of SQL that checks an operator on a part only: thinned events, the first words of a query.
-PARTS = ("v_thin7", "v_thin13", "[1:5]")
-
-
-def query(sql: str | None = None, name: str | None = None, part: bool = False):
-    """Registers f(views) -> DataFrame under its name; ``sql`` is the equivalent DuckDB statement.
-
-    Where that statement reads only a part of the input (``part``, or by its marks), the name is the checked part, and NAME_whole does the same
-    over the whole input. A query without SQL reads the whole.
-    """
-    part = part or any(mark in (sql or "") for mark in PARTS)
+def query(sql: str | None = None, name: str | None = None):
+    """Registers f(views) -> DataFrame under its name; ``sql`` is the equivalent DuckDB statement, over the whole tables too."""
 
     def put(f: Callable[[Views], DataFrame]):
         key = name or f.__name__
         if key in QUERIES:
             raise ValueError(f"two queries are named {key}")
-        QUERIES[key] = lambda spark, sf_dir: f(Views(spark, sf_dir, whole=not part))
-        if part:
-            QUERIES[f"{key}_whole"] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         if sql:
             SQL[key] = sql
         return f

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from merrow.functions.storage import stored
 from merrow.operators import text, vectors
 
 from .catalog_queries import items
@@ -11,10 +12,9 @@ from .registry import query
 from .views import duck
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'))) AS n_distinct FROM documents WHERE lang = 'en'", part=True)
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9-]*'))) AS n_distinct FROM documents")
 def f03_tokenize_ascii(v):
-    docs = v.documents if v.whole else v.documents.where("lang = 'en'")
-    tokens = docs.select("doc_id", text.tokenize_ascii("text").alias("t"))
+    tokens = v.documents.select("doc_id", text.tokenize_ascii("text").alias("t"))
     return tokens.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
@@ -45,14 +45,19 @@ def f04_postings_stemmed(v):
     return text.build_postings(items(v).withColumn("all_text", F.concat_ws(" ", "title", "store", "main_category", F.array_join("categories", " "))), "seq", "all_text", stem=True)
 
 
+def postings_of(v):
+    """The postings of all documents, tokenised once and written; a search uses them several times."""
+    return stored(text.build_postings(v.documents, "doc_id", "text"), "postings")
+
+
 def bench_queries(v):
-    """The distinct words of each benchmark text, by item; of its first five, if not ``whole``."""
+    """The distinct words of each benchmark text, by item."""
     words = text.index_tokens("text")
-    return v.benchmark.select(F.col("item_id").alias("query_id"), F.explode(words if v.whole else F.slice(words, 1, 5)).alias("token")).distinct()
+    return v.benchmark.select(F.col("item_id").alias("query_id"), F.explode(words).alias("token")).distinct()
 
 
 BM25_SQL = (
-    POST_SQL + ", q AS (SELECT DISTINCT item_id AS query_id, unnest(" + WORDS.format("text") + "[1:5]) AS token FROM benchmark), "
+    POST_SQL + ", q AS (SELECT DISTINCT item_id AS query_id, unnest(" + WORDS.format("text") + ") AS token FROM benchmark), "
     "st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT id, any_value(dl) AS dl FROM {post} GROUP BY id)), df AS (SELECT token, count(*) AS df FROM {post} GROUP BY token), "
     "sc AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score "
     "FROM {post} JOIN q USING (token) JOIN df USING (token) CROSS JOIN st GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)"
@@ -61,7 +66,7 @@ BM25_SQL = (
 
 @query(BM25_SQL.replace("{post}", "post") + " SELECT query_id, id, score, rank FROM rk WHERE rank <= 10")
 def f05_bm25_search(v):
-    return text.bm25_search(text.build_postings(v.documents, "doc_id", "text"), bench_queries(v), 10)
+    return text.bm25_search(postings_of(v), bench_queries(v), 10)
 
 
 VISIBLE = ", vis AS (SELECT post.* FROM post JOIN documents ON id = doc_id WHERE lang = 'en')"
@@ -70,10 +75,10 @@ VISIBLE = ", vis AS (SELECT post.* FROM post JOIN documents ON id = doc_id WHERE
 @query(BM25_SQL.replace(", q AS", VISIBLE + ", q AS", 1).replace("{post}", "vis") + " SELECT query_id, id, score, rank FROM rk WHERE rank <= 25")
 def f06_bm25_batch_filtered(v):
     visible = v.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return text.bm25_search(text.build_postings(v.documents, "doc_id", "text"), bench_queries(v), 25, visible)
+    return text.bm25_search(postings_of(v), bench_queries(v), 25, visible)
 
 
-@query(duck("v_thin13", "v_items") + """, e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS title_no, title FROM v_thin13 JOIN v_items ON parent_asin = item_id),
+@query(duck("v_interactions", "v_items") + """, e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS title_no, title FROM v_interactions JOIN v_items ON parent_asin = item_id),
 t AS (SELECT user_id, title_no, unnest(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9-]*')) AS token, unnest(range(len(regexp_extract_all(lower(title), '[a-z0-9][a-z0-9-]*')))) AS pos FROM e WHERE title_no <= 5),
 f AS (SELECT user_id, token, min((pos, title_no)) AS place FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM f)
 SELECT user_id, string_agg(token, ' ' ORDER BY rank) AS query FROM r WHERE rank <= 20 GROUP BY 1""")
@@ -82,7 +87,7 @@ def f07_history_query(v):
 
     from .views import ORDER
 
-    titled = v.v_thin13.join(v.v_items.select(F.col("item_id").alias("parent_asin"), "title"), "parent_asin")
+    titled = v.v_interactions.join(v.v_items.select(F.col("item_id").alias("parent_asin"), "title"), "parent_asin")
     latest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), *ORDER))
     return text.history_query(titled.select("user_id", latest.alias("title_no"), "title").where("title_no <= 5"))
 
@@ -91,13 +96,13 @@ def f07_history_query(v):
 def f08_outside_core_search(v):
     docs, queries = v.documents.select(F.col("doc_id").alias("id")), bench_queries(v)
     seen = queries.select("query_id").distinct().join(docs, (F.col("query_id") + F.col("id")) % 2 == 0)
-    return text.outside_core_search(text.build_postings(v.documents, "doc_id", "text"), queries, docs.where("id % 3 = 0"), seen, 10)
+    return text.outside_core_search(postings_of(v), queries, docs.where("id % 3 = 0"), seen, 10)
 
 
 @query(BM25_SQL.replace("{post}", "post") + " SELECT item_id AS query_id, CAST(item_id * 7 AS BIGINT) AS id, rank, CASE WHEN rank IS NULL THEN 'no_match' WHEN rank <= 25 THEN 'inside' ELSE 'outside' END AS place FROM benchmark LEFT JOIN rk ON rk.query_id = item_id AND rk.id = item_id * 7")
 def f09_bm25_rank_of_target(v):
     targets = v.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("id"))
-    return text.bm25_rank_of(text.build_postings(v.documents, "doc_id", "text"), bench_queries(v), targets)
+    return text.bm25_rank_of(postings_of(v), bench_queries(v), targets)
 
 
 @query()

@@ -23,8 +23,6 @@ SELECT concat('C', CAST(o_custkey AS STRING)) AS user_id, p_type AS domain, conc
        CAST(1 + (CAST(l_quantity AS INT) + l_linenumber) % 5 AS INT) AS rating,
        EPOCH(o_orderdate) AS ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity
 FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey""",
-    "v_thin7": "SELECT * FROM {v_interactions} WHERE l_orderkey % 7 = 0",
-    "v_thin13": "SELECT * FROM {v_interactions} WHERE l_orderkey % 13 = 0",
     "v_raw": """
 SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE user_id END AS user_id, original_item_id AS parent_asin,
        CASE WHEN l_orderkey % 89 = 0 THEN 6 ELSE rating END AS rating,
@@ -59,16 +57,14 @@ FROM {v_tool_log} GROUP BY request_id, agent, kind, user_id""",
 
 
 class Views:
-    """The tables below ``sf_dir`` and the views over them, as DataFrames; if ``whole``, the thinned views have all events."""
+    """The tables below ``sf_dir`` and the views over them, as DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = True) -> None:
-        self.spark, self.dir, self.whole, self._made = spark, sf_dir, whole, {}
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.dir, self._made = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES and name not in VIEWS:
             raise AttributeError(name)
-        if self.whole and name in ("v_thin7", "v_thin13"):
-            return self.v_interactions
         if name not in self._made:
             if name in TABLES:
                 self._made[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -78,25 +74,25 @@ class Views:
         return self._made[name]
 
     def n_items(self) -> int:
-        """Items of the catalog; 2000, those of sf0.01 that the SQL names, if not ``whole``."""
-        return self.part.count() if self.whole else 2000
+        """Items of the catalog."""
+        return self.part.count()
 
     def n_users(self) -> int:
-        """Users of the customer table; 1400, the bound that the SQL names, if not ``whole``."""
-        return self.customer.count() if self.whole else 1400
+        """Users of the customer table."""
+        return self.customer.count()
 
     def split(self) -> DataFrame:
-        """The events with their split; thinned ones, if not ``whole``."""
-        return temporal_split(self.v_thin7)
+        """The events with their split."""
+        return temporal_split(self.v_interactions)
 
 
 SPLIT_SQL = """
-v_n AS (SELECT count(*) AS n FROM v_thin7),
-v_rank AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM v_thin7),
+v_n AS (SELECT count(*) AS n FROM v_interactions),
+v_rank AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS rn FROM v_interactions),
 v_cut AS (SELECT (SELECT ts FROM v_rank WHERE rn = greatest(CAST(floor(n * 0.8) AS BIGINT) - 1, 0)) AS c1,
                  (SELECT ts FROM v_rank WHERE rn = greatest(CAST(floor(n * 0.9) AS BIGINT) - 1, 0)) AS c2 FROM v_n),
-v_split AS (SELECT v_thin7.*, CASE WHEN ts <= c1 THEN 'train' WHEN ts <= c2 THEN 'validation' ELSE 'test' END AS split
-            FROM v_thin7 CROSS JOIN v_cut)"""
+v_split AS (SELECT v_interactions.*, CASE WHEN ts <= c1 THEN 'train' WHEN ts <= c2 THEN 'validation' ELSE 'test' END AS split
+            FROM v_interactions CROSS JOIN v_cut)"""
 
 
 @cache
@@ -106,7 +102,7 @@ def duck(*names: str) -> str:
 
     def add(name: str) -> None:
         if name == "v_split":
-            add("v_thin7")
+            add("v_interactions")
             wanted[name] = SPLIT_SQL
         elif name in VIEWS and name not in wanted:
             for below in re.findall(r"\{(\w+)\}", VIEWS[name]):

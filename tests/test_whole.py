@@ -20,31 +20,23 @@ c AS (SELECT ts AS cut FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS rn FR
 SELECT count(*), count(DISTINCT u), count(DISTINCT i), count(DISTINCT (u, i)) FROM e, c WHERE ts <= cut""").fetchall()[0]
 
 
-def test_thinned_checks_have_a_whole_query():
-    thinned = {k for k, sql in registry.SQL.items() if "v_thin" in sql}
-    assert thinned and all(f"{k}_whole" in __spark_entry__.queries() for k in thinned)
-    assert not {f"{k}_whole" for k in thinned} & set(__spark_entry__.oracle_sql())
-
-
 def test_popularity_counts_all_events(spark, train):
-    pop = __spark_entry__.queries()["h03_popularity_events_whole"](spark, DIR).agg(F.sum("pop"), F.count("*")).first()
+    pop = __spark_entry__.queries()["h03_popularity_events"](spark, DIR).agg(F.sum("pop"), F.count("*")).first()
     assert tuple(pop) == (train[0], train[2])
 
 
 def test_pairs_and_queries_without_sql_see_all_events(spark, train):
     found = __spark_entry__.queries()
-    assert found["h01_binary_pairs_whole"](spark, DIR).count() == train[3]
+    assert found["h01_binary_pairs"](spark, DIR).count() == train[3]
     assert found["h22_bpr_fit"](spark, DIR).count() == train[2]
 
 
 def test_search_scores_every_word_of_the_query(spark):
-    found = __spark_entry__.queries()["f05_bm25_search_whole"](spark, DIR)
+    found = __spark_entry__.queries()["f05_bm25_search"](spark, DIR)
     with duckdb.connect() as con:
         for table in ("documents", "benchmark"):
             con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
-        sql = registry.SQL["f05_bm25_search"]
-        assert sql.count("[1:5]") == 1
-        expected = {(q, i): (s, r) for q, i, s, r in con.sql(sql.replace("[1:5]", "")).fetchall()}
+        expected = {(q, i): (s, r) for q, i, s, r in con.sql(registry.SQL["f05_bm25_search"]).fetchall()}
     got = {(r.query_id, r.id): (r.score, r["rank"]) for r in found.collect()}
     assert got.keys() == expected.keys()
     assert all(abs(got[k][0] - expected[k][0]) < 2e-6 and got[k][1] == expected[k][1] for k in got)
@@ -53,20 +45,19 @@ def test_search_scores_every_word_of_the_query(spark):
 def test_every_domain_and_every_document(spark):
     found = __spark_entry__.queries()
     events = duckdb.sql(f"SELECT p_type, count(*) FROM '{DIR}/lineitem.parquet' JOIN '{DIR}/orders.parquet' ON o_orderkey = l_orderkey JOIN '{DIR}/part.parquet' ON p_partkey = l_partkey GROUP BY 1").fetchall()
-    merged = found["a06_merge_domains_whole"](spark, DIR).groupBy("domain").count().collect()
+    merged = found["a06_merge_domains"](spark, DIR).groupBy("domain").count().collect()
     assert sorted(map(tuple, merged)) == sorted(events)
-    assert found["f03_tokenize_ascii_whole"](spark, DIR).count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
+    assert found["f03_tokenize_ascii"](spark, DIR).count() == spark.read.parquet(f"{DIR}/documents.parquet").count()
 
 
 def test_sizes_come_from_the_tables(spark):
     found = __spark_entry__.queries()
-    assert found["h17_score_candidates_whole"](spark, DIR).agg(F.max("item")).first()[0] < 200
-    audit = found["c06_split_audit_whole"](spark, DIR)
+    assert found["h17_score_candidates"](spark, DIR).agg(F.max("item")).first()[0] < 200
+    audit = found["c06_split_audit"](spark, DIR)
     assert {r.out_of_range for r in audit.collect()} == {0}
-    assert found["k13_retrieval_metrics_whole"](spark, DIR).where("source = 'cf'").first().catalog_share > 0.2
+    assert found["k13_retrieval_metrics"](spark, DIR).where("source = 'cf'").first().catalog_share > 0.2
 
 
-@pytest.mark.parametrize(("whole", "sizes"), [(True, (150, 200)), (False, (1400, 2000))])
-def test_sizes(spark, whole, sizes):
-    v = Views(spark, DIR, whole)
-    assert (v.n_users(), v.n_items()) == sizes
+def test_sizes(spark):
+    v = Views(spark, DIR)
+    assert (v.n_users(), v.n_items()) == (150, 200)
