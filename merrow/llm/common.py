@@ -15,21 +15,72 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; an own temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir, or given to setCheckpointDir; a temporary one only on a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = given.get() if given.isDefined() else None
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them can reach")
         path = "file://" + tempfile.mkdtemp(prefix="merrow-")
         spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def write(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/merrow-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write(df, f"{shared_folder(df.sparkSession)}/merrow-{label}-{uuid.uuid4().hex}")
+
+
+class Tables:
+    """The written tables of one job, in a folder of their own; ``result`` writes the outcome beside it and deletes them."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.made = spark, 0
+        self.path = f"{shared_folder(spark)}/merrow-{label}-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.made += 1
+        return write(df, f"{self.path}/{self.made}-{label}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        out = write(df, f"{self.path}-result")
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        return out
+
+
+#: A key with more than one in so many of all rows is hot; there are no more hot keys than that, so they may be broadcast.
+HOT_SHARE = 10_000
+
+
+def join_dealt(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, total: int, by: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, a written table with one row a key and the key's number of rows in ``size``.
+
+    The rows of hot keys meet their partner by broadcast (at most ``HOT_SHARE`` keys) and are dealt by ``by`` in the
+    shuffle of the others, so no task gets all rows of one key.
+    """
+    others, least = [c for c in keyed.columns if c not in on], max(total // HOT_SHARE, 512)
+    hot = keyed.where(F.col(size) > least).select(*on, F.struct(*others).alias("_hot"))
+    cool = keyed.where(F.col(size) <= least).select(*on, F.xxhash64(*on).alias("_deal"), F.struct(*others).alias("_cool"))
+    deal = F.when(F.col("_hot").isNotNull(), F.xxhash64(*by)).otherwise(F.xxhash64(*on))
+    met = rows.join(F.broadcast(hot), on, "left").withColumn("_deal", deal).join(cool, [*on, "_deal"], "left")
+    met = met.where("_hot IS NOT NULL OR _cool IS NOT NULL")
+    return met.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cool.{c}")).alias(c) for c in others])
+
+
+def salted(rows: DataFrame, wide: DataFrame, on: str, size: str, by: str, least: int = 512) -> DataFrame:
+    """Inner join on ``on``: of the ``size`` rows of a key, a column of both tables, every ``least`` or so meet a copy of the key's wide row."""
+    parts = F.ceil(F.col(size) / least).cast("long")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), parts))
+    copies = wide.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop(size)
+    return dealt.join(copies, [on, "_part"]).drop("_part")
 
 
 def plain_text(column: str = "text"):
@@ -37,9 +88,6 @@ def plain_text(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 arrays (new array)."""
     x = x ^ (x >> np.uint64(30))

@@ -14,28 +14,34 @@ join two components is lost: as pairs in buckets of up to ``SMALL`` members, and
 members against blocks, each a task of its own that gives the links alone (signatures prune, then the sizes of all
 intersections of the full sets come from products of membership matrices).
 
+Documents with equal hashes of their sets are one class only after a comparison of the full sets; links that come
+from hashes are confirmed on full sets too. Words are hashed by BLAKE2b, and the size of a set is exact.
+
 Defined cases: white space is ASCII; with fewer words than a shingle has, the whole sequence is one shingle; a text
 without words (or null) has an empty set, is its own component and linked with nothing; rows that share an identifier
-have one component; further columns are ignored; an empty table gives no rows.
+have one component, and so do those without one; a very long text is read in windows of ``WINDOW`` bytes (its words as numbers, some 16 bytes for each,
+stay in memory); further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections import OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, mix64, plain_text, stored
+from .common import Tables, documents, join_dealt, mix64, plain_text, salted
 from .components import components
 
 ROWS, BANDS, BATCH = 4, 32, 16
 SMALL, BLOCK = 16, 256
-WHITE = np.zeros(256, bool)
-WHITE[[32, 9, 10, 11, 12, 13]] = True
+NO_ID = 2**63 - 1  # stands for a null identifier, so that it never is the smallest beside another
 
 
 def words_of(text: str) -> list[bytes]:
@@ -49,6 +55,37 @@ def shingle_set(text: str, size: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
+WINDOW = 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_windows(data: bytes) -> Iterator[list[bytes]]:
+    """The words of lower-cased bytes, in windows of ``WINDOW`` bytes that end between words."""
+    start = 0
+    while start < len(data):
+        gap = GAP.search(data, start + WINDOW)
+        end = gap.start() if gap else len(data)
+        yield data[start:end].split()
+        start = end
+
+
+class Words(dict):
+    """word -> its number, in order of appearance; ``hashes`` has 64 bits of BLAKE2b for each number."""
+
+    MOST = 400_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.empty(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.empty(n, np.uint64)])
+        self.hashes[n] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return n
+
+
 class Signer:
     """Hashes of the distinct shingles of a text, and the minima of a family of multiplicative hashes over them."""
 
@@ -57,21 +94,36 @@ class Signer:
         self.size = size
         self.mul = rng.integers(0, 1 << 32, hashes, dtype=np.uint32) | np.uint32(1)
         self.add = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)
-        self.rolling = Rolling()
+        self.words = Words()
 
     def shingles(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8").lower(), np.uint8)
-        white = WHITE[data]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], white, [True]]).view(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        if not len(start):
+        """One hash for each distinct shingle; shingles with equal hashes are compared word by word, so the number is exact."""
+        if len(self.words) > Words.MOST:
+            self.words = Words()
+        parts = [np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)) for w in word_windows(text.encode("utf-8").lower())]
+        number = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        if not len(number):
             return np.zeros(0, np.uint64)
-        words = self.rolling.ranges(self.rolling.sums(data), start, end)
-        n = min(self.size, len(words))
-        h = np.full(len(words) - n + 1, n, np.uint64)
+        n = min(self.size, len(number))
+        last = len(number) - n + 1
+        words = self.words.hashes[number]
+        h = np.full(last, n, np.uint64)
         for i in range(n):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - n + 1 + i])
-        return np.unique(h)
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[i : last + i])
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        again = np.flatnonzero(h[1:] == h[:-1])
+        x, y = order[again], order[again + 1]
+        if any((number[x + i] != number[y + i]).any() for i in range(n)):
+            return self.told_apart(number, n)
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+    def told_apart(self, number: np.ndarray, n: int) -> np.ndarray:
+        """The same for a set in which two shingles share a hash: a digest of each shingle's whole words."""
+        word = {v: k for k, v in self.words.items()}
+        parts = zip(*(number[i : len(number) - n + 1 + i].tolist() for i in range(n)), strict=True)
+        digests = [hashlib.blake2b(b" ".join(word[i] for i in part), digest_size=8).digest() for part in set(parts)]
+        return np.sort(np.frombuffer(b"".join(digests), np.uint64))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
         low = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -179,69 +231,109 @@ def verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def confirmed(full: DataFrame, rows: DataFrame, size: int, tables: Tables) -> DataFrame:
+    """``full`` with fresh hashes for the documents whose set is not the one of the first document with their hashes.
+
+    Documents with equal hashes are compared on their full sets with the smallest of them. A failure needs a collision
+    of 128 bits; such a document becomes a class of its own, and is linked through its bands as any other.
+    """
+    same = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    same = tables.stored(same, "same")
+    total = full.count()
+    several = tables.stored(join_dealt(full.select("doc_id", "n", "h1", "h2"), same, ["n", "h1", "h2"], "copies", total, ["doc_id"]), "several")
+    with_text = rows.join(several.select("doc_id", "first", "copies").distinct(), "doc_id")
+    lead = with_text.where(F.col("doc_id") == F.col("first")).groupBy("first", "copies").agg(F.min("text").alias("text_b"))
+    lead = tables.stored(lead, "lead")
+    others = with_text.where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"), F.col("text").alias("text_a"), "copies")
+    met = salted(others, lead.select(F.col("first").alias("b"), "text_b", "copies"), "b", "copies", "a")
+    good = tables.stored(verified(met, size, 100), "confirmed")
+    failed = tables.stored(several.where("doc_id <> first").select("doc_id").distinct().join(good.select(F.col("a").alias("doc_id")), "doc_id", "left_anti"), "failed")
+    if failed.isEmpty():
+        return full
+    own = failed.withColumn("own", F.lit(True))
+    apart = full.join(own, "doc_id", "left")
+    return tables.stored(apart.withColumn("h1", F.when(F.col("own"), F.col("doc_id")).otherwise(F.col("h1"))).withColumn("h2", F.when(F.col("own"), F.lit(-1)).otherwise(F.col("h2"))).drop("own"), "apart")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, miss: float = 1e-7, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row a document: id, n_shingles, component_id, kept, class_id (documents with one set share it)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), plain_text(text_col).alias("text"))
-    sigs = stored(signed(rows, shingle), "signed")
-    full = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stored(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
+    tables = Tables(docs.sparkSession, "near")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), plain_text(text_col).alias("text"))
+    sigs = tables.stored(signed(rows, shingle), "signed")
+    full = confirmed(sigs.where("n > 0"), rows, shingle, tables)
+    grouped = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+    classes = tables.stored(grouped, "classes")
+    n_classes = classes.count()
 
     bands = banded(classes)
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(bands.join(shared, "key"), "members")
+    shared = tables.stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    members = tables.stored(join_dealt(bands, shared, ["key"], "size", n_classes, ["id"]), "members")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     # one text for each class that any bucket holds
-    texts = stored(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    texts = tables.stored(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
     signatures = classes.select("id", "signature")
 
+    def confirmed_links(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        return tables.stored(verified(with_both, shingle, percent), "links")
+
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.distinct(), "pairs")
+        pairs = tables.stored(pairs.distinct(), "pairs")
         with_a = pairs.join(signatures.select(F.col("id").alias("a"), F.col("signature").alias("sig_a")), "a")
         with_both = with_a.join(signatures.select(F.col("id").alias("b"), F.col("signature").alias("sig_b")), "b")
-        left = stored(plausible(with_both, percent / 100, miss), "plausible")
-        with_a = left.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return stored(verified(with_both, shingle, percent), "links")
+        return confirmed_links(tables.stored(plausible(with_both, percent / 100, miss), "plausible"))
 
-    members = members.select("key", "id").withColumn("component", F.col("id"))
+    members = members.withColumn("component", F.col("id"))
     links, labels = None, None
     # a star in each bucket, around the smallest member, then around the one with most in common
     for order in (F.col("id"), F.col("apart")):
-        centres = members.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("centre"))
-        star = members.join(centres, "key").where(F.col("component") != F.col("centre.component"))
+        centre = F.min_by(F.struct("id", "component"), order).alias("centre")
+        centres = tables.stored(members.groupBy("key").agg(centre, F.first("size").alias("size")), "centres")
+        star = salted(members, centres, "key", "size", "id").where(F.col("component") != F.col("centre.component"))
         found = links_of(star.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b")))
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(links, tables)
         first = "apart" not in members.columns
-        members = _open(members, labels)
+        members = _open(members, labels, tables)
         if first:
-            common = stored(in_common(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "common")
+            common = tables.stored(in_common(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle, tables), "common")
             able = common.where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", (F.col("n") - F.col("shared")).alias("apart"))
-            members = _mixed(members.join(able, "id"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    members = stored(members.join(sizes, "key"), "rest")
-    links = links.unionByName(stored(block_links(members.where(F.col("size") > SMALL), texts, shingle, percent, miss), "block-links"))
+            members = _mixed(members.join(able, "id"), tables)
+    sizes = tables.stored(members.groupBy("key").agg(F.count("*").alias("now")), "sizes")
+    members = tables.stored(members.join(sizes, "key").drop("size").withColumnRenamed("now", "size"), "rest")
+    crowd = members.where(F.col("size") > SMALL)
+    one = tables.stored(block_links(crowd, texts, shingle, percent, miss, tables), "block-links")
+    sure = confirmed_links(one)
+    if sure.count() < one.count():  # a link of hashes that the full sets refute: all links instead of one for two components
+        sure = confirmed_links(tables.stored(block_links(crowd, texts, shingle, percent, miss, tables, every=True), "block-links"))
+    links = links.unionByName(sure)
     x, y = members.where(F.col("size") <= SMALL).alias("x"), members.alias("y")
     near_size = (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n"))
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near_size)
     links = links.unionByName(links_of(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))))
-    labels = components(links)
-
-    of_class = classes.select("n", "h1", "h2", "id").join(labels, "id", "left").select("n", "h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
-    out = sigs.select("doc_id", "n", "h1", "h2").join(of_class, ["n", "h1", "h2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        F.col("doc_id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+    labels = components(links, tables)
+
+    of_class = classes.join(labels, "id", "left").select("n", "h1", "h2", "copies", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
+    of_class = tables.stored(of_class, "of-class")
+    placed = join_dealt(full.select("doc_id", "n", "h1", "h2"), of_class, ["n", "h1", "h2"], "copies", n_classes, ["doc_id"])
+    alone = sigs.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component"))
+    out = placed.select("doc_id", "n", "class_id", "component").unionByName(alone)
+    component, named = F.coalesce("component", "doc_id"), lambda c: F.nullif(c, F.lit(NO_ID))
+    return tables.result(
+        out.select(
+            named(F.col("doc_id")).alias(id_col),
+            F.col("n").alias("n_shingles"),
+            named(component).alias("component_id"),
+            (F.col("doc_id") == component).alias("kept"),
+            named(F.coalesce("class_id", "doc_id")).alias("class_id"),
+        )
     )
 
 
-def in_common(texts: DataFrame, size: int) -> DataFrame:
+def in_common(texts: DataFrame, size: int, tables: Tables) -> DataFrame:
     """(id, n, shared): a document's shingles, and how many of them occur in another document too."""
     schema = pa.schema([("h", pa.int64()), ("id", pa.int64())])
 
@@ -253,7 +345,7 @@ def in_common(texts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc_id))], schema=schema)
 
     rows = texts.select("doc_id", "text").mapInArrow(explode, "h long, id long")
-    twice = rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", F.lit(1).alias("twice"))
+    twice = tables.stored(rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", F.lit(1).alias("twice")), "twice")
     return rows.join(twice, "h", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("twice").alias("shared"))
 
 
@@ -288,12 +380,12 @@ def intersections(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
-    """Links between components in large buckets: blocks of a bucket meet blocks, links alone come out."""
+def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, miss: float, tables: Tables, every: bool = False) -> DataFrame:
+    """Links between components in large buckets: blocks of a bucket meet blocks, one link for two components comes out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     needed = least_equal(percent / 100, miss)
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(sets_of(texts.join(wanted, "doc_id", "left_semi"), size), "sets")
+    sets = tables.stored(sets_of(texts.join(wanted, "doc_id", "left_semi"), size), "sets")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     placed = members.select("key", "id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("block"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -318,20 +410,23 @@ def block_links(members: DataFrame, texts: DataFrame, size: int, percent: int, m
         both = intersections([full[i] for i in some])
         m = n[some]
         i, j = np.nonzero(alive[np.ix_(some, some)] & (100 * both >= percent * (m[:, None] + m - both)))
+        if not every:
+            _, first = np.unique(np.sort(np.column_stack([component[some][i], component[some][j]])), axis=0, return_index=True)
+            i, j = i[first], j[first]
         return pa.Table.from_arrays([pa.array(ids[some][i]), pa.array(ids[some][j])], schema=schema)
 
     return met.join(sets, "id").groupBy("key", "low", "high").applyInArrow(link, "a long, b long").distinct()
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
     """Members with their new components, in the buckets that hold more than one component."""
     now = members.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return _mixed(now)
+    return _mixed(now, tables)
 
 
-def _mixed(members: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, tables: Tables) -> DataFrame:
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stored(members.join(mixed, "key"), "open")
+    return tables.stored(members.join(tables.stored(mixed, "mixed"), "key"), "open")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

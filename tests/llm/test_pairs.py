@@ -6,6 +6,7 @@ import numpy as np
 
 from merrow.llm import near_dedup
 from merrow.llm.ann import nearest
+from merrow.llm.common import Tables
 from merrow.llm.components import components
 from merrow.llm.near_dedup import Signer, intersections, near_duplicates, shingle_set
 from merrow.llm.suffix_dedup import multikey_order, remove_repeats
@@ -80,7 +81,7 @@ def test_intersections():
 
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 170)] + [(5, 150), (900, 901)], "a long, b long")
-    got = {r.id: r.component for r in components(links).collect()}
+    got = {r.id: r.component for r in components(links, Tables(spark, "path")).collect()}
     assert got == {**{i: 5 for i in [5, *range(100, 171)]}, 900: 900, 901: 900}
 
 
@@ -146,3 +147,36 @@ def test_nearest_against_brute_force(spark):
     few = nearest(df.where("vec_id < 4"), df.where("vec_id = 0"), k=20).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def thue_morse(n, swap=False):
+    bits = [bin(i).count("1") % 2 ^ swap for i in range(n)]
+    return "".join("ab"[b] for b in bits)
+
+
+def test_words_with_one_polynomial_hash_are_told_apart(spark):
+    x, y = thue_morse(1024), thue_morse(1024, True)
+    same = f"{x} {x} {y} {y} {x} {y} {y} {x} {x}"
+    rows = [(1, f"{x} one two three"), (2, f"{y} one two three"), (3, same), (4, same.upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (5, 3), 4: (5, 3)}
+
+
+def test_equal_hashes_are_confirmed_on_full_sets(spark, monkeypatch):
+    signed = near_dedup.signed
+    monkeypatch.setattr(near_dedup, "signed", lambda rows, size: signed(rows, size).selectExpr("doc_id", "n", "0L AS h1", "0L AS h2", "signature"))
+    against_brute(spark, corpus(4, 25))
+
+
+def test_colliding_shingles_of_a_set_are_counted_apart(monkeypatch):
+    monkeypatch.setattr(near_dedup, "mix64", lambda x: x & np.uint64(3))
+    assert len(Signer(2).shingles("a b c d e f g h a b c")) == len(shingle_set("a b c d e f g h a b c", 2))
+
+
+def test_very_long_text_and_windows(spark, monkeypatch):
+    text = " ".join(random.Random(8).choices(WORDS, k=60_000))
+    whole = Signer(4).shingles(text)
+    monkeypatch.setattr(near_dedup, "WINDOW", 1000)
+    assert (Signer(4).shingles(text) == whole).all() and len(whole) == len(shingle_set(text, 4))
+    rows = spark.createDataFrame([(1, text), (2, text + " end"), (3, "w" * 3_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(rows, shingle=4).collect()} == {1: 1, 2: 1, 3: 3}
