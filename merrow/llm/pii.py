@@ -4,9 +4,10 @@ Base identifiers (email, ip, card, phone) are found in the text as it is. A tran
 look-alike and full-width characters, invisible characters, spelled digits, "plus", and disguised at and dot signs. It
 keeps, for every character written, the source range it stands for. The same detectors run on the rewritten text;
 what they find is mapped back to source ranges and added, if a rewritten character takes part and no base span of the
-kind overlaps. All detectors are linear in the text's length.
+kind holds the whole of it: a base span may be the plain tail of a disguised identifier, and both are reported then.
+All detectors are linear in the text's length, and so is the comparison of added with base spans.
 
-Defined cases: a null or empty text has no spans; a bare word "at" counts only between a name and a domain with a
+Defined cases: a null or empty text has no spans; a text of any length is read whole; an empty table gives no rows; a bare word "at" counts only between a name and a domain with a
 disguised dot; spans are code points, end exclusive; rows that share an identifier are separate rows; further
 columns are ignored by ``find_pii`` and kept by ``redact``.
 """
@@ -155,11 +156,16 @@ def rewritten(text: str) -> tuple[str, list[int], list[int], list[int]]:
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """What the rewritten text has beyond the base spans, by source ranges."""
     plain, starts, ends, changed = rewritten(text)
-    added = []
-    for kind, a, b in identifiers(plain):
+    known = {kind: [s for s in base if s[0] == kind] for kind in KINDS}
+    at, added = dict.fromkeys(KINDS, 0), []
+    for kind, a, b in identifiers(plain):  # both sides go by start, so each kind's base spans are passed once
         if changed[b] > changed[a]:
             start, end = starts[a], ends[b - 1]
-            if all(k != kind or end <= s or e <= start for k, s, e in base):
+            spans, i = known[kind], at[kind]
+            while i < len(spans) and spans[i][2] < end:
+                i += 1
+            at[kind] = i
+            if i == len(spans) or spans[i][1] > start:
                 added.append((kind, start, end))
     return added
 

@@ -59,6 +59,23 @@ def test_disguises_map_back_to_the_source():
     assert added("1​0.0.0.1") == [] or added("1​0.0.0.1")[0][0] == "ip"
 
 
+def test_disguises_beside_plain_tails():
+    assert all_spans("jоhn@example.com") == ([("email", 2, 16)], [("email", 0, 16)])
+    assert masked("mail jоhn@example.com, ann@x.org") == "mail [EMAIL], [EMAIL]"
+    assert all_spans("a jo@mail.com dot au b") == ([("email", 2, 13)], [("email", 2, 20)])
+    assert masked("a jo@mail.com dot au b") == "a [EMAIL] b"
+    for disguise in ("jоhn@example.com", "ann (at) b.com", "call plus 14155552671"):
+        text = f"ann@x.org {disguise}, 10.0.0.1, ann@x.org "
+        base, more = all_spans(text)
+        assert len(more) == 1 and masked(text).count("[") == 4
+
+
+def test_many_base_and_added_spans_are_compared_in_one_pass():
+    text = "jоhn@example.com 10.0.0.1 " * 20_000
+    base, more = all_spans(text)
+    assert len(base) == 40_000 and len(more) == 20_000
+
+
 def test_clean_text_gains_nothing():
     for text in ["", "meet me at home one day", "see you at example.com", "one two three", "a dot b", "voilà l'été à Paris", "Ελλάδα и Россия"]:
         assert all_spans(text) == ([], [])
