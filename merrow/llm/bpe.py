@@ -2,13 +2,15 @@
 
 The end of a text may change tokens only so far back: a merge sees its right neighbour, which exists or not because of
 merges of lower rank further right, and so on, along a chain of falling ranks. ``sufficient_lookahead`` is the longest
-such chain in symbols, from the merge list alone. The encoder reads symbols into a window of bounded size, merges
-within it, and emits the tokens that end at least that far before the window's end; it goes on from there. Words of
-ordinary length fit in the window and are merged at once; their tokens are kept in a bounded cache.
+such chain in symbols, from the merge list alone. Every word goes through the transducer, which reads symbols into a window
+of bounded size, merges within it, emits the tokens that end at least that far before the window's end, and goes on from
+there; what a word of ordinary length gives is kept in a bounded cache. The decoder is a machine of its own: it takes one
+id after the other and gives the text that is sure by then. Digests are fed by both as they go.
 
 Defined cases: a null or empty text has no tokens; special tokens written in a text are those tokens, as in the
-library; texts of any length use constant memory beyond the text itself; rows that share an identifier are separate
-rows; further columns are ignored.
+library; a text is read in chunks of ``CHUNK`` characters that end between words, so beyond the text and its longest word
+memory is constant (unless ids are asked for); rows that share an identifier are separate rows; further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -48,7 +51,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], size=len) -> int:
 class Bpe:
     """A BPE vocabulary with word ends, read from a tokenizer file."""
 
-    CACHED, CACHE_CHARS, CHUNK = 250_000, 40, 1 << 20
+    CACHED, CACHE_CHARS, LONG, CHUNK = 250_000, 40, 4096, 1 << 18
     _made: dict[str, "Bpe"] = {}
 
     def __init__(self, path: str) -> None:
@@ -65,7 +68,8 @@ class Bpe:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.byte_symbol = {b: c for c, b in byte_alphabet().items()}
+        self.symbol_byte = byte_alphabet()
+        self.byte_symbol = {b: c for c, b in self.symbol_byte.items()}
         self.cache: dict[str, tuple[str, str]] = {}
 
     @classmethod
@@ -107,7 +111,7 @@ class Bpe:
         return [t for t in tokens if t is not None]
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of one word of any length, each one as soon as it is stable; the last symbol has the word's end."""
+        """The transducer: tokens of one word of any length, each one as soon as it is stable; the last symbol has the word's end."""
         held: list[str] = []
         for symbol in symbols:
             held.append(symbol)
@@ -122,14 +126,21 @@ class Bpe:
                 del held[:used]
         yield from self.merged(held)
 
+    def symbols(self, word: str) -> Iterator[str]:
+        """The symbols of a word, byte by byte; the last one has the word's end."""
+        held = ""
+        for start in range(0, len(word), self.LONG):
+            for b in word[start : start + self.LONG].encode("utf-8"):
+                if held:
+                    yield held
+                held = self.byte_symbol[b]
+        yield held + self.end
+
     def word(self, word: str) -> tuple[str, str]:
         """Of one word: its ids in decimal and its tokens' text, each joined by spaces."""
         if (known := self.cache.get(word)) is not None:
             return known
-        symbols = [self.byte_symbol[b] for b in word.encode("utf-8")]
-        symbols[-1] += self.end
-        tokens = self.merged(symbols) if len(symbols) <= self.window else list(self.stream(symbols))
-        ids = [self.vocab[t] for t in tokens]
+        ids = [self.vocab[t] for t in self.stream(self.symbols(word))]
         made = " ".join(map(str, ids)), self.decode(ids)
         if len(word) <= self.CACHE_CHARS:
             if len(self.cache) >= self.CACHED:
@@ -149,39 +160,93 @@ class Bpe:
             start = end
         yield text[start:]
 
-    def encoded(self, text: str) -> list[tuple[str, str]]:
-        """For each word in turn, its ids and its decoded text."""
-        out: list[tuple[str, str]] = []
+    def pieces(self, text: str) -> Iterator[tuple[list[str], list[str]]]:
+        """Of a chunk after the other: ids in decimal and decoded texts, of words or of parts of a very long word."""
         cache, word = self.cache.get, self.word
         for part in self.special.split(text) if "<|" in text else (text,):
             if part in self.specials:
-                out.append((str(self.specials[part]), part))
+                yield [str(self.specials[part])], [part]
                 continue
             for chunk in self.chunks(part):
                 if not chunk.isascii():
                     chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-                out += [cache(w) or word(w) for w in self.words.findall(chunk.lower())]
-        return out
+                words = self.words.findall(chunk.lower())
+                if not words:
+                    continue
+                if len(chunk) > self.LONG and max(map(len, words)) > self.LONG:
+                    for w in words:
+                        yield from self.long_word(w) if len(w) > self.LONG else [tuple([x] for x in word(w))]
+                    continue
+                pairs = [cache(w) or word(w) for w in words]
+                yield [p[0] for p in pairs], [p[1] for p in pairs]
+
+    def long_word(self, word: str) -> Iterator[tuple[list[str], list[str]]]:
+        tokens = self.stream(self.symbols(word))
+        while part := list(islice(tokens, 1024)):
+            ids = [self.vocab[t] for t in part]
+            yield [" ".join(map(str, ids))], [self.decode(ids)]
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.encoded(text) for i in ids.split()]
+        return [int(i) for ids, _ in self.pieces(text) for part in ids for i in part.split()]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """As the library's decode for a file without a decoder: the tokens with a space between."""
-        return " ".join(self.tokens[i] for i in ids)
+        """As the library's decode for a file without a decoder."""
+        machine = Decoder(self, "tokens")
+        return "".join(map(machine.feed, ids)) + machine.finish()
 
     def decoded_text(self, ids: Iterable[int]) -> Iterator[str]:
-        """The text of the ids, token by token: bytes go through an incremental UTF-8 machine, word ends become spaces."""
-        alphabet, machine = {c: b for b, c in self.byte_symbol.items()}, codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            token = self.tokens[i]
-            if token in self.specials:
-                yield machine.decode(b"", True) + token
-                machine.reset()
-                continue
-            bare = token.removesuffix(self.end)
-            yield machine.decode(bytes(alphabet[c] for c in bare)) + " " * (bare != token)
-        yield machine.decode(b"", True)
+        """The text that the ids stand for, token by token."""
+        machine = Decoder(self, "text")
+        yield from map(machine.feed, ids)
+        yield machine.finish()
+
+
+class Decoder:
+    """An incremental machine from ids to text; its state is a flag or the bytes of an unfinished character.
+
+    'tokens' writes the bytes of each token in their printable stand-ins, a space between tokens, as the library does
+    for a file without a decoder; 'text' writes the characters as soon as their bytes are complete, and word ends as spaces.
+    """
+
+    def __init__(self, bpe: Bpe, form: str) -> None:
+        self.bpe, self.started = bpe, False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.feed = {"tokens": self.token, "text": self.characters}[form]
+
+    def token(self, i: int) -> str:
+        before = " " if self.started else ""
+        self.started = True
+        return before + self.bpe.tokens[i]
+
+    def characters(self, i: int) -> str:
+        token = self.bpe.tokens[i]
+        if token in self.bpe.specials:
+            return self.finish() + token
+        bare = token.removesuffix(self.bpe.end)
+        return self.utf8.decode(bytes(self.bpe.symbol_byte[c] for c in bare)) + " " * (bare != token)
+
+    def finish(self) -> str:
+        rest = self.utf8.decode(b"", True)
+        self.utf8.reset()
+        return rest
+
+
+class Spaced:
+    """SHA-256 of parts with a space between, fed as they come; ``kept`` has the parts themselves, if asked for."""
+
+    def __init__(self, keep: bool) -> None:
+        self.digest, self.started, self.spaces = hashlib.sha256(), False, 0
+        self.kept: list[str] | None = [] if keep else None
+
+    def put(self, parts: list[str]) -> None:
+        text = " ".join(parts)
+        if self.started:
+            text = " " + text
+        self.started = True
+        self.spaces += text.count(" ")
+        self.digest.update(text.encode("utf-8"))
+        if self.kept is not None:
+            self.kept.append(text)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -194,10 +259,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = bpe.encoded(text.as_py())
-                ids, decoded = " ".join([w[0] for w in words]), " ".join([w[1] for w in words])
-                digest = [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in (ids, decoded)]
-                rows.append((doc_id, ids.count(" ") + bool(ids), *digest, *([list(map(int, ids.split())), decoded] if with_ids else [])))
+                ids, decoded = Spaced(with_ids), Spaced(with_ids)
+                for some_ids, some_text in bpe.pieces(text.as_py()):
+                    ids.put(some_ids)
+                    decoded.put(some_text)
+                whole = [[int(i) for part in ids.kept for i in part.split()], "".join(decoded.kept)] if with_ids else []
+                rows.append((doc_id, ids.spaces + ids.started, ids.digest.hexdigest(), decoded.digest.hexdigest(), *whole))
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from merrow.llm.bpe import Bpe, encode_documents, sufficient_lookahead
+from merrow.llm.bpe import Bpe, Decoder, Spaced, encode_documents, sufficient_lookahead
 from merrow.llm.packing import ByteTokenizer, Planner, pack
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -23,7 +25,7 @@ def same(library, text):
     ids = library.encode(text, add_special_tokens=False).ids
     mine = Bpe.of(WORD)
     assert mine.ids(text) == ids
-    assert " ".join(d for _, d in mine.encoded(text)) == library.decode(ids, skip_special_tokens=False)
+    assert " ".join(d for _, texts in mine.pieces(text) for d in texts) == library.decode(ids, skip_special_tokens=False)
 
 
 @settings(max_examples=400, deadline=None)
@@ -50,6 +52,32 @@ def test_long_words_stream(library):
         same(library, text)
 
 
+def test_every_word_goes_through_the_transducer_and_the_decoder(monkeypatch):
+    words, fed = [], []
+    stream, token = Bpe.stream, Decoder.token
+    monkeypatch.setattr(Bpe, "stream", lambda self, symbols: stream(self, words.append(1) or symbols))
+    monkeypatch.setattr(Decoder, "token", lambda self, i: fed.append(i) or token(self, i))
+    bpe = Bpe(WORD)
+    ids = bpe.ids("the cat sat on the unbelievable mat " + "q" * 5000)
+    assert len(words) == 7 and fed.count(bpe.vocab["cat</w>"]) == 1 and set(fed) == set(ids)
+
+
+def test_long_texts_in_constant_memory(library):
+    text = "the quick brown fox, jumped over 12 lazy dogs " * 170_000
+    bpe = Bpe(WORD)
+    ids, decoded = Spaced(False), Spaced(False)
+    tracemalloc.start()
+    for some_ids, some_text in bpe.pieces(text):
+        ids.put(some_ids)
+        decoded.put(some_text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000 < 2 * len(text) + 10_000_000
+    few = library.encode(text[: 46 * 3], add_special_tokens=False).ids
+    assert ids.spaces + 1 == len(few) // 3 * 170_000
+    assert ids.digest.hexdigest() == hashlib.sha256(" ".join(map(str, few[: len(few) // 3] * 170_000)).encode()).hexdigest()
+
+
 def test_lookahead_of_a_chain():
     assert sufficient_lookahead([("a", "b")]) == 2
     assert sufficient_lookahead([("c", "d"), ("b", "c"), ("a", "b")]) == 4
@@ -61,7 +89,7 @@ def test_decoded_text_restores_words():
 
 
 def test_encode_documents_rows(spark):
-    docs = spark.createDataFrame([(1, "the cat"), (2, None), (3, ""), (3, "x" * 5000)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "the cat", 5), (2, None, 5), (3, "", 5), (3, "x" * 5000, 5)], "doc_id long, text string, n_tokens int")
     rows = encode_documents(docs, WORD, with_ids=True).collect()
     assert len(rows) == 4 and {r.n_tokens for r in rows if r.ids == []} == {0}
     assert encode_documents(docs.limit(0), WORD).count() == 0
