@@ -2,10 +2,12 @@
 
 A line's key is the line without ASCII white space at its ends and with A-Z in lower case. Keys of at least
 ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines, except in the document with
-the largest identifier among those holding it. Only 16 bytes of hash, the identifier and the position of a long line
-are shuffled; the texts go through one shuffle, to meet the positions that they lose.
+the largest identifier among those holding it. The long lines are hashed once and written: 16 bytes of hash, identifier
+and position; that is all that is shuffled of them, and a line that very many documents hold is dealt to many tasks. The
+texts go through one shuffle, to meet the positions that they lose.
 
-Defined cases: a null or empty text is one empty line; rows that share an identifier are one document for the count,
+Defined cases: a null or empty text is one empty line; a text of any length is one row, and its lines are rows of their
+own; columns named n_lines or n_dropped are replaced; rows that share an identifier are one document for the count,
 and each keeps or loses its lines alike; null identifiers count as one document that never is the largest beside
 another; further columns stay; an empty table gives no rows.
 """
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, plain_text
+from .common import Tables, documents, join_dealt, plain_text
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\x0c\r"
@@ -29,7 +31,8 @@ def line_key(line: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with text replaced by the lines that stay; adds n_lines, n_dropped."""
-    others = [c for c in docs.columns if c != text_col]
+    tables = Tables(docs.sparkSession, "lines")
+    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     rows = docs.select(
         F.struct(*[F.col(c) for c in others]).alias("_row"),
         F.col(id_col).alias("_id"),
@@ -43,31 +46,28 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .where(F.char_length("_key") >= min_chars)
         .select("_id", "_version", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), "_key").alias("_h2"))
     )
+    long_lines = tables.stored(long_lines, "long")
     common = (
         long_lines.select("_h1", "_h2", "_id").distinct()
         .groupBy("_h1", "_h2").agg(F.count("*").alias("_docs"), F.max("_id").alias("_keeper"))
         .where(F.col("_docs") >= min_docs)
-        .select("_h1", "_h2", "_keeper")
     )
+    common = tables.stored(common, "common")
     lost = (
-        long_lines.join(common, ["_h1", "_h2"])
+        join_dealt(long_lines, common, ["_h1", "_h2"], "_docs", long_lines.count(), ["_id", "_pos"])
         .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
         .groupBy("_id", "_version").agg(F.collect_set("_pos").alias("_lost"))
         .select(F.col("_id").alias("_lost_id"), F.col("_version").alias("_lost_version"), "_lost")
     )
+    lost = tables.result(lost)
     met = rows.join(lost, F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_version") == F.col("_lost_version")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), "_lost")
+    stay = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), "_lost")
     rebuilt = F.concat_ws("\n", F.transform(stay, lambda i: F.get("_lines", i)))
-    return (
-        met.withColumn("_lines", lines)
-        .withColumn("n_lines", F.size("_lines"))
-        .select(
-            "_row.*",
-            F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(rebuilt).alias(text_col),
-            F.col("n_lines").cast("long").alias("n_lines"),
-            F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
-        )
-    )
+    out = met.withColumn("_lines", lines).withColumn("_n", F.size("_lines"))
+    dropped = F.size(F.coalesce("_lost", F.array().cast("array<int>")))
+    out = out.select("_row", F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(rebuilt).alias("_kept"), "_n", dropped.alias("_dropped"))
+    counts = F.col("_n").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped")
+    return out.select("_row.*", F.col("_kept").alias(text_col), *counts)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
