@@ -1,88 +1,126 @@
 """Exact duplicates by a log-structured merge index of digests (DataFrame functions only).
 
-Every task is a memtable: it sorts the digests of its rows and flushes them as one sorted run, a Parquet file
-with a Bloom filter and min/max statistics on the digest. Compaction merges the runs into one level with a single
-entry a digest, which keeps the smallest (or largest) identifier and the number of rows. Looking documents up in
-the level gives their group; every hit of a group of more than one is verified byte by byte against the text of
-the row that stays. Rows that fail (two texts with one digest) are grouped anew by their bytes.
-
-Defined cases: a null text is the empty text; null identifiers never stay if the group has another; a row that
-repeats identifier and text is kept with its twin; further columns are ignored; an empty table gives no rows.
+Every task is a memtable: it sorts the digests of its rows and flushes them as a sorted run file. ``FANOUT`` runs of a
+tier are compacted into one run of the next, and in the end all are; compaction merges by digest, keeps the smallest (or
+largest) identifier and the number of rows. Each compacted run has a filter over the digests that are in it more than
+once, or, for look-ups of other documents, over all: a bitmap of a position a digest, of ``BITS`` bits at most, so it may
+be broadcast. Look-ups probe the filter first, so only texts that may have a copy are shuffled. Every hit is then
+verified byte by byte against the text of the row that stays. Rows that fail (two texts with one digest) are grouped
+anew by their bytes. A group of any size is dealt to many tasks, each with a copy of the text that stays.
+
+Defined cases: a null text is the empty text; texts of any length are compared whole; null identifiers never stay if the
+group has another; a row that repeats identifier and text is kept with its twin; further columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, plain_text, shared_folder, stored
+from .common import Tables, documents, join_dealt, plain_text, salted
+
+MAP_BITS, BITS, FANOUT = 1 << 15, 1 << 27, 4  # bits of a bitmap of the built-in aggregate, and of a whole filter
+
+
+class Filter:
+    """Bitmaps (_bucket, _map) over digests; at least eight bits a digest up to ``BITS``, where it lets more through."""
+
+    def __init__(self, tables: Tables, digests: DataFrame) -> None:
+        n = digests.count()
+        self.bits = MAP_BITS
+        while self.bits < min(8 * n, BITS):
+            self.bits *= 2
+        places = self.placed(digests).select("_bucket", "_bit").repartition("_bucket")
+        self.maps = tables.stored(places.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map")), "filter")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit(3), "digest"), F.lit(self.bits))
+        return rows.withColumn("_bucket", F.floor(place / MAP_BITS).cast("int")).withColumn("_bit", (place % MAP_BITS).cast("int"))
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """The rows whose digest may be in the filter (all that are, few others)."""
+        hit = "(shiftright(cast(conv(hex(substring(_map, _bit div 8 + 1, 1)), 16, 10) as int), _bit % 8) & 1) = 1"
+        # BITS / MAP_BITS bitmaps of 4 kB at most: 16 MB
+        return self.placed(rows).join(F.broadcast(self.maps), "_bucket").where(hit).select(*rows.columns)
 
 
 class DigestIndex:
-    """Sorted runs and one compacted level below ``path``; ``keep`` is 'min' or 'max'."""
+    """Sorted runs by tier; ``keep`` is 'min' or 'max'."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "min") -> None:
+    def __init__(self, tables: Tables, keep: str = "min") -> None:
         if keep not in ("min", "max"):
             raise ValueError("keep is 'min' or 'max'")
-        self.spark, self.keep = spark, keep
-        self.path = path or f"{shared_folder(spark)}/merrow-lsm-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.level: DataFrame | None = None
+        self.tables, self.keep = tables, keep
+        self.tiers: dict[int, list[DataFrame]] = defaultdict(list)
 
-    def _best(self, column: str) -> Column:
+    def best(self, column: str) -> Column:
         return (F.min if self.keep == "min" else F.max)(column)
 
     def flush(self, entries: DataFrame) -> None:
-        """entries: (digest, id). One sorted, filtered run file from each task's memtable."""
-        run = f"{self.path}/run-{len(self.runs)}"
-        (
-            entries.select("digest", "id", F.lit(1).cast("long").alias("n"))
-            .sortWithinPartitions("digest", "id")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", "1000000")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(run)
-        )
-        self.runs.append(run)
+        """entries: (digest, id). A sorted run file from each task's memtable; full tiers are compacted."""
+        run = entries.select("digest", "id", F.lit(1).cast("long").alias("n")).sortWithinPartitions("digest", "id")
+        self.tiers[0].append(self.tables.stored(run, "run"))
+        tier = 0
+        while len(self.tiers[tier]) >= FANOUT:
+            self.tiers[tier + 1].append(self.merged(self.tiers.pop(tier)))
+            tier += 1
+
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        rows = runs[0]
+        for run in runs[1:]:
+            rows = rows.unionByName(run)
+        level = rows.groupBy("digest").agg(self.best("id").alias("id"), F.sum("n").alias("n"))
+        return self.tables.stored(level.sortWithinPartitions("digest"), "level")
 
     def compact(self) -> DataFrame:
-        """Merges all runs and the old level: (digest, id, n) with one row a digest."""
-        merged = self.spark.read.schema("digest string, id long, n long").parquet(*self.runs)
-        if self.level is not None:
-            merged = merged.unionByName(self.level)
-        self.level = stored(merged.groupBy("digest").agg(self._best("id").alias("id"), F.sum("n").alias("n")), "level")
-        self.runs = []
-        return self.level
+        """All runs in one: (digest, id, n) with one row a digest."""
+        level = self.merged([run for runs in self.tiers.values() for run in runs])
+        self.tiers = defaultdict(list, {max(self.tiers, default=0) + 1: [level]})
+        return level
+
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """rows with a digest -> those with a copy in the index, with keep_id and n."""
+        level = self.compact()
+        found = Filter(self.tables, level).probe(rows)
+        known = level.select("digest", F.col("id").alias("keep_id"), "n")
+        return join_dealt(found, known, ["digest"], "n", level.agg(F.sum("n")).first()[0] or 0, ["digest"])
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
+    tables = Tables(docs.sparkSession, "lsm")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), plain_text(text_col).alias("text")).withColumn("digest", F.sha2("text", 256))
-    index = DigestIndex(spark, keep=keep)
+    index = DigestIndex(tables, keep)
     index.flush(rows.select("digest", "id"))
-    level = index.compact()
-    shared = level.where("n > 1")
-
-    found = rows.select("id", "digest").join(level.withColumnRenamed("id", "keep_id"), "digest")
-    hits = stored(rows.join(shared.select("digest", F.col("id").alias("keep_id"), "n"), "digest"), "hits")
-    keepers = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("text").alias("keep_text"))
-    failed = hits.join(keepers, "digest").where(F.col("text") != F.col("keep_text")).select("digest")
-    clashes = stored(failed.distinct(), "clashes")
-    if not clashes.isEmpty():
-        best = F.min("id") if keep == "min" else F.max("id")
+    level = index.compact().withColumnRenamed("id", "keep_id")
+    groups = tables.stored(level.where("n > 1"), "groups")
+    total = level.agg(F.sum("n")).first()[0] or 0
+
+    hits = join_dealt(Filter(tables, groups).probe(rows), groups, ["digest"], "n", total, ["id"])
+    hits = tables.stored(hits, "hits")
+    keepers = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "n").agg(F.min("text").alias("keep_text"))
+    met = salted(hits, tables.stored(keepers, "keepers"), "digest", "n", "id")
+    clashes = tables.stored(met.where(F.col("text") != F.col("keep_text")).select("digest").distinct(), "clashes")
+    columns = ["id", "keep_id", "n", "digest"]
+    found = level.where("n = 1").select(F.col("keep_id").alias("id"), "keep_id", "n", "digest")
+    if clashes.isEmpty():
+        found = found.unionByName(hits.select(*columns))
+    else:
         texts = hits.select("id", "digest", "text").join(clashes, "digest")
-        anew = texts.join(texts.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("n")), ["digest", "text"])
-        columns = ["id", "keep_id", "n", "digest"]
-        found = found.join(clashes, "digest", "left_anti").select(*columns).unionByName(anew.select(*columns))
-    return found.select(
-        F.col("id").alias(id_col),
-        "keep_id",
-        F.col("n").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        anew = tables.stored(texts.groupBy("digest", "text").agg(index.best("id").alias("keep_id"), F.count("*").alias("n")), "anew")
+        found = found.unionByName(hits.join(clashes, "digest", "left_anti").select(*columns))
+        found = found.unionByName(texts.join(anew, ["digest", "text"]).select(*columns))
+    return tables.result(
+        found.select(
+            F.col("id").alias(id_col),
+            "keep_id",
+            F.col("n").alias("group_size"),
+            F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            F.col("digest").alias("text_sha256"),
+        )
     )
 
 
