@@ -4,37 +4,50 @@ Every string of ``span`` bytes chooses one place inside it, an anchor, by the le
 ties), so equal strings choose alike and a sparse set of suffixes, those at anchors, sees every repetition:
 
 1. Anchors whose gram occurs once are dropped (counts by hash). The others keep the range of strings that chose them.
-2. The bytes that those strings cover around an anchor, its segment, are compared by hash: anchors with the same
-   segment are repeated as a whole. One anchor of each segment goes on, whatever the number of its copies.
+2. The bytes that those strings cover around an anchor, its segment, are compared by BLAKE2b of 128 bits: anchors with
+   the same segment are repeated as a whole. One anchor of each segment goes on, whatever the number of its copies.
 3. Sampled splitters deal these suffixes by their leading bytes into ranges; equal grams never straddle a boundary.
    A bucket sorts the suffixes by multikey quicksort, and the bytes before the anchors likewise, and compares
    neighbours. A string that starts d bytes before its anchor is repeated if another anchor shares its d bytes before
    and its span - d bytes from the anchor on, that is, if both lie in one run of either sorted order.
-4. A gram with more than ``hot`` different segments is not sorted in one bucket: its strings are counted by a 128-bit
-   hash of their own, which spreads them evenly.
+4. A gram with more than ``hot`` different segments would be too much for one bucket: its strings are counted by a
+   BLAKE2b digest of their own, which spreads them evenly and gives the same.
 
 Ranges found are gathered by document and the bytes cut out. Defined cases: a null or empty text, or one under
-``span`` bytes, loses nothing; rows that share identifier and text count as repetitions of each other; further
+``span`` bytes, loses nothing; very long texts are read in windows of ``WINDOW`` bytes, so beyond a few copies of the text
+memory is bounded; rows that share identifier and text count as repetitions of each other; further
 columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, documents, mix64, plain_text, stored
+from .common import Rolling, Tables, documents, join_dealt, plain_text
 
 GRAM, SPAN, HOT = 64, 200, 20_000
-PLACE_BITS = 31
+WINDOW, PLACE_BITS = 1 << 20, 31
 
 
-def winnowed(data: np.ndarray, rolling: Rolling, gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a byte array: place, gram hash, farthest and nearest string start before it; and the prefix sums."""
+def winnowed(data: np.ndarray, rolling: Rolling, gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a byte array: place, gram hash, farthest and nearest string start before it."""
+    parts = []
+    for start in range(0, len(data) - span + 1, WINDOW):  # the strings that start in a window
+        place, *rest = winnowed_window(data[start : start + WINDOW + span - 1], rolling, gram, span)
+        parts.append((place + start, *rest))
+    place, h, far, near = (np.concatenate(x) for x in zip(*parts, strict=True))
+    first = np.concatenate([[True], place[1:] != place[:-1]])  # an anchor of strings on both sides of a window's end
+    last = np.concatenate([first[1:], [True]])
+    return place[first], h[first], far[first], near[last]
+
+
+def winnowed_window(data: np.ndarray, rolling: Rolling, gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     reach = span - gram + 1
     sums = rolling.sums(data)
     start = np.arange(len(data) - gram + 1)
@@ -49,7 +62,7 @@ def winnowed(data: np.ndarray, rolling: Rolling, gram: int, span: int) -> tuple[
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.concatenate([first[1:], [len(place)]]) - 1
     place = place[first]
-    return place, h[place], place - first, place - last, sums
+    return place, h[place], place - first, place - last
 
 
 def table(schema: pa.Schema, parts: list[tuple]) -> pa.RecordBatch:
@@ -72,7 +85,7 @@ def anchors_of(rows: DataFrame, gram: int, span: int) -> DataFrame:
             for i, v, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_py().encode("utf-8"), np.uint8)
                 if len(data) >= span:
-                    place, h, far, near, _ = winnowed(data, rolling, gram, span)
+                    place, h, far, near = winnowed(data, rolling, gram, span)
                     parts.append((h.view(np.int64), np.full(len(h), i), np.full(len(h), v), place << 16 | far << 8 | near))
             yield table(LONGS(*names), parts)
 
@@ -83,47 +96,50 @@ def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at >> 16, at >> 8 & 255, at & 255
 
 
+def digests(strings: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of 128 bits of each string, as two columns of integers."""
+    both = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in strings), np.int64)
+    return both[::2], both[1::2]
+
+
 def segments_of(candidates: DataFrame, span: int) -> DataFrame:
-    """(h, id, version, at, s1, s2): the hash of the bytes that an anchor's strings cover."""
+    """(h, id, version, at, s1, s2): the digest of the bytes that an anchor's strings cover."""
     names = "h", "id", "version", "at", "s1", "s2"
 
     def cut(batches):
-        rolling = Rolling()
         for batch in batches:
             parts = []
             for i, v, text, live in zip(*(batch.column(c) for c in range(4)), strict=True):
-                data = np.frombuffer(text.as_py().encode("utf-8"), np.uint8)
-                sums = rolling.sums(data)
+                data = text.as_py().encode("utf-8")
                 flat = live.values.flatten()
                 h, at = (x.to_numpy(zero_copy_only=False) for x in flat)
                 place, far, near = unpacked(at)
-                s1 = rolling.ranges(sums, place - far, place - near + span) + mix64((far << 8 | near).astype(np.uint64))
-                other = rolling.sums(data[::-1])
-                s2 = rolling.ranges(other, len(data) - (place - near + span), len(data) - (place - far))
-                parts.append((h, np.full(len(h), i.as_py()), np.full(len(h), v.as_py()), at, s1.view(np.int64), s2.view(np.int64)))
+                s1, s2 = digests(data[p - f : p - n + span] + bytes((f, n)) for p, f, n in zip(place.tolist(), far.tolist(), near.tolist(), strict=True))
+                parts.append((h, np.full(len(h), i.as_py()), np.full(len(h), v.as_py()), at, s1, s2))
             yield table(LONGS(*names), parts)
 
     return candidates.select("id", "version", "text", "live").mapInArrow(cut, DDL(*names))
 
 
-def multikey_order(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Order of byte strings held as rows of big-endian 8-byte words: only ties of the words so far are sorted on."""
-    order = np.argsort(words[:, 0], kind="stable")
-    tied = np.arange(len(order))
-    run = np.cumsum(np.concatenate([[0], np.diff(words[order, 0]) != 0]))
-    for column in [*range(1, words.shape[1]), -1]:
-        size = np.bincount(run, minlength=int(run[-1]) + 1 if len(run) else 0)
-        keep = size[run] > 1
-        tied, run = tied[keep], run[keep]
-        if not len(tied):
-            break
-        at = order[tied]
-        key = words[at, column] if column >= 0 else sizes[at].astype(np.uint64)
-        by = np.lexsort((key, run))
-        order[tied] = at[by]
-        key, run = key[by], run[by]
-        run = np.cumsum(np.concatenate([[0], (np.diff(run) != 0) | (np.diff(key) != 0)]))
-    return order
+def multikey_order(words: np.ndarray, sizes: np.ndarray, few: int = 64) -> np.ndarray:
+    """Multikey quicksort of byte strings held as rows of big-endian 8-byte words: order by words, then by size.
+
+    A part of the rows is split three ways by a pivot of the word it has come to; the equal ones go on to the next
+    word. Parts of ``few`` rows or less are sorted at once by the words that are left.
+    """
+    keys = np.column_stack([words, sizes.astype(np.uint64)])
+    out, stack = [np.zeros(0, np.int64)], [(np.arange(len(keys)), 0)]
+    while stack:
+        rows, depth = stack.pop()
+        if len(rows) < 2 or depth == keys.shape[1]:
+            out.append(rows)
+        elif len(rows) <= few:
+            out.append(rows[np.lexsort(keys[rows, depth:].T[::-1])])
+        else:
+            key = keys[rows, depth]
+            pivot = np.sort(key[[0, len(key) // 2, -1]])[1]
+            stack += [(rows[key > pivot], depth), (rows[key == pivot], depth + 1), (rows[key < pivot], depth)]
+    return np.concatenate(out)
 
 
 def run_lengths(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,20 +221,18 @@ def contexts_of(rows: DataFrame, gram: int, span: int) -> DataFrame:
 
 
 def strings_of(rows: DataFrame, span: int) -> DataFrame:
-    """Every string of the anchors given, by a 128-bit hash: (w1, w2, id, version, start)."""
+    """Every string of the anchors given, by its digest: (w1, w2, id, version, start)."""
     names = "w1", "w2", "id", "version", "start"
 
     def cut(batches):
-        rolling = Rolling()
         for batch in batches:
             parts = []
             for i, v, text, places in zip(*(batch.column(c) for c in range(4)), strict=True):
-                data = np.frombuffer(text.as_py().encode("utf-8"), np.uint8)
+                data = text.as_py().encode("utf-8")
                 place, far, near = unpacked(np.array(places.as_py(), np.int64))
                 start = np.concatenate([np.arange(p - f, p - n + 1) for p, f, n in zip(place, far, near, strict=True)])
-                w1 = rolling.ranges(rolling.sums(data), start, start + span)
-                w2 = rolling.ranges(rolling.sums(data[::-1]), len(data) - start - span, len(data) - start)
-                parts.append((w1.view(np.int64), w2.view(np.int64), np.full(len(start), i.as_py()), np.full(len(start), v.as_py()), start))
+                w1, w2 = digests(data[a : a + span] for a in start.tolist())
+                parts.append((w1, w2, np.full(len(start), i.as_py()), np.full(len(start), v.as_py()), start))
             yield table(LONGS(*names), parts)
 
     return rows.select("id", "version", "text", "places").mapInArrow(cut, DDL(*names))
@@ -260,20 +274,21 @@ def remove_repeats(
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), plain_text(text_col).alias("text"))
     rows = rows.select("doc", F.coalesce("doc", F.lit(-(2**63) + 1)).alias("id"), F.xxhash64("text").alias("version"), "text")
 
-    anchors = anchors_of(rows, gram, span)
-    shared = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    live = anchors.join(shared, "h").groupBy(*key).agg(F.collect_set(F.struct("h", "at")).alias("live"))
-    candidates = stored(rows.select(*key, "text").join(live, key), "candidates")
+    tables = Tables(docs.sparkSession, "repeats")
+    anchors = tables.stored(anchors_of(rows, gram, span), "anchors")
+    shared = tables.stored(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    live = join_dealt(anchors, shared, ["h"], "n", anchors.count(), ["id", "at"]).groupBy(*key).agg(F.collect_set(F.struct("h", "at")).alias("live"))
+    candidates = tables.stored(rows.select(*key, "text").join(live, key), "candidates")
 
-    segments = stored(segments_of(candidates, span), "segments")
+    segments = tables.stored(segments_of(candidates, span), "segments")
     ranked = segments.groupBy("h", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "at")).alias("one"))
-    ranked = stored(ranked, "ranked")
-    whole = segments.join(ranked.where("n > 1").select("h", "s1", "s2"), ["h", "s1", "s2"])
+    ranked, n_segments = tables.stored(ranked, "ranked"), segments.count()
+    whole = join_dealt(segments, ranked.where("n > 1").select("h", "s1", "s2", "n"), ["h", "s1", "s2"], "n", n_segments, ["id", "at"])
     place, far, near = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255)), F.col("at").bitwiseAND(F.lit(255))
     whole = whole.select(*key, (place - far).alias("start"), (place - near + span).alias("stop"))
 
-    sizes = ranked.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    pool = ranked.select("h", "one.*").join(sizes, "h")
+    sizes = tables.stored(ranked.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    pool = tables.stored(join_dealt(ranked.select("h", "one.*"), sizes, ["h"], "size", n_segments, ["id", "at"]), "pool")
     texts = candidates.select(*key, "text").dropDuplicates(key)
     normal = pool.where(F.col("size") <= hot).groupBy(*key).agg(F.collect_list("at").alias("places"))
     contexts = contexts_of(texts.join(normal, key), gram, span)
@@ -281,12 +296,12 @@ def remove_repeats(
 
     crowded = pool.where(F.col("size") > hot).groupBy(*key).agg(F.collect_list("at").alias("places"))
     strings = strings_of(texts.join(crowded, key), span)
-    often = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    counted = strings.join(often, ["w1", "w2"]).select(*key, "start", (F.col("start") + span).alias("stop"))
+    often = tables.stored(strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    counted = join_dealt(strings, often, ["w1", "w2"], "n", n_segments, ["id", "start"]).select(*key, "start", (F.col("start") + span).alias("stop"))
 
     found = whole.unionByName(bucketed).unionByName(counted)
     ranges = found.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    cut = cut_out(texts.join(ranges, key), with_text)
+    cut = tables.result(cut_out(texts.join(ranges, key), with_text))
     facts = rows.select("doc", *key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own_sha256"), *([F.col("text").cast("binary").alias("own")] if with_text else []))
     return facts.join(cut, key, "left").select(
         F.col("doc").alias(id_col),

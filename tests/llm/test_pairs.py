@@ -4,9 +4,9 @@ from collections import Counter
 
 import numpy as np
 
-from merrow.llm import near_dedup
+from merrow.llm import near_dedup, suffix_dedup
 from merrow.llm.ann import nearest
-from merrow.llm.common import Tables
+from merrow.llm.common import Rolling, Tables
 from merrow.llm.components import components
 from merrow.llm.near_dedup import Signer, intersections, near_duplicates, shingle_set
 from merrow.llm.suffix_dedup import multikey_order, remove_repeats
@@ -180,3 +180,23 @@ def test_very_long_text_and_windows(spark, monkeypatch):
     assert (Signer(4).shingles(text) == whole).all() and len(whole) == len(shingle_set(text, 4))
     rows = spark.createDataFrame([(1, text), (2, text + " end"), (3, "w" * 3_000_000)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in near_duplicates(rows, shingle=4).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_repeats_in_windows_of_long_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    shared = "".join(rng.choices("abc ", k=300))
+    rows = [(i, "".join(rng.choices("abcdef", k=2000)) + shared * (i % 3) + "".join(rng.choices("abcdef", k=500))) for i in range(6)]
+    frame = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, kept_sha256 int")
+    data = np.frombuffer(rows[2][1].encode(), np.uint8)
+    whole = suffix_dedup.winnowed(data, Rolling(), 12, 40)
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 97)
+    assert all((x == y).all() for x, y in zip(suffix_dedup.winnowed(data, Rolling(), 12, 40), whole, strict=True))
+    got = remove_repeats(frame, span=40, gram=12).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows, 40)
+
+
+def test_repeats_of_thousands_of_copies(spark):
+    text = "".join(random.Random(3).choices("abcdefgh", k=120))
+    rows = [(i, text + hashlib.sha256(b"%d" % i).hexdigest()) for i in range(900)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), span=40, gram=12).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows, 40)
