@@ -15,21 +15,28 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int
 ) -> tuple[list[tuple[str, int]], float]:
-    """At most ``per_class`` whole texts of each label, of at most ``max_chars`` characters, and the share of label 1.
+    """At most ``per_class`` texts of each label, of at most ``max_chars`` characters, and the share of label 1.
 
-    The rows are chosen by a hash of their identifier, so the sample is bounded (2 * per_class * max_chars
-    characters) and alike on every run; only the chosen identifiers are joined with the texts.
+    The rows are chosen by a hash of their identifier among texts within the bound; only where there are too few of
+    those do longer ones take part, each with a window of ``max_chars`` characters at a place that the hash chooses. So
+    the sample is bounded (2 * per_class * max_chars characters), alike on every run, and empty only where no labelled
+    text has a character. A document with several label rows has label 1 if any of them has; every row of a repeated
+    identifier is a text of its own; a null identifier is never learnt from.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     totals = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64("doc_id", F.lit(label))
+    key, size = F.xxhash64("doc_id", F.lit(label)), F.char_length("text")
+    sizes = docs.select("doc_id", (size > max_chars).alias("long")).where(size > 0).join(known, "doc_id")
     chosen = None
     for value in (0, 1):
-        part = known.where(F.col("label") == value).orderBy(order, "doc_id").limit(per_class)
+        part = sizes.where(F.col("label") == value).orderBy("long", key, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select("doc_id", "text").where(F.char_length("text").between(1, max_chars))
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(size - max_chars + 1, F.lit(1))).cast("int") + 1
+    texts = docs.select("doc_id", F.substring("text", start, F.lit(max_chars)).alias("text")).where(size > 0)
     # the chosen identifiers are 2 * per_class rows at most
-    rows = texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").orderBy(order, "doc_id").select("text", "label").limit(2 * per_class).collect()
+    rows = texts.join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").orderBy("long", key, "doc_id", "text")
+    rows = rows.select("text", "label").limit(2 * per_class).collect()
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     return [(r.text, r.label) for r in rows], share
 

@@ -5,8 +5,10 @@ difference of the sizes, over their sum, is turned into a probability by a logis
 that the dictionaries have not seen; the curve also sees how far the text shrinks at all (one word over and over
 shrinks alike with either dictionary). Every byte of a text takes part, whatever its length.
 
-Defined cases: an empty or null text has difference 0; without labelled rows of both kinds every text scores the
-share of label 1; further columns are ignored.
+Defined cases: an empty or null text has difference 0; a text of any length is compressed whole, block after block;
+without labelled rows of both kinds every text scores the share of label 1 (0 in an empty table of labels); rows that share
+an identifier are scored each for itself, and a null identifier is held out; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -3,11 +3,14 @@
 A text is cut into windows of ``window`` words. A window's vector is the mean of the vectors of the character
 3- to 5-grams of its words (with word ends); a linear softmax scores it, and the text scores as its highest window,
 so that a few words in a long text are not averaged away. Embeddings and softmax are trained together on a bounded
-sample, each epoch on the windows that score highest so far; an unseen misspelling shares most n-grams with the word it comes from. A logistic curve fitted on a part of
-the sample that training has not seen turns the highest window into a probability.
-
-Defined cases: an empty or null text, or one without letters, scores as a text without any known n-gram;
-without labelled rows of both kinds every text scores the share of label 1; further columns are ignored.
+sample, each epoch on the windows that score highest so far; an unseen misspelling shares most n-grams with the word it
+comes from. A logistic curve fitted on a part of the sample that training has not seen turns the highest window into a
+probability.
+
+Defined cases: an empty or null text, or one without letters, scores as a text without any known n-gram; a text of any
+length is scored whole, by its windows; without labelled rows of both kinds every text scores the share of label 1 (0 in an
+empty table of labels); rows that share an identifier are scored each for itself, and a null identifier is held out; an
+empty table gives no rows; ``score_toxicity`` ignores further columns, ``keep_clean`` keeps them.
 """
 
 from __future__ import annotations
@@ -46,6 +49,24 @@ def ngram_ids(text: str, bits: int, window: int, least: int = 3, most: int = 5)
     return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
+def gradients(
+    vectors: np.ndarray, heads: np.ndarray, bias: np.ndarray, bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets in the bags, the gradient of the mean weighted cross entropy by their vectors, and by the heads."""
+    size = np.array([len(bag) for bag in bags])
+    flat, over = np.concatenate(bags), np.maximum(size, least).astype(np.float32)
+    mean = np.add.reduceat(vectors[flat], np.concatenate([[0], np.cumsum(size)[:-1]])) / over[:, None]
+    logits = mean @ heads + bias
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(bags)), labels] -= 1
+    p *= (weight / len(bags))[:, None].astype(np.float32)
+    rows = np.repeat((p @ heads.T) / over[:, None], size, axis=0)
+    ids, back = np.unique(flat, return_inverse=True)
+    total = np.column_stack([np.bincount(back, rows[:, d], len(ids)) for d in range(vectors.shape[1])]).astype(np.float32)
+    return ids, total, mean.T @ p
+
+
 class SubwordSoftmax:
     """``least`` is the number of n-grams that a window's mean is taken over at least, the rest counting as zero."""
 
@@ -92,20 +113,9 @@ class SubwordSoftmax:
                 part = [i for i in order[start : start + 16] if len(chosen[i])]
                 if not part:
                     continue
-                size = np.array([len(chosen[i]) for i in part])
-                flat, over = np.concatenate([chosen[i] for i in part]), np.maximum(size, self.least).astype(np.float32)
-                mean = np.add.reduceat(vectors[flat], np.concatenate([[0], np.cumsum(size)[:-1]])) / over[:, None]
-                logits = mean @ heads + bias
-                p = np.exp(logits - logits.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(part)), y[part]] -= 1
-                p *= (weight[y[part]] / len(part))[:, None].astype(np.float32)
-                rows = np.repeat((p @ heads.T) / over[:, None], size, axis=0)
-                ids, back = np.unique(flat, return_inverse=True)
-                total = np.column_stack([np.bincount(back, rows[:, d], len(ids)) for d in range(self.dim)]).astype(np.float32)
+                ids, total, down = gradients(vectors, heads, bias, [chosen[i] for i in part], y[part], weight[y[part]], self.least)
                 squares[ids] += (total**2).mean(1)
                 vectors[ids] -= self.rate * total / np.sqrt(squares[ids])[:, None]
-                down = mean.T @ p
                 head_squares += (down**2).mean()
                 heads -= 0.1 * down / np.sqrt(head_squares)
         # what stays of the model for scoring: each bucket's vector through the softmax's difference
