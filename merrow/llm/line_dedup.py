@@ -7,7 +7,7 @@ and position; that is all that is shuffled of them, and a line that very many do
 texts go through one shuffle, to meet the positions that they lose.
 
 Defined cases: a null or empty text is one empty line; a text of any length is one row, and its lines are rows of their
-own; columns named n_lines or n_dropped are replaced; rows that share an identifier are one document for the count,
+own; columns named n_lines or n_dropped are replaced by the counts, if those are asked for; rows that share an identifier are one document for the count,
 and each keeps or loses its lines alike; null identifiers count as one document that never is the largest beside
 another; further columns stay; an empty table gives no rows.
 """
@@ -29,10 +29,13 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with text replaced by the lines that stay; adds n_lines, n_dropped."""
+def dedup_lines(
+    docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = True
+) -> DataFrame:
+    """``docs`` with text replaced by the lines that stay; ``with_counts`` adds n_lines, n_dropped."""
     tables = Tables(docs.sparkSession, "lines")
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    added = ["n_lines", "n_dropped"] if with_counts else []
+    others = [c for c in docs.columns if c not in (text_col, *added)]
     rows = docs.select(
         F.struct(*[F.col(c) for c in others]).alias("_row"),
         F.col(id_col).alias("_id"),
@@ -66,7 +69,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     out = met.withColumn("_lines", lines).withColumn("_n", F.size("_lines"))
     dropped = F.size(F.coalesce("_lost", F.array().cast("array<int>")))
     out = out.select("_row", F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(rebuilt).alias("_kept"), "_n", dropped.alias("_dropped"))
-    counts = F.col("_n").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped")
+    counts = [F.col(c).cast("long").alias(name) for c, name in zip(("_n", "_dropped"), added, strict=False)]
     return out.select("_row.*", F.col("_kept").alias(text_col), *counts)
 
 

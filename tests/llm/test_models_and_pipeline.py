@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
+from merrow.llm.near_dedup import shingle_set
 from merrow.llm.labelled import fit_logistic, held_out, training_sample
 from merrow.llm.line_dedup import dedup_lines
 from merrow.llm.packing import ByteTokenizer
@@ -12,6 +13,8 @@ from merrow.llm.pii import masked
 from merrow.llm.quality import CompressionQuality, score_quality
 from merrow.llm.toxicity import SubwordSoftmax, keep_clean, score_toxicity
 
+from .brute import components_of
+
 RUDE = ["idiot", "worthless", "disgusting", "pathetic"]
 
 
@@ -116,3 +119,33 @@ def test_filters_keep_what_they_do_not_judge(spark):
     model = SubwordSoftmax().fit([("a", 0)], 0.0)
     assert keep_clean(docs, model).count() == 2
     assert dedup_lines(docs).count() == 2
+
+
+def test_near_stage_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.choice([3, 30, 80]))]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words[: len(words) - rng.randrange(9)]))]
+    rows += [(5000, None), (5001, ""), (5002, "w1 " * 200_000)]
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, kept_id int, n_lines string")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    sets = {i: shingle_set(t or "", 5) for i, t in rows}
+    near = lambda i, j: bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    first = components_of(sets, near)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(i for i in first if first[i] == i)
+
+
+def test_stages_with_clashing_names_empty_tables_and_long_texts(spark, tmp_path):
+    schema = "doc_id long, text string, n_chars long, n_lines string, length string, task int, kept boolean, component_id int, score double"
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "a b c jo@x.org", 0, "x", "y", 3, True, 4, 0.5), (2, "lorem ipsum " * 150_000, 0, "x", "y", 3, True, 4, 0.5), (None, None, None, "x", "y", None, None, None, None)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() == n
+            assert n == 0 or {(r.n_lines, r.kept) for r in out.collect()} == {("x", True), ("x", None)}
+        pieces = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+        assert all(len(r.ids) == r.length for r in pieces) and len({r.doc_id for r in pieces}) == n
