@@ -67,9 +67,10 @@ def join_dealt(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, tota
     shuffle of the others, so no task gets all rows of one key.
     """
     others, least = [c for c in keyed.columns if c not in on], max(total // HOT_SHARE, 512)
+    alone = F.pmod(F.xxhash64(*on), F.lit(1))  # zero, but not a constant, which would fall out of the join's keys
     hot = keyed.where(F.col(size) > least).select(*on, F.struct(*others).alias("_hot"))
-    cool = keyed.where(F.col(size) <= least).select(*on, F.xxhash64(*on).alias("_deal"), F.struct(*others).alias("_cool"))
-    deal = F.when(F.col("_hot").isNotNull(), F.xxhash64(*by)).otherwise(F.xxhash64(*on))
+    cool = keyed.where(F.col(size) <= least).select(*on, alone.alias("_deal"), F.struct(*others).alias("_cool"))
+    deal = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(1024))).otherwise(alone)
     met = rows.join(F.broadcast(hot), on, "left").withColumn("_deal", deal).join(cool, [*on, "_deal"], "left")
     met = met.where("_hot IS NOT NULL OR _cool IS NOT NULL")
     return met.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cool.{c}")).alias(c) for c in others])
@@ -83,6 +84,29 @@ def salted(rows: DataFrame, wide: DataFrame, on: str, size: str, by: str, least:
     return dealt.join(copies, [on, "_part"]).drop("_part")
 
 
+class Filter:
+    """Bitmaps (_bucket, _map) over the keys of a table; eight bits a key or more up to ``BITS``, where it lets more through."""
+
+    MAP_BITS, BITS = 1 << 15, 1 << 27  # of a bitmap of the built-in aggregate, and of the whole filter
+
+    def __init__(self, tables: Tables, keys: DataFrame, key: str) -> None:
+        n, self.key, self.bits = keys.count(), key, self.MAP_BITS
+        while self.bits < min(8 * n, self.BITS):
+            self.bits *= 2
+        places = self.placed(keys).select("_bucket", "_bit").repartition("_bucket")
+        self.maps = tables.stored(places.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map")), "filter")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit(3), self.key), F.lit(self.bits))
+        return rows.withColumn("_bucket", F.floor(place / self.MAP_BITS).cast("int")).withColumn("_bit", (place % self.MAP_BITS).cast("int"))
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key may be in the filter (all that are, few others)."""
+        hit = "(shiftright(cast(conv(hex(substring(_map, _bit div 8 + 1, 1)), 16, 10) as int), _bit % 8) & 1) = 1"
+        # BITS / MAP_BITS bitmaps of 4 kB at most: 16 MB
+        return self.placed(rows).join(F.broadcast(self.maps), "_bucket").where(hit).select(*rows.columns)
+
+
 def plain_text(column: str = "text"):
     """Null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -3,8 +3,8 @@
 Every task is a memtable: it sorts the digests of its rows and flushes them as a sorted run file. ``FANOUT`` runs of a
 tier are compacted into one run of the next, and in the end all are; compaction merges by digest, keeps the smallest (or
 largest) identifier and the number of rows. Each compacted run has a filter over the digests that are in it more than
-once, or, for look-ups of other documents, over all: a bitmap of a position a digest, of ``BITS`` bits at most, so it may
-be broadcast. Look-ups probe the filter first, so only texts that may have a copy are shuffled. Every hit is then
+once, or, for look-ups of other documents, over all: a bitmap with one position for each, of 16 MB at most, so it may be
+broadcast. Look-ups probe the filter first, so only texts that may have a copy are shuffled. Every hit is then
 verified byte by byte against the text of the row that stays. Rows that fail (two texts with one digest) are grouped
 anew by their bytes. A group of any size is dealt to many tasks, each with a copy of the text that stays.
 
@@ -20,31 +20,9 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, documents, join_dealt, plain_text, salted
+from .common import Filter, Tables, documents, join_dealt, plain_text, salted
 
-MAP_BITS, BITS, FANOUT = 1 << 15, 1 << 27, 4  # bits of a bitmap of the built-in aggregate, and of a whole filter
-
-
-class Filter:
-    """Bitmaps (_bucket, _map) over digests; at least eight bits a digest up to ``BITS``, where it lets more through."""
-
-    def __init__(self, tables: Tables, digests: DataFrame) -> None:
-        n = digests.count()
-        self.bits = MAP_BITS
-        while self.bits < min(8 * n, BITS):
-            self.bits *= 2
-        places = self.placed(digests).select("_bucket", "_bit").repartition("_bucket")
-        self.maps = tables.stored(places.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map")), "filter")
-
-    def placed(self, rows: DataFrame) -> DataFrame:
-        place = F.pmod(F.xxhash64(F.lit(3), "digest"), F.lit(self.bits))
-        return rows.withColumn("_bucket", F.floor(place / MAP_BITS).cast("int")).withColumn("_bit", (place % MAP_BITS).cast("int"))
-
-    def probe(self, rows: DataFrame) -> DataFrame:
-        """The rows whose digest may be in the filter (all that are, few others)."""
-        hit = "(shiftright(cast(conv(hex(substring(_map, _bit div 8 + 1, 1)), 16, 10) as int), _bit % 8) & 1) = 1"
-        # BITS / MAP_BITS bitmaps of 4 kB at most: 16 MB
-        return self.placed(rows).join(F.broadcast(self.maps), "_bucket").where(hit).select(*rows.columns)
+FANOUT = 4
 
 
 class DigestIndex:
@@ -84,7 +62,7 @@ class DigestIndex:
     def lookup(self, rows: DataFrame) -> DataFrame:
         """rows with a digest -> those with a copy in the index, with keep_id and n."""
         level = self.compact()
-        found = Filter(self.tables, level).probe(rows)
+        found = Filter(self.tables, level, "digest").probe(rows)
         known = level.select("digest", F.col("id").alias("keep_id"), "n")
         return join_dealt(found, known, ["digest"], "n", level.agg(F.sum("n")).first()[0] or 0, ["digest"])
 
@@ -99,7 +77,7 @@ def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id",
     groups = tables.stored(level.where("n > 1"), "groups")
     total = level.agg(F.sum("n")).first()[0] or 0
 
-    hits = join_dealt(Filter(tables, groups).probe(rows), groups, ["digest"], "n", total, ["id"])
+    hits = join_dealt(Filter(tables, groups, "digest").probe(rows), groups, ["digest"], "n", total, ["id"])
     hits = tables.stored(hits, "hits")
     keepers = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "n").agg(F.min("text").alias("keep_text"))
     met = salted(hits, tables.stored(keepers, "keepers"), "digest", "n", "id")

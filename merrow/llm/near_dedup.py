@@ -19,7 +19,7 @@ from hashes are confirmed on full sets too. Words are hashed by BLAKE2b, and the
 
 Defined cases: white space is ASCII; with fewer words than a shingle has, the whole sequence is one shingle; a text
 without words (or null) has an empty set, is its own component and linked with nothing; rows that share an identifier
-have one component, and so do those without one; a very long text is read in windows of ``WINDOW`` bytes (its words as numbers, some 16 bytes for each,
+have one component, found by the largest of their texts, and so do those without an identifier; a very long text is read in windows of ``WINDOW`` bytes (its words as numbers, some 16 bytes for each,
 stay in memory); further columns are ignored; an empty table gives no rows.
 """
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, documents, join_dealt, mix64, plain_text, salted
+from .common import Filter, Tables, documents, join_dealt, mix64, plain_text, salted
 from .components import components
 
 ROWS, BANDS, BATCH = 4, 32, 16
@@ -231,28 +231,14 @@ def verified(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def confirmed(full: DataFrame, rows: DataFrame, size: int, tables: Tables) -> DataFrame:
-    """``full`` with fresh hashes for the documents whose set is not the one of the first document with their hashes.
-
-    Documents with equal hashes are compared on their full sets with the smallest of them. A failure needs a collision
-    of 128 bits; such a document becomes a class of its own, and is linked through its bands as any other.
-    """
-    same = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    same = tables.stored(same, "same")
-    total = full.count()
-    several = tables.stored(join_dealt(full.select("doc_id", "n", "h1", "h2"), same, ["n", "h1", "h2"], "copies", total, ["doc_id"]), "several")
-    with_text = rows.join(several.select("doc_id", "first", "copies").distinct(), "doc_id")
-    lead = with_text.where(F.col("doc_id") == F.col("first")).groupBy("first", "copies").agg(F.min("text").alias("text_b"))
-    lead = tables.stored(lead, "lead")
-    others = with_text.where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("a"), F.col("first").alias("b"), F.col("text").alias("text_a"), "copies")
-    met = salted(others, lead.select(F.col("first").alias("b"), "text_b", "copies"), "b", "copies", "a")
-    good = tables.stored(verified(met, size, 100), "confirmed")
-    failed = tables.stored(several.where("doc_id <> first").select("doc_id").distinct().join(good.select(F.col("a").alias("doc_id")), "doc_id", "left_anti"), "failed")
-    if failed.isEmpty():
-        return full
-    own = failed.withColumn("own", F.lit(True))
-    apart = full.join(own, "doc_id", "left")
-    return tables.stored(apart.withColumn("h1", F.when(F.col("own"), F.col("doc_id")).otherwise(F.col("h1"))).withColumn("h2", F.when(F.col("own"), F.lit(-1)).otherwise(F.col("h2"))).drop("own"), "apart")
+def unlike(several: DataFrame, texts: DataFrame, size: int, tables: Tables) -> DataFrame:
+    """several (doc_id, first, copies) -> the doc_ids whose full set is not that of the first document of their class."""
+    with_text = several.distinct().join(texts, "doc_id")
+    lead = with_text.where(F.col("doc_id") == F.col("first")).select(F.col("first").alias("b"), F.col("text").alias("text_b"), "copies")
+    others = with_text.where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("a"), "first", F.col("text").alias("text_a"), "copies")
+    met = salted(others.withColumnRenamed("first", "b"), tables.stored(lead, "lead"), "b", "copies", "a")
+    good = verified(met, size, 100).select(F.col("a").alias("doc_id"))
+    return tables.stored(several.where("doc_id <> first").select("doc_id").distinct().join(good, "doc_id", "left_anti"), "unlike")
 
 
 def near_duplicates(
@@ -262,17 +248,28 @@ def near_duplicates(
     tables = Tables(docs.sparkSession, "near")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), plain_text(text_col).alias("text"))
     sigs = tables.stored(signed(rows, shingle), "signed")
-    full = confirmed(sigs.where("n > 0"), rows, shingle, tables)
-    grouped = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
-    classes = tables.stored(grouped, "classes")
-    n_classes = classes.count()
-
-    bands = banded(classes)
-    shared = tables.stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = tables.stored(join_dealt(bands, shared, ["key"], "size", n_classes, ["id"]), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    # one text for each class that any bucket holds
-    texts = tables.stored(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+    full, key = sigs.where("n > 0"), ["n", "h1", "h2"]
+    while True:
+        grouped = full.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.count("*").alias("copies"))
+        classes = tables.stored(grouped, "classes")
+        n_classes, n_full = classes.count(), full.count()
+        bands = banded(classes)
+        shared = tables.stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        members = tables.stored(join_dealt(bands, shared, ["key"], "size", n_classes, ["id"]), "members")
+        firsts = classes.where("copies > 1").select(*key, F.col("id").alias("first"), "copies")
+        several = tables.stored(join_dealt(full.select("doc_id", *key), firsts, key, "copies", n_full, ["doc_id"]).drop(*key), "several")
+        # the texts of the copies, and one for each class that any bucket holds
+        wanted = tables.stored(members.select(F.col("id").alias("doc_id")).union(several.select("doc_id")).distinct(), "wanted")
+        texts = Filter(tables, wanted, "doc_id").probe(rows).join(wanted, "doc_id", "left_semi")
+        texts = tables.stored(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
+        failed = unlike(several, texts, shingle, tables)
+        if failed.isEmpty():
+            break
+        # a collision of 128 bits, or one identifier with several texts: a class of its own, linked by its bands as any other
+        own = F.col("own").isNotNull()
+        apart = full.join(failed.withColumn("own", F.lit(1)), "doc_id", "left")
+        apart = apart.withColumn("h1", F.when(own, F.col("doc_id")).otherwise(F.col("h1"))).withColumn("h2", F.when(own, F.lit(-1)).otherwise(F.col("h2")))
+        full = tables.stored(apart.drop("own"), "apart")
     signatures = classes.select("id", "signature")
 
     def confirmed_links(pairs: DataFrame) -> DataFrame:
@@ -318,7 +315,7 @@ def near_duplicates(
 
     of_class = classes.join(labels, "id", "left").select("n", "h1", "h2", "copies", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     of_class = tables.stored(of_class, "of-class")
-    placed = join_dealt(full.select("doc_id", "n", "h1", "h2"), of_class, ["n", "h1", "h2"], "copies", n_classes, ["doc_id"])
+    placed = join_dealt(full.select("doc_id", *key), of_class, key, "copies", n_full, ["doc_id"])
     alone = sigs.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component"))
     out = placed.select("doc_id", "n", "class_id", "component").unionByName(alone)
     component, named = F.coalesce("component", "doc_id"), lambda c: F.nullif(c, F.lit(NO_ID))
@@ -334,17 +331,20 @@ def near_duplicates(
 
 
 def in_common(texts: DataFrame, size: int, tables: Tables) -> DataFrame:
-    """(id, n, shared): a document's shingles, and how many of them occur in another document too."""
-    schema = pa.schema([("h", pa.int64()), ("id", pa.int64())])
+    """(id, n, shared): a document's shingles, and how many of them occur in another document too, or a few more.
+
+    32 bits of the hashes will do: two shingles taken for one only keep a document that need not be kept.
+    """
+    schema = pa.schema([("h", pa.int32()), ("id", pa.int64())])
 
     def explode(batches):
         signer = Signer(size)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = signer.shingles(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc_id))], schema=schema)
+                h = (signer.shingles(text.as_py()) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc_id))], schema=schema)
 
-    rows = texts.select("doc_id", "text").mapInArrow(explode, "h long, id long")
+    rows = texts.select("doc_id", "text").mapInArrow(explode, "h int, id long")
     twice = tables.stored(rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", F.lit(1).alias("twice")), "twice")
     return rows.join(twice, "h", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("twice").alias("shared"))
 

@@ -4,8 +4,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from merrow.llm import exact_dedup
-from merrow.llm.common import Tables
-from merrow.llm.exact_dedup import DigestIndex, Filter, exact_duplicates
+from merrow.llm.common import Filter, Tables
+from merrow.llm.exact_dedup import DigestIndex, exact_duplicates
 from merrow.llm.line_dedup import dedup_lines
 
 SCHEMA = "doc_id long, text string, kept boolean, n long"
@@ -93,10 +93,10 @@ def test_index_over_many_flushes(spark):
 
 def test_filter_lets_all_members_through_and_few_others(spark):
     digests = spark.range(3000).selectExpr("sha2(cast(id as string), 256) AS digest")
-    made = Filter(Tables(spark, "test"), digests)
+    made = Filter(Tables(spark, "test"), digests, "digest")
     assert made.probe(digests).count() == 3000
     assert made.probe(spark.range(10_000, 13_000).selectExpr("sha2(cast(id as string), 256) AS digest", "id")).count() < 600
-    assert Filter(Tables(spark, "test"), digests.limit(0)).probe(digests).count() == 0
+    assert Filter(Tables(spark, "test"), digests.limit(0), "digest").probe(digests).count() == 0
 
 
 def test_lines_of_thousands_of_documents_clashing_names_and_modes(spark):
