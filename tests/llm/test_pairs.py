@@ -1,11 +1,12 @@
 import hashlib
+import inspect
 import random
 from collections import Counter
 
 import numpy as np
 
 from merrow.llm import near_dedup, suffix_dedup
-from merrow.llm.ann import nearest
+from merrow.llm.ann import CollisionIndex, nearest
 from merrow.llm.common import Rolling, Tables
 from merrow.llm.components import components
 from merrow.llm.near_dedup import Signer, intersections, near_duplicates, shingle_set
@@ -123,6 +124,38 @@ def test_multikey_order():
     assert [(strings[i].ljust(24, b"\0"), len(strings[i])) for i in order] == sorted((s.ljust(24, b"\0"), len(s)) for s in strings)
 
 
+def measured(x, queries, k=20):
+    """(recall, share of the entries touched, share of the vectors verified) with the query's parameters."""
+    given = {name: p.default for name, p in inspect.signature(nearest).parameters.items() if name in ("rotations", "share", "growth", "confidence")}
+    index, hits = CollisionIndex(np.arange(len(x)), x, np.linalg.norm(x, axis=1).max() * (1 + 1e-12), **given), 0
+    for q in queries:
+        found, _ = index.search(x[q], q, k)
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(found.tolist()) & set(np.argsort(-scores, kind="stable")[:k].tolist()))
+    n = len(queries)
+    return hits / n / k, index.touched / n / index.m / len(x), index.verified / n / len(x)
+
+
+def test_windows_leave_out_what_is_far_away():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 64))
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    for n in (2_000, 8_000, 16_384):  # the largest block
+        clustered = unit(centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 64)) * 0.1)
+        recall, touched, verified = measured(clustered, range(0, n, n // 20))
+        assert recall >= 0.9 and touched < 0.2 and verified < 0.05
+        recall, _, verified = measured(unit(rng.normal(size=(n, 64))), range(0, n, n // 20))
+        assert recall >= 0.9 and verified < 0.3
+
+
+def test_repeated_rows_of_nearest(spark):
+    rows = [(0, [1.0, 0.0])] * 2 + [(1, [2.0, 0.0]), (1, [1.5, 0.0]), (2, [0.5, 0.1]), (2, [0.5, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, df.where("vec_id = 0"), k=3).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 2.0), (0, 2, 1, 1.5), (0, 3, 2, 0.5)]
+
+
 def test_nearest_against_brute_force(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(900, 24)) * rng.uniform(0.5, 2, (900, 1))
