@@ -5,9 +5,13 @@ Pairs are (user_id, item) with item a dense index; scores are (user_id, item, sc
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merrow.functions.draws import draw
+
 DIGITS, SHORT = 9, 20_000
 
 
@@ -212,10 +216,22 @@ def empty_reason(ranked_rows: DataFrame) -> DataFrame:
     return out.withColumn("note", note)
 
 
-def random_topk(users: DataFrame, items: DataFrame, k: int, seed: int = 0, draws: int = 50) -> DataFrame:
-    """items (item, idx) with n rows: each user draws ``draws`` places by hash and keeps the first k different ones."""
-    n = items.agg(F.count("*").alias("n"))
-    drawn = users.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).crossJoin(n)  # one row
-    drawn = drawn.select("user_id", "draw", F.pmod(F.xxhash64("user_id", "draw", F.lit(seed)), F.col("n")).alias("idx"))
-    first = drawn.groupBy("user_id", "idx").agg(F.min("draw").alias("draw")).join(items, "idx")
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("draw"))).where(F.col("rank") <= k).select("user_id", "item", "rank")
+def prime_from(n: int) -> int:
+    while n < 2 or any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def random_topk(users: DataFrame, items: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """items (item, idx) with n rows: each user walks through places by a drawn start and a drawn step, modulo a prime.
+
+    The places of a walk differ, so everybody gets k items (all, if there are fewer); places beyond the last are passed.
+    """
+    n = items.count()
+    prime = prime_from(n)
+    at = draw(F.col("user_id"), F.lit("start"), F.lit(seed)) % prime
+    step = draw(F.col("user_id"), F.lit("step"), F.lit(seed)) % max(prime - 1, 1) + 1
+    walk = users.select("user_id", at.alias("at"), step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(min(k + prime - n, prime) - 1))).alias("i"))
+    walk = walk.select("user_id", "i", ((F.col("at") + F.col("i") * F.col("step")) % prime).alias("idx")).join(items, "idx")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("i"))
+    return walk.withColumn("rank", rank).where(F.col("rank") <= k).select("user_id", "item", "rank")

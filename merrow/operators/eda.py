@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def _per_user(df: DataFrame, *more) -> DataFrame:
     return df.groupBy("user_id").agg(F.count("*").alias("n"), *more)
@@ -95,6 +97,6 @@ def latency_summary(df: DataFrame, by: Sequence[str], column: str = "latency_sec
     value = F.col(column)
     bad = (value < 0) | F.isnan(value) | (value == float("inf"))
     checked = df.withColumn("_v", F.when(bad, F.raise_error(F.lit("bad latency")).cast("double")).otherwise(value))
-    p = F.percentile("_v", [0.5, 0.95])
-    out = checked.groupBy(*by).agg(F.count("*").alias("calls"), F.round(F.sum("_v"), 6).alias("total"), F.round(F.avg("_v"), 6).alias("mean"), p.alias("p"))
+    out = checked.groupBy(*by).agg(F.count("*").alias("calls"), F.round(F.sum("_v"), 6).alias("total"), F.round(F.avg("_v"), 6).alias("mean"))
+    out = out.join(percentiles(checked, "_v", [0.5, 0.95], by), list(by))
     return out.select(*by, "calls", "total", "mean", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"))

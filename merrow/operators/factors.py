@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merrow.functions.draws import draw
 from merrow.functions.storage import stored
 
 from .ids import build_sorted_ids
@@ -22,7 +23,7 @@ def sample_triples(pairs: DataFrame, epoch: int, seed: int = 0, tries: int = 8)
     items = build_sorted_ids(pairs, "item")
     n = items.agg(F.count("*").alias("n_items"))
     drawn = pairs.select("user_id", "item", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")).crossJoin(n)  # one row
-    drawn = drawn.withColumn("idx", F.pmod(F.xxhash64("user_id", "item", "try", F.lit(epoch), F.lit(seed)), F.col("n_items")))
+    drawn = drawn.withColumn("idx", draw(F.col("user_id"), F.col("item"), F.col("try"), F.lit(epoch), F.lit(seed)) % F.col("n_items"))
     named = drawn.join(items.select("idx", F.col("item").alias("negative")), "idx")
     seen = pairs.select("user_id", F.col("item").alias("negative"))
     free = named.join(seen, ["user_id", "negative"], "left_anti").groupBy("user_id", "item").agg(F.min_by("negative", "try").alias("negative"))
@@ -97,20 +98,26 @@ def factor_topk(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, blo
     right = items.select(F.lit(None).cast("string").alias("user_id"), F.col("item").cast("long").alias("item"), "f", "bias", none.alias("seen"), F.pmod(F.xxhash64("item"), F.lit(n_blocks)).alias("ib"), every(n_users).alias("ub"))
     schema = pa.schema([("user_id", pa.string()), ("item", pa.int64()), ("score", pa.float64())])
 
+    def matrix(part: pa.Table) -> np.ndarray:
+        return np.array(part["f"].combine_chunks().flatten()).reshape(part.num_rows, -1)
+
     def search(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        mine, asks = [r for r in rows if r["item"] is not None], [r for r in rows if r["item"] is None]
+        mine, asks = table.filter(table["item"].is_valid()), table.filter(table["item"].is_null())
         out = {"user_id": [], "item": [], "score": []}
-        if mine and asks:
-            ids = np.array([r["item"] for r in mine])
-            factors, bias = np.array([r["f"] for r in mine]), np.array([r["bias"] for r in mine])
-            for r in asks:
-                scores = np.round((factors * np.array(r["f"])).sum(1) + bias, 9)
-                free = np.flatnonzero(~np.isin(ids, r["seen"])) if r["seen"] else np.arange(len(ids))
-                best = free[np.lexsort((ids[free], -scores[free]))[:k]]
-                out["user_id"] += [r["user_id"]] * len(best)
-                out["item"] += ids[best].tolist()
-                out["score"] += scores[best].tolist()
+        if mine.num_rows and asks.num_rows:
+            ids, factors, bias = mine["item"].to_numpy(), matrix(mine), mine["bias"].to_numpy()
+            users, wanted = asks["user_id"].to_pylist(), matrix(asks)
+            for start in range(0, len(users), 256):
+                rough = wanted[start : start + 256] @ factors.T + bias  # one product for a batch of users
+                for u, scores in enumerate(rough, start):
+                    free = np.flatnonzero(~np.isin(ids, np.array(asks["seen"][u].values)))
+                    if len(free) > k:  # all that may be among the k best once scores are exact
+                        free = free[scores[free] >= np.partition(scores[free], -k)[-k] - 1e-6]
+                    exact = np.round((factors[free] * wanted[u]).sum(1) + bias[free], 9)
+                    best = np.lexsort((ids[free], -exact))[:k]
+                    out["user_id"] += [users[u]] * len(best)
+                    out["item"] += ids[free[best]].tolist()
+                    out["score"] += exact[best].tolist()
         return pa.Table.from_pydict(out, schema=schema)
 
     local = left.unionByName(right).groupBy("ib", "ub").applyInArrow(search, "user_id string, item long, score double")

@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merrow.functions.draws import BITS, draw
 
-def poisson_one(*key: Column) -> Column:
-    """A Poisson(1) draw from a hash of the key."""
-    u = F.pmod(F.xxhash64(*key), F.lit(1 << 40)) / float(1 << 40)
-    out, total, p = F.lit(0), 0.0, 0.36787944117144233
-    for n in range(8):
+from .quantiles import cumulative, percentiles
+
+
+def poisson_steps() -> list[int]:
+    """Of 2 ** 40 draws, how many are at most 0, 1, ... by Poisson(1); the last step has less than one draw above it."""
+    steps, total, p, n = [], 0.0, math.exp(-1), 0
+    while not steps or steps[-1] < 2**BITS - 1:
         total += p
-        out = F.when(u >= total, n + 1).otherwise(out) if n else F.when(u >= total, 1).otherwise(0)
-        p /= n + 1
+        steps.append(min(round(total * 2**BITS), 2**BITS))
+        n += 1
+        p /= n
+    return steps
+
+
+def poisson_one(drawn: Column) -> Column:
+    """A Poisson(1) number from a draw."""
+    out = F.lit(0)
+    for n, step in enumerate(poisson_steps()):
+        out = F.when(drawn >= step, n + 1).otherwise(out)
     return out
 
 
+def replicated(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """rows (k, x): every row once for each replicate, with its weight w there."""
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("drawn", draw(F.col("k"), F.col("rep"), F.lit(seed)))
+    return drawn.withColumn("w", poisson_one(F.col("drawn")))
+
+
 def bootstrap_ci(df: DataFrame, column: str, key: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """One row: mean and percentile interval. A replicate weighs every row by its own Poisson draw: no resampling, only sums."""
     rows = df.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).cast("double").alias("x"))
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_one(F.col("k"), F.col("rep"), F.lit(seed)))
-    means = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
+    means = replicated(rows, replicates, seed).groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
     bounds = means.agg(F.percentile("m", [alpha / 2, 1 - alpha / 2]).alias("p"))
     mean = rows.agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
     return mean.crossJoin(bounds).select("n", F.round("mean", 6).alias("mean"), F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))  # one row each
@@ -32,8 +50,8 @@ def bootstrap_ci(df: DataFrame, column: str, key: str, replicates: int = 200, se
 def paired_bootstrap(pairs: DataFrame, a: str, b: str, key: str, replicates: int = 200, seed: int = 0, planned: int = 1) -> DataFrame:
     """Interval of the mean difference b - a at alpha / planned, a one-sided sign share, and improved / worse / unchanged."""
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("d", F.col(b).cast("double") - F.col(a).cast("double"))
-    drawn = rows.select(F.col(key).alias("k"), "d").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_one(F.col("k"), F.col("rep"), F.lit(seed)))
-    means = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    drawn = replicated(rows.select(F.col(key).alias("k"), F.col("d").alias("x")), replicates, seed)
+    means = drawn.groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
     sign = means.agg(F.round(F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0)), 6).alias("p_value"))
     counts = rows.agg(F.count_if(F.col("d") > 0).alias("improved"), F.count_if(F.col("d") < 0).alias("worse"), F.count_if(F.col("d") == 0).alias("unchanged"))
     return bootstrap_ci(rows, "d", key, replicates, seed, 0.05 / planned).crossJoin(sign).crossJoin(counts)  # one row each
@@ -49,11 +67,10 @@ def mcnemar(pairs: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
     return counts.select("b", "c", chi.alias("chi2"), level.alias("p"))
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """Ranks from 1, ties share their mean: counts by value, a running sum over distinct values."""
-    groups = df.groupBy(*by, value).agg(F.count("*").alias("t"))
-    order = Window.partitionBy(*by).orderBy(value)
-    return groups.withColumn("upto", F.sum("t").over(order)).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
+    counts = df.groupBy(value).agg(F.count("*").alias("t"))
+    return cumulative(counts, value).withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2)
 
 
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -86,8 +103,8 @@ def long_form(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> Dat
 def aggregate_metrics(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     rows = long_form(df, by, metrics).where(F.col("value").isNotNull())
     out = rows.groupBy(*by, "metric").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", [0.5, 0.95, 0.99]).alias("p")
-    )
+        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
+    ).join(percentiles(rows, "value", [0.5, 0.95, 0.99], [*by, "metric"]), [*by, "metric"])
     return out.select(*by, "metric", "n", "mean", "std", "min", "max", *[F.round(F.col("p")[i], 6).alias(q) for i, q in enumerate(("p50", "p95", "p99"))])
 
 

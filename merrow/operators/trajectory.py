@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def extract_recs(steps: DataFrame, tiers: Sequence[str], value: str) -> DataFrame:
     """The value of the last successful step of the first tier of tools that has one."""
@@ -52,8 +54,8 @@ def score_deployment(steps: DataFrame) -> DataFrame:
 
 def tool_percentiles(steps: DataFrame, by: Sequence[str]) -> DataFrame:
     out = steps.groupBy(*by).agg(
-        F.count("*").alias("calls"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("ok_rate"), F.round(F.avg("latency_seconds"), 6).alias("mean"), F.percentile("latency_seconds", [0.5, 0.95, 0.99]).alias("p")
-    )
+        F.count("*").alias("calls"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("ok_rate"), F.round(F.avg("latency_seconds"), 6).alias("mean")
+    ).join(percentiles(steps, "latency_seconds", [0.5, 0.95, 0.99], by), list(by))
     return out.select(*by, "calls", "ok_rate", "mean", *[F.round(F.col("p")[i], 9).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 
 
@@ -85,8 +87,10 @@ def summarize(rows: DataFrame, means: Sequence[str], quantiles: Sequence[str]) -
     """By agent, kind and segment, and over all segments ('all'): n, means of what is not null, p50 and p95."""
     levels = rows.withColumn("segment", F.explode(F.array("segment", F.lit("all"))))
     out = levels.groupBy("agent", "kind", "segment").agg(
-        F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(f"mean_{c}") for c in means], *[F.percentile(c, [0.5, 0.95]).alias(f"q_{c}") for c in quantiles]
+        F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(f"mean_{c}") for c in means]
     )
+    for c in quantiles:
+        out = out.join(percentiles(levels, c, [0.5, 0.95], ["agent", "kind", "segment"]).withColumnRenamed("p", f"q_{c}"), ["agent", "kind", "segment"], "left")
     return out.select("agent", "kind", "segment", "n", *[f"mean_{c}" for c in means], *[F.round(F.col(f"q_{c}")[i], 6).alias(f"{q}_{c}") for c in quantiles for i, q in enumerate(("p50", "p95"))])
 
 

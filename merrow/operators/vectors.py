@@ -91,13 +91,18 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, seen: DataFrame
             x = x / np.where(sizes[~asks] == 0, 1, sizes[~asks])[:, None]
             mine = ids[~asks]
             hidden = table.filter(table["asks"])["seen"].to_pylist()
-            for q, (vector, size) in enumerate(zip(y, sizes[asks], strict=True)):
-                if size == 0:
-                    continue
-                scores = np.round((x * (vector / size)).sum(1), 9)
-                open_to = np.flatnonzero(~np.isin(mine, hidden[q])) if hidden[q] else np.arange(len(mine))
-                best = open_to[np.lexsort((mine[open_to], -scores[open_to]))[:k]]
-                out.append((np.full(len(best), ids[asks][q]), mine[best], scores[best]))
+            y = y / np.where(sizes[asks] == 0, 1, sizes[asks])[:, None]
+            for start in range(0, len(y), 256):
+                rough = y[start : start + 256] @ x.T  # one product for a batch of queries
+                for q, scores in enumerate(rough, start):
+                    if sizes[asks][q] == 0:
+                        continue
+                    some = np.flatnonzero(~np.isin(mine, hidden[q])) if hidden[q] else np.arange(len(mine))
+                    if len(some) > k:  # all that may be among the k best once scores are exact
+                        some = some[scores[some] >= np.partition(scores[some], -k)[-k] - 1e-6]
+                    exact = np.round((x[some] * y[q]).sum(1), 9)
+                    best = np.lexsort((mine[some], -exact))[:k]
+                    out.append((np.full(len(best), ids[asks][q]), mine[some[best]], exact[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema)
 

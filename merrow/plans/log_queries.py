@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from merrow.functions.draws import draw_sql
 from merrow.operators import dialogue, grounding, profile, provenance, stats, trajectory
 
 from .catalog_queries import items
@@ -203,7 +204,15 @@ def two_agents(v):
     return v.v_scored.withColumn("day", F.element_at(F.split("request_id", "-"), -1).cast("long")).withColumn("side", F.col("day") % 2 == 0)
 
 
-@query()
+def boot_sql(values: str, replicates: int = 200, alpha: float = 0.05) -> str:
+    """values: a SELECT of k and x; the CTEs of the replicates' means (m) and of the interval (bi)."""
+    cases = " ".join(f"WHEN d >= {step} THEN {n + 1}" for n, step in reversed(list(enumerate(stats.poisson_steps()))))
+    return f"""bv AS ({values}), bw AS (SELECT rep, x, CASE {cases} ELSE 0 END AS w FROM (SELECT rep, x, {draw_sql('k', 'rep', '0')} AS d FROM bv CROSS JOIN range(1, {replicates + 1}) r(rep))),
+bm AS (SELECT rep, sum(w * x) / sum(w) AS m FROM bw GROUP BY 1),
+bi AS (SELECT (SELECT count(*) FROM bv) AS n, round((SELECT avg(x) FROM bv), 6) AS mean, round(quantile_cont(m, {alpha / 2!r}), 6) AS low, round(quantile_cont(m, {1 - alpha / 2!r}), 6) AS high FROM bm)"""
+
+
+@query(f"{SCORED}, {boot_sql('SELECT request_id AS k, latency AS x FROM v_scored WHERE latency IS NOT NULL')} SELECT * FROM bi")
 def p01_bootstrap_ci(v):
     return stats.bootstrap_ci(v.v_scored, "latency", "request_id")
 
@@ -218,12 +227,16 @@ def paired(v):
     return out.where("a IS NOT NULL AND b IS NOT NULL")
 
 
-@query()
+PAIRED = """SELECT bi.*, (SELECT round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), 6) FROM bm) AS p_value,
+(SELECT count(*) FROM bv WHERE x > 0) AS improved, (SELECT count(*) FROM bv WHERE x < 0) AS worse, (SELECT count(*) FROM bv WHERE x = 0) AS unchanged FROM bi"""
+
+
+@query(f"{DAYS}, {boot_sql('SELECT user_id AS k, b - a AS x FROM pp')} {PAIRED}")
 def p02_paired_bootstrap(v):
     return stats.paired_bootstrap(paired(v), "a", "b", "user_id")
 
 
-@query()
+@query(f"{DAYS}, {boot_sql('SELECT user_id AS k, b - a AS x FROM pp', alpha=0.05 / 5)} {PAIRED}")
 def p03_family_wise_interval(v):
     return stats.paired_bootstrap(paired(v), "a", "b", "user_id", planned=5)
 
@@ -328,12 +341,18 @@ def p15_filter_cases(v):
     return stats.filter_cases(cases, ["A0", "K3"], {"segment": "warm"}).select("request_id")
 
 
-@query()
+def print_sql(columns: list[str]) -> str:
+    """rows, hash_sum and hash_xor of a table with these columns."""
+    parts = ", ".join(f"coalesce(concat_ws(':', length(CAST({c} AS VARCHAR)), CAST({c} AS VARCHAR)), '')" for c in sorted(columns))
+    return f"count(*) AS rows, CAST(coalesce(sum(h), 0) AS VARCHAR) AS hash_sum, coalesce(bit_xor(h), 0) AS hash_xor FROM (SELECT CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 15) AS BIGINT) AS h FROM {{0}})"
+
+
+@query(duck("v_interactions") + " SELECT " + print_sql(["user_id", "parent_asin", "ts"]).format("v_interactions"))
 def q07_fingerprint(v):
     return provenance.fingerprint(v.v_interactions.select("user_id", "parent_asin", "ts"))
 
 
-@query()
+@query(duck("v_interactions") + ", a AS (SELECT count(*) AS n FROM v_interactions), b AS (SELECT count(*) AS n FROM v_interactions WHERE ts > 0), c AS (SELECT count(*) AS n FROM v_interactions WHERE ts > 900000000000) SELECT 0 AS position, 'clean' AS stage, a.n AS input_rows, b.n AS output_rows, true AS linked FROM a, b UNION ALL SELECT 1, 'filter', b.n, c.n, true FROM b, c")
 def q08_manifest(v):
     rows = v.v_interactions.select("user_id", "parent_asin", "ts")
     first = provenance.manifest("clean", rows, rows.where("ts > 0"))

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from merrow.functions.draws import draw
 from merrow.operators import catalog, cf, clean, factors, fusion, ids, kcore, leakage, metrics, provenance, split, stats, text, vectors
 from merrow.operators.stemming import porter
 from merrow.sources import interactions as src
@@ -205,7 +206,7 @@ def test_bootstrap_covers_the_mean(spark):
 
 
 def test_poisson_draws(spark):
-    w = spark.range(20_000).select(stats.poisson_one(F.col("id"), F.lit(1)).alias("w"))
+    w = spark.range(20_000).select(stats.poisson_one(draw(F.col("id"), F.lit(1))).alias("w"))
     m, v = w.agg(F.avg("w"), F.var_pop("w")).first()
     assert abs(m - 1) < 0.03 and abs(v - 1) < 0.06
 
