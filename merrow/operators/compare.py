@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from merrow.functions.storage import stored
+
 from .metrics import ranking_metrics, retrieval_metrics
 
 
@@ -29,7 +31,7 @@ def variant_compare(variants: Mapping[str, DataFrame], targets: DataFrame, cohor
     """NDCG and recall at k of each variant by the size of the user's history, and over all ('all')."""
     out = None
     for name, recs in variants.items():
-        rows = ranking_metrics(recs, targets, k).select("user_id", "ndcg", "recall", F.lit(name).alias("variant"))
+        rows = stored(ranking_metrics(recs, targets, k).select("user_id", "ndcg", "recall", F.lit(name).alias("variant")), "variant")
         out = rows if out is None else out.unionByName(rows)
     joined = out.join(cohort.select("user_id", history_bucket(F.col("history_size")).alias("bucket")), "user_id")
     levels = joined.withColumn("bucket", F.explode(F.array("bucket", F.lit("all"))))

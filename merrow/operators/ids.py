@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merrow.functions.storage import stored
@@ -35,6 +35,22 @@ def build_sorted_ids(df: DataFrame, key: str) -> DataFrame:
     return dense_rank_ids(df.select(key).distinct(), key, key)
 
 
+def save_ids(ids: DataFrame, path: str) -> None:
+    """A mapping (key, idx) as a table; an existing one is an error."""
+    ids.write.mode("errorifexists").parquet(path)
+
+
+def load_ids(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The mapping in ``path``, if its keys are there and unique and its ids are 0, 1, ... without gap; else ValueError."""
+    ids = spark.read.parquet(path)
+    if missing := {key, "idx"} - set(ids.columns):
+        raise ValueError(f"no mapping of {key}: missing {sorted(missing)}")
+    n = ids.agg(F.count("*").alias("n"), F.count(key).alias("keys"), F.count_distinct(key).alias("different"), F.count_distinct("idx").alias("ids"), F.min("idx").alias("low"), F.max("idx").alias("high")).first()
+    if n.n and (n.keys != n.n or n.different != n.n or n.ids != n.n or (n.low, n.high) != (0, n.n - 1)):
+        raise ValueError(f"the mapping in {path} is not one of {key} to 0, 1, ...")
+    return ids.select(key, "idx")
+
+
 def apply_ids(df: DataFrame, users: DataFrame, items: DataFrame, user: str = "user_id", item: str = "parent_asin") -> DataFrame:
     """Adds user_idx and item_idx; a user or item without id fails the job instead of dropping rows."""
     mapped = df.join(users.select(user, F.col("idx").alias("user_idx")), user, "left").join(items.select(item, F.col("idx").alias("item_idx")), item, "left")

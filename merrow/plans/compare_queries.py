@@ -10,7 +10,7 @@ from merrow.functions.storage import shared_folder
 from merrow.operators import compare, fusion, metrics, provenance, split, text
 from merrow.sources import interactions as src
 
-from .recommend_queries import BASE, NDCG, POP_LISTS, World
+from .recommend_queries import BASE, NDCG, POP_LISTS, RRF, World
 from .registry import query
 from .retrieval_queries import BM25_SQL, bench_queries, postings_of
 from .views import duck
@@ -66,7 +66,16 @@ def k27_variant_by_history(v):
     return compare.variant_compare({"cf": w.cf_list()}, w.targets, w.cohort, 10)
 
 
-@query()
+VARIANTS = ", " + RRF.removeprefix(POP_LISTS).removeprefix(", ") + """, vl AS (SELECT 'cf' AS variant, user_id, item, rank FROM tk UNION ALL SELECT 'popular', user_id, item, rank FROM pl UNION ALL SELECT 'rrf', user_id, item, rank FROM m WHERE rank <= 10),
+vn AS (SELECT user_id, count(*) AS n_rel FROM tg GROUP BY 1),
+vh AS (SELECT variant, user_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM vl JOIN tg USING (user_id, item) GROUP BY 1, 2),
+vm AS (SELECT x.variant, vn.user_id, round(coalesce(dcg, 0) / (SELECT sum(1 / log2(r + 1)) FROM range(1, CAST(least(n_rel, 10) + 1 AS BIGINT)) t(r)), 6) AS ndcg, round(coalesce(hits, 0) * 1.0 / n_rel, 6) AS recall
+       FROM vn CROSS JOIN (VALUES ('cf'), ('popular'), ('rrf')) x(variant) LEFT JOIN vh ON vh.user_id = vn.user_id AND vh.variant = x.variant),
+vb AS (SELECT variant, ndcg, recall, CASE WHEN history_size = 0 THEN '0' WHEN history_size <= 4 THEN '1-4' WHEN history_size <= 9 THEN '5-9' ELSE '10+' END AS bucket FROM vm JOIN ch USING (user_id))
+SELECT variant, bucket, count(*) AS users, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM (SELECT * FROM vb UNION ALL SELECT variant, ndcg, recall, 'all' FROM vb) GROUP BY 1, 2"""
+
+
+@query(BASE + POP_LISTS + VARIANTS)
 def k27_variant_compare(v):
     w = World(v)
     fused = fusion.rrf(w.lists(), 10).select("user_id", "item", "rank")

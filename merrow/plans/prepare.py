@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from merrow.functions.storage import shared_folder
 from merrow.operators import clean, eda, ids, kcore, leakage, split
 from merrow.sources import interactions as src
 
@@ -17,6 +20,31 @@ ORDER_SQL = ", ".join(ORDER)
 CLEAN_SQL = f"v_clean AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, parent_asin, ts ORDER BY {', '.join(c + ' DESC' for c in SEQ)}) AS rn FROM v_raw WHERE {OK}) WHERE rn = 1)"
 
 
+def scratch(v) -> str:
+    return f"{shared_folder(v.spark)}/merrow-raw-{uuid.uuid4().hex}"
+
+
+@query(duck("v_interactions") + " SELECT user_id, original_item_id AS parent_asin, CAST(rating AS DOUBLE) AS rating, ts AS timestamp FROM v_interactions")
+def a01_read_reviews(v):
+    """All events as compressed JSON lines, with columns that nobody asks for, read back."""
+    path = scratch(v)
+    raw = v.v_interactions.select("user_id", F.col("original_item_id").alias("parent_asin"), F.col("rating").cast("double").alias("rating"), F.col("ts").alias("timestamp"), F.lit("x").alias("title"), "domain")
+    raw.write.option("compression", "gzip").json(path)
+    return src.read_reviews(v.spark, path).drop("source_seq")
+
+
+@query(duck("v_items") + " SELECT original_item_id AS parent_asin, domain, title, store, CAST(average_rating AS VARCHAR) AS average_rating, concat(cat1, '|', cat2) AS categories FROM v_items WHERE original_item_id IN (SELECT concat('P', CAST(l_partkey AS STRING)) FROM lineitem)")
+def a02_read_metadata(v):
+    """Item metadata of every domain as JSON lines; what has events is kept."""
+    path = scratch(v)
+    items = v.v_items.select(F.col("original_item_id").alias("parent_asin"), "domain", "title", "store", F.col("average_rating").cast("string").alias("average_rating"), F.array("cat1", "cat2").alias("categories"), F.lit(1).alias("other"))
+    items.write.partitionBy("domain").json(path)
+    files = {r.domain: f"{path}/domain={r.domain}" for r in items.select("domain").distinct().collect()}  # one row a domain
+    keep = v.v_interactions.select(F.col("original_item_id").alias("parent_asin"), "domain")
+    found = src.read_metadata(v.spark, files, keep)
+    return found.select("parent_asin", "domain", "title", "store", "average_rating", F.array_join("categories", "|").alias("categories"))
+
+
 @query(duck("v_interactions") + " SELECT user_id, parent_asin, rating FROM v_interactions")
 def a03_scan_pruned(v):
     return v.v_interactions.select("user_id", "parent_asin", "rating")
@@ -67,6 +95,13 @@ def a11_ids_sorted(v):
     return ids.build_sorted_ids(v.v_interactions, "parent_asin")
 
 
+@query(f"{duck('v_interactions')}, {ITEMS_SQL} SELECT parent_asin, idx FROM i")
+def a12_saved_ids(v):
+    path = scratch(v)
+    ids.save_ids(ids.build_sorted_ids(v.v_interactions, "parent_asin"), path)
+    return ids.load_ids(v.spark, path, "parent_asin")
+
+
 @query(f"{duck('v_interactions')}, {ITEMS_SQL} SELECT user_id, i.idx AS item_idx FROM v_interactions JOIN i USING (parent_asin)")
 def a13_translate_ids(v):
     rows = v.v_interactions.select("user_id", "parent_asin")

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from merrow.functions.draws import draw_sql
 from merrow.functions.storage import stored
 from merrow.operators import cf, fusion, metrics, split
 
@@ -295,7 +296,15 @@ def h20_empty_reason(v):
     return cf.empty_reason(ranked_of(World(v)))
 
 
-@query()
+WALK = f""", it AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx FROM pop), nn AS (SELECT count(*) AS n FROM it),
+xs AS (SELECT unnest(range(n, n + 1000)) AS x FROM nn),
+pm AS (SELECT min(x) AS p FROM xs WHERE NOT EXISTS (SELECT 1 FROM range(2, 2000) d(d) WHERE d * d <= x AND x % d = 0)),
+wk AS (SELECT user_id, i, ({draw_sql('user_id', "'start'", '0')} % p + i * ({draw_sql('user_id', "'step'", '0')} % (p - 1) + 1)) % p AS idx
+       FROM us CROSS JOIN pm CROSS JOIN nn CROSS JOIN range(0, 1010) r(i) WHERE i < least(10 + p - n, p)),
+rw AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY i) AS rank FROM wk JOIN it USING (idx))"""
+
+
+@query(BASE + WALK + " SELECT user_id, item, rank FROM rw WHERE rank <= 10")
 def h24_random_baseline(v):
     from merrow.operators.ids import build_sorted_ids
 

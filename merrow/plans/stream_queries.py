@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from merrow.functions.draws import draw_sql
 from merrow.functions.storage import shared_folder
 from merrow.operators import factors, metrics
 from merrow.streaming import jobs
 
-from .recommend_queries import World
+from .recommend_queries import BASE, World
 from .registry import query
 from .views import Views
 
@@ -37,7 +38,13 @@ def scratch(v: Views) -> str:
     return f"{shared_folder(v.spark)}/merrow-stream-{uuid.uuid4().hex}"
 
 
-@query()
+TRIPLES = f""", ix AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS idx FROM (SELECT DISTINCT item FROM pr)), nn AS (SELECT count(*) AS n FROM ix),
+dr AS (SELECT user_id, item, t, {draw_sql('user_id', 'item', 't', '0', '0')} % n AS idx FROM pr CROSS JOIN nn CROSS JOIN range(0, 8) r(t)),
+fr AS (SELECT dr.user_id, dr.item, arg_min(ix.item, t) AS negative FROM dr JOIN ix USING (idx) WHERE (dr.user_id, ix.item) NOT IN (SELECT user_id, item FROM pr) GROUP BY 1, 2),
+lo AS (SELECT user_id, min(ix.item) AS lowest FROM (SELECT DISTINCT user_id FROM pr) u CROSS JOIN ix WHERE (user_id, ix.item) NOT IN (SELECT user_id, item FROM pr) GROUP BY 1)"""
+
+
+@query(BASE + TRIPLES + " SELECT pr.user_id, pr.item, coalesce(negative, lowest) AS negative FROM pr LEFT JOIN fr USING (user_id, item) JOIN lo ON lo.user_id = pr.user_id")
 def h21_bpr_triples(v):
     return factors.sample_triples(World(v).pairs, 0)
 
@@ -81,9 +88,21 @@ def s03_stream_first_seen(v):
     return jobs.run_once(jobs.stream_first_seen(events_stream(v), "user_id", "event_id"), "complete", scratch(v))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 2 HOURS, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 2 HOURS AS session_end, count(*) AS events FROM s GROUP BY user_id, no""")
 def s04_stream_sessions(v):
-    return jobs.run_once(jobs.stream_sessions(events_stream(v), "2 hours", delay=delay_of(v)), "complete", scratch(v))
+    out = jobs.run_once(jobs.stream_sessions(events_stream(v), "2 hours", delay=delay_of(v)), "complete", scratch(v))
+    return out.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")], "events")
+
+
+@query("SELECT user_id, least(50, count(*)) AS held, arg_max(event_id, (ts, event_id)) AS latest, count(*) AS seen FROM events GROUP BY 1")
+def s04_stream_recent(v):
+    """The ring of each user after the last slice."""
+    rows = events_stream(v).select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros("event_time").alias("ts_us"), F.col("event_id").cast("long").alias("event_id"))
+    out = jobs.run_once(jobs.stream_recent(rows), "append", scratch(v))
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("held", "latest", "seen"), "seen").alias("r"))
+    return last.select("user_id", F.col("r.held").cast("long").alias("held"), "r.latest", "r.seen")
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type AS tool, count(*) AS calls, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END::DOUBLE AS error_share FROM events GROUP BY 1, 2")
@@ -93,7 +112,8 @@ def s05_stream_tool_log(v):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "tool", "calls", "error_share")
 
 
-@query()
+@query("""WITH r AS (SELECT concat('U', CAST(user_id AS VARCHAR)) AS user_id, event_type AS parent_asin, 1704067200000 + event_id % 5000 AS ts, CAST(1 + (event_id % 5000) % 7 AS INT) AS rating FROM events)
+SELECT DISTINCT user_id, parent_asin, ts, rating FROM r WHERE rating <= 5""")
 def s01_stream_clean(v):
-    rows = events_stream(v).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"), F.col("event_type").alias("parent_asin"), (1 + F.col("event_id") % 7).alias("rating"), (1_704_067_200_000 + F.col("event_id") % 5000).alias("ts"), "event_time")
-    return jobs.run_once(jobs.stream_clean(rows, delay=delay_of(v)), "append", scratch(v))
+    rows = events_stream(v).select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"), F.col("event_type").alias("parent_asin"), (1 + F.col("event_id") % 5000 % 7).cast("int").alias("rating"), (1_704_067_200_000 + F.col("event_id") % 5000).alias("ts"), "event_time")
+    return jobs.run_once(jobs.stream_clean(rows, delay=delay_of(v)), "append", scratch(v)).select("user_id", "parent_asin", "ts", "rating")

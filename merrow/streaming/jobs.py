@@ -51,22 +51,25 @@ def stream_sessions(events: DataFrame, gap: str = "30 minutes", time: str = "eve
 
 
 def stream_recent(events: DataFrame, ring: int = 50) -> DataFrame:
-    """The latest ``ring`` event ids of each user as keyed state, given at each trigger; idle users expire after a day."""
+    """The latest ``ring`` events (by ts_us, event_id) of each user as keyed state, given at each trigger.
+
+    The state is the ring and the number of events seen: bounded for each user, and in whatever order slices come, it ends
+    alike.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = list(state.get[0]) if state.exists else []
+        times, ids, seen = state.get if state.exists else ([], [], 0)
+        held = list(zip(times, ids, strict=True))
         for part in parts:
-            held += part.sort_values(["ts_ms", "event_id"])["event_id"].tolist()
-            held = held[-ring:]
-        state.update((held,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
-        yield pd.DataFrame({"user_id": [key[0]], "held": [len(held)], "latest": [held[-1] if held else None]})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, held int, latest long", "ids array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+            seen += len(part)
+            held = sorted(held + list(zip(part["ts_us"].tolist(), part["event_id"].tolist(), strict=True)))[-ring:]
+        state.update(([t for t, _ in held], [i for _, i in held], seen))
+        yield pd.DataFrame({"user_id": [key[0]], "held": [len(held)], "latest": [held[-1][1]], "seen": [seen]})
+
+    shape = "user_id long, held int, latest long, seen long"
+    kept = "times array<long>, ids array<long>, seen long"
+    return events.groupBy("user_id").applyInPandasWithState(update, shape, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_tool_log(steps: DataFrame, window: str = "1 day", time: str = "event_time", delay: str = "1 day") -> DataFrame:
