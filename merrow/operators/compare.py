@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merrow.functions.storage import stored
@@ -38,6 +38,39 @@ def variant_compare(variants: Mapping[str, DataFrame], targets: DataFrame, cohor
     return levels.groupBy("variant", "bucket").agg(F.count("*").alias("users"), F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("recall"), 6).alias("recall"))
 
 
+def tuning_arms(cohort: DataFrame, per_segment: int, seed: int = 0) -> DataFrame:
+    """(user_id, segment, arm): disjoint users for tuning and for confirmation, as many of a segment in either.
+
+    Users are taken by a digest of their id. A segment of one user has nobody for a second arm and is left out.
+    """
+    sizes = cohort.groupBy("segment").agg(F.least(F.lit(per_segment), F.floor(F.count("*") / 2)).alias("size"))
+    order = Window.partitionBy("segment").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("user_id"))), "user_id")
+    placed = cohort.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * per_segment).join(sizes, "segment")
+    arm = F.when(F.col("r") <= F.col("size"), "tuning").when(F.col("r") <= 2 * F.col("size"), "confirmation")
+    return placed.select("user_id", "segment", arm.alias("arm")).where("arm IS NOT NULL")
+
+
+def tune_hybrid(variants: Mapping[float, DataFrame], targets: DataFrame, cohort: DataFrame, per_segment: int, k: int) -> DataFrame:
+    """(arm, weight, objective, chosen): NDCG at k by segment, weighted by the segments' users in the whole cohort.
+
+    The weight with the best objective in the tuning arm (the smallest of equals) is chosen, and it alone is evaluated
+    in the confirmation arm. Variants are few; their lists stay distributed.
+    """
+    arms = stored(tuning_arms(cohort, per_segment), "arms")
+    share = cohort.groupBy("segment").agg(F.count("*").alias("users"))
+    share = share.crossJoin(cohort.agg(F.count("*").alias("all_users"))).select("segment", (F.col("users") / F.col("all_users")).alias("share"))  # one row
+
+    def objective(weight: float, arm: str) -> float:
+        ndcg = ranking_metrics(variants[weight], targets, k).join(arms.where(F.col("arm") == arm), "user_id")
+        means = ndcg.groupBy("segment").agg(F.avg("ndcg").alias("m")).join(share, "segment")
+        return means.agg(F.round(F.sum(F.col("m") * F.col("share")), 6).alias("o")).first().o or 0.0
+
+    tuned = {weight: objective(weight, "tuning") for weight in sorted(variants)}
+    best = max(sorted(tuned), key=lambda weight: tuned[weight])
+    rows = [("tuning", float(w), o, w == best) for w, o in tuned.items()] + [("confirmation", float(best), objective(best, "confirmation"), True)]
+    return cohort.sparkSession.createDataFrame(rows, "arm string, weight double, objective double, chosen boolean")
+
+
 def outside_core_eval(lists: DataFrame, targets: DataFrame, core: DataFrame, n_items: int) -> DataFrame:
     """lists (user_id, source, item): retrieval of the targets whose items are outside the core, by source."""
     outside = targets.join(core.select("item").distinct(), "item", "left_anti")

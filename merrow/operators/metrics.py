@@ -165,3 +165,34 @@ def score_ties(scores: DataFrame, k: int) -> DataFrame:
     return groups.groupBy("user_id").agg(
         F.sum(F.floor(F.col("n") * (F.col("n") - 1) / 2)).alias("tie_pairs"), F.coalesce(F.max((F.col("low") <= k) & (F.col("high") > k)), F.lit(False)).alias("boundary_tie")
     )
+
+
+def ranking_summary(ranked: DataFrame, targets: DataFrame, history: DataFrame, k: int) -> DataFrame:
+    """By merge, scorer and segment: targets seen before, what filtering takes away, and ties.
+
+    ranked (merge, scorer, segment, user_id, item, score, status): status is ranked or beyond_k for what was scored and
+    kept, else why it was not. Targets that the user has in the history are repeats; rates of ties are means over users.
+    """
+    keys = ["merge", "scorer", "segment"]
+    seen = targets.select("user_id", "item").distinct().join(history.select("user_id", "item", F.lit(1).alias("s")).distinct(), ["user_id", "item"], "left")
+    per_target = seen.groupBy("user_id").agg(F.count("*").alias("targets"), F.count("s").alias("repeats"))
+    kept = F.col("status").isin("ranked", "beyond_k")
+    users = ranked.groupBy(*keys, "user_id").agg(
+        F.count("*").alias("candidates"), F.count_if(F.col("status") == "seen").alias("seen"), F.count_if(F.col("status") == "unscored").alias("unscored"),
+        F.count_if(F.col("status") == "hidden").alias("hidden"), F.count_if(F.col("status") == "ranked").alias("returned"), F.count_if(kept).alias("kept"),
+    )
+    runs = ranked.where(kept).groupBy(*keys, "user_id", "score").agg(F.count("*").alias("n"))
+    above = F.sum("n").over(Window.partitionBy(*keys, "user_id").orderBy(F.desc("score")))
+    runs = runs.withColumn("upto", above).groupBy(*keys, "user_id").agg(
+        F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("tie_pairs"), F.max(((F.col("upto") > k) & (F.col("upto") - F.col("n") < k)).cast("int")).alias("boundary")
+    )
+    rows = users.join(runs, [*keys, "user_id"], "left").join(per_target, "user_id", "left").na.fill(0, ["tie_pairs", "boundary", "targets", "repeats"])
+    pairs = F.col("kept") * (F.col("kept") - 1) / 2
+    rate = lambda a, b: F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 6)
+    lost = F.col("seen") + F.col("unscored") + F.col("hidden")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("users"), F.count_if(F.col("targets") > F.col("repeats")).alias("users_with_unseen_targets"), F.sum("repeats").alias("repeat_pairs"),
+        F.round(F.avg(F.col("repeats") / F.greatest("targets", F.lit(1))), 6).alias("repeat_fraction"), F.sum("candidates").alias("candidates"), F.sum("returned").alias("returned"),
+        rate(F.col("seen"), F.col("candidates")).alias("seen_loss_rate"), rate(F.col("unscored"), F.col("candidates")).alias("unscored_loss_rate"), rate(lost, F.col("candidates")).alias("total_loss_rate"),
+        F.round(F.avg(F.when(pairs > 0, F.col("tie_pairs") / pairs).otherwise(0.0)), 6).alias("tie_pair_rate"), F.round(F.avg("boundary"), 6).alias("boundary_tie_rate"),
+    )

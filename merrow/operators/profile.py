@@ -38,20 +38,61 @@ def love_and_hate(ratings: DataFrame, love: float, hate: float) -> DataFrame:
     )
 
 
-def build_requests(train: DataFrame, target: DataFrame, items: DataFrame, per_cell: int, slack: float = 1.2, step: float = 50.0, sparse_max: int = 4) -> DataFrame:
-    """Requests by kind and segment from the targets: similar, constrained (a price limit) and cold_text."""
+#: The segments of users that a kind of request is drawn from; other kinds have no user.
+SEGMENTS = {"similar": ("sparse", "warm"), "personalized": ("sparse", "warm"), "constrained": ("sparse", "warm"), "cold_text": ("cold",), "exclusion": ("sparse", "warm")}
+VAGUE = ("I need something nice", "what would you take?", "find me a gift")
+
+
+def build_requests(
+    train: DataFrame, target: DataFrame, items: DataFrame, per_cell: int, vague: int = 3, slack: float = 1.2, step: float = 50.0, sparse_max: int = 4, seed: int = 0
+) -> DataFrame:
+    """Requests of all kinds, ``per_cell`` of each kind and segment, from the users with held-out items.
+
+    similar and personalized aim at all held-out items; constrained at those within a price limit (the first one's price
+    with slack, rounded up to a multiple of ``step``) and of its deepest category; cold_text at those of the first one's
+    category; exclusion at all but the first. "First" is by item id. A user that a kind has no basis for is passed.
+    ambiguous and unanswerable requests have no user and no target.
+    """
     from .split import segment
 
-    history = train.groupBy("user_id").agg(F.count_distinct("parent_asin").alias("n"), F.max_by("parent_asin", F.struct("ts", "parent_asin")).alias("seed"))
-    first = target.groupBy("user_id").agg(F.min_by("parent_asin", F.struct("ts", "parent_asin")).alias("wanted"))
-    n = F.coalesce("n", F.lit(0))
-    rows = first.join(history, "user_id", "left").join(items.select(F.col("item_id").alias("wanted"), "price", "title", "main_category"), "wanted", "left").withColumn("segment", segment(n, sparse_max))
-    limit = F.ceil(F.col("price") * slack / step) * step
+    fields = items.select(F.col("item_id").alias("parent_asin"), "price", "categories", F.element_at("categories", -1).alias("deepest"))
+    held = target.select("user_id", "parent_asin").distinct().join(fields, "parent_asin", "left")
+    row = F.struct("parent_asin", "price", "deepest", "categories")
+    by_user = held.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("held"))  # a user's held-out items
+    history = train.groupBy("user_id").agg(F.count_distinct("parent_asin").alias("n"), F.max_by("parent_asin", F.struct("ts", "parent_asin")).alias("last"))
+    users = by_user.join(history, "user_id", "left").withColumn("segment", segment(F.coalesce("n", F.lit(0)), sparse_max))
+    priced = F.filter("held", lambda x: x["price"].isNotNull() & x["deepest"].isNotNull())
+    priced = F.get(priced, F.lit(0))
+    limit = F.ceil(priced["price"] * slack / step) * step
+    sorted_of = F.get(F.filter("held", lambda x: x["deepest"].isNotNull()), F.lit(0))["deepest"]
+    first = F.get("held", F.lit(0))
+    ids = lambda wanted: F.array_join(F.transform(wanted, lambda x: x["parent_asin"]), "|")
+    has = lambda x, c: F.array_contains(x["categories"], c)
+    nothing, no_price = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def made(kind: str, holds, targets, text, seed_item=nothing, price=no_price, category=nothing, excluded=nothing):
+        fits = holds & F.col("segment").isin(*SEGMENTS[kind])
+        value = F.struct(
+            F.lit(kind).alias("kind"), targets.alias("targets"), text.alias("text"), seed_item.alias("seed_item_id"), price.cast("double").alias("price_max"), category.alias("category"), excluded.alias("excluded_item")
+        )
+        return F.when(fits, value)
+
+    fits_both = F.filter("held", lambda x: (x["price"] <= limit) & has(x, priced["deepest"]))
     kinds = F.array(
-        F.when(F.col("seed").isNotNull(), F.struct(F.lit("similar").alias("kind"), F.concat(F.lit("more like "), "seed").alias("text"), F.lit(None).cast("double").alias("price_max"))),
-        F.when(F.col("price").isNotNull(), F.struct(F.lit("constrained").alias("kind"), F.format_string("%s under %.0f", "main_category", limit).alias("text"), limit.cast("double").alias("price_max"))),
-        F.when(F.col("segment") == "cold", F.struct(F.lit("cold_text").alias("kind"), F.col("title").alias("text"), F.lit(None).cast("double").alias("price_max"))),
+        made("similar", F.col("last").isNotNull(), ids(F.col("held")), F.concat(F.lit("more like "), "last"), seed_item=F.col("last")),
+        made("personalized", F.lit(True), ids(F.col("held")), F.lit("something that fits what I bought")),
+        made("constrained", priced.isNotNull(), ids(fits_both), F.format_string("%s under %.0f", priced["deepest"], limit), price=limit, category=priced["deepest"]),
+        made("cold_text", sorted_of.isNotNull(), ids(F.filter("held", lambda x: has(x, sorted_of))), F.concat(F.lit("I am new here and want "), sorted_of), category=sorted_of),
+        made("exclusion", first["deepest"].isNotNull(), ids(F.filter("held", lambda x: x["parent_asin"] != first["parent_asin"])), F.concat(F.lit("anything but "), first["deepest"], F.lit(", and not "), first["parent_asin"]), category=first["deepest"], excluded=first["parent_asin"]),
     )
-    out = rows.select("user_id", "segment", "wanted", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("user_id", "segment", "wanted", "k.*")
-    order = Window.partitionBy("kind", "segment").orderBy(F.xxhash64("user_id", "kind"), "user_id")
-    return out.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_cell).drop("_r")
+    rows = users.select("user_id", "segment", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("user_id", "segment", "k.*")
+    order = Window.partitionBy("kind", "segment").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "kind", "user_id")), "user_id")
+    rows = rows.withColumn("index", F.row_number().over(order) - 1).where(F.col("index") < per_cell)
+    phrases = F.array(*map(F.lit, VAGUE))
+    without = train.sparkSession.range(vague).select(F.col("id").cast("int").alias("index"), F.explode(F.array(F.lit("ambiguous"), F.lit("unanswerable"))).alias("kind"))
+    without = without.where((F.col("kind") == "ambiguous") | (F.col("index") < per_cell))
+    text = F.when(F.col("kind") == "ambiguous", F.get(phrases, F.col("index") % len(VAGUE))).otherwise("a product that costs less than nothing")
+    without = without.select("kind", F.lit("none").alias("segment"), "index", text.alias("text"))
+    out = rows.unionByName(without, allowMissingColumns=True)
+    oracle = F.col("kind").isin("constrained", "cold_text")  # made from held-out items: an upper bound, no real request
+    return out.withColumn("request_id", F.concat_ws("-", "kind", "segment", "index")).withColumn("oracle", oracle).drop("index")

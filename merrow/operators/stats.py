@@ -127,6 +127,24 @@ def contrast(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def contrast_report(pairs: DataFrame, by: Sequence[str], key: str, replicates: int = 200, seed: int = 0, alpha: float = 0.05, least: int = 10) -> DataFrame:
+    """``contrast`` with a bootstrap interval of the mean difference and McNemar's test of the flags sa and sb.
+
+    pairs (by..., key, a, b, sa, sb); over all groups too ('all'). chi2 is null with fewer than ``least`` discordant pairs.
+    """
+    levels = pairs
+    for c in by:
+        levels = levels.withColumn(c, F.explode(F.array(c, F.lit("all"))))
+    drawn = replicated(levels.select(*by, F.col(key).alias("k"), (F.col("b") - F.col("a")).alias("x")), replicates, seed)
+    means = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))  # a row for each replicate
+    ci = means.groupBy(*by).agg(F.percentile("m", [alpha / 2, 1 - alpha / 2]).alias("p"))
+    flags = levels.groupBy(*by).agg(F.count_if(F.col("sa") & ~F.col("sb")).alias("only_a"), F.count_if(~F.col("sa") & F.col("sb")).alias("only_b"))
+    n, d = F.col("only_a") + F.col("only_b"), F.greatest(F.abs(F.col("only_a") - F.col("only_b")) - 1, F.lit(0))
+    flags = flags.withColumn("chi2", F.when(n >= least, F.round(d * d / n, 6)))
+    out = contrast(pairs, by).join(ci, list(by)).join(flags, list(by))
+    return out.withColumn("low", F.round(F.col("p")[0], 6)).withColumn("high", F.round(F.col("p")[1], 6)).drop("p")
+
+
 def verdict(rows: DataFrame, cost: bool) -> DataFrame:
     """Better, worse or same by the sign of the difference (turned round for costs); one pair alone decides nothing."""
     sign = -F.col("diff") if cost else F.col("diff")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from merrow.functions.storage import shared_folder
-from merrow.operators import compare, fusion, metrics, provenance, split, text
+from merrow.operators import cf, compare, factors, fusion, metrics, provenance, split, text
 from merrow.sources import interactions as src
 
-from .recommend_queries import BASE, NDCG, POP_LISTS, RRF, World
+from .recommend_queries import BASE, HYBRID, NDCG, POP_LISTS, RRF, World
 from .registry import query
 from .retrieval_queries import BM25_SQL, bench_queries, postings_of
 from .views import duck
@@ -51,6 +52,58 @@ def k24_policy_guardrails(v):
     return compare.policy_guardrails(by_policy, "popular", "macro_recall", 0.001, {"hit_rate": 0.9})
 
 
+WEIGHTS = (0.0, 0.5, 2.0)
+ONE = HYBRID[HYBRID.index("hy AS") : HYBRID.index(" SELECT user_id, item, score, rank FROM hr")]
+NDCG_OF = "round(coalesce(dcg, 0) / (SELECT sum(1 / log2(r + 1)) FROM range(1, CAST(least(n_rel, 10) + 1 AS BIGINT)) t(r)), 6)"
+
+
+def hybrid_ndcg(weights) -> str:
+    """The CTE hm (weight, user_id, ndcg) of hybrid lists at 10."""
+    lists = ", ".join(re.sub(r"\b(hy|hr)\b", rf"\g<1>{i}", ONE).format(w=repr(w)) for i, w in enumerate(weights))
+    union = " UNION ALL ".join(f"SELECT {w!r}::DOUBLE AS weight, user_id, item, rank FROM hr{i} WHERE rank <= 10" for i, w in enumerate(weights))
+    values = ", ".join(f"({w!r}::DOUBLE)" for w in weights)
+    return HYBRID[: HYBRID.index("hy AS")] + lists + f""", hl AS ({union}), vn AS (SELECT user_id, count(*) AS n_rel FROM tg GROUP BY 1),
+hh AS (SELECT weight, user_id, sum(1 / log2(rank + 1)) AS dcg FROM hl JOIN tg USING (user_id, item) GROUP BY 1, 2),
+hm AS (SELECT x.weight, vn.user_id, {NDCG_OF} AS ndcg FROM vn CROSS JOIN (VALUES {values}) x(weight) LEFT JOIN hh ON hh.user_id = vn.user_id AND hh.weight = x.weight)"""
+
+
+@query(BASE + hybrid_ndcg(WEIGHTS) + """, sz AS (SELECT segment, least(100, count(*) // 2) AS size, count(*) * 1.0 / (SELECT count(*) FROM ch) AS share FROM ch GROUP BY 1),
+ar AS (SELECT user_id, segment, share, CASE WHEN r <= size THEN 'tuning' WHEN r <= 2 * size THEN 'confirmation' END AS arm FROM (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY md5(concat_ws(':', '0', user_id)), user_id) AS r FROM ch) JOIN sz USING (segment)),
+ob AS (SELECT arm, weight, round(sum(m * share), 6) AS objective FROM (SELECT arm, weight, segment, any_value(share) AS share, avg(ndcg) AS m FROM hm JOIN ar USING (user_id) WHERE arm IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+be AS (SELECT weight AS best FROM ob WHERE arm = 'tuning' ORDER BY objective DESC, weight LIMIT 1)
+SELECT arm, weight, objective, weight = best AS chosen FROM ob CROSS JOIN be WHERE arm = 'tuning' OR weight = best""")
+def h26_tune_hybrid_weight(v):
+    w = World(v)
+    variants = {weight: cf.ranked(cf.hybrid_scores(w.scores(), w.users, w.history, w.pop, weight, 10), 10) for weight in WEIGHTS}
+    return compare.tune_hybrid(variants, w.targets, w.cohort, 100, 10)
+
+
+def of_test(sql: str) -> str:
+    """The CTEs of BASE and those after it under other names, fitted on train and validation, with test targets."""
+    names = "ev|pr|tg|us|hs|ch|pop|co|cn|sim|nb|hp|sc|un|tk|bs|mx|hy0|hr0|hl|vn|hh|hm"
+    sql = sql.replace("split = 'train'", "split <> 'test'").replace("split = 'validation'", "split = 'test'")
+    return re.sub(rf"\b({names})\b", r"\g<1>_t", sql)
+
+
+@query(BASE + hybrid_ndcg(WEIGHTS) + ", va AS (SELECT weight, round(avg(ndcg), 6) AS ndcg FROM hm GROUP BY 1), be AS (SELECT weight AS best FROM va ORDER BY ndcg DESC, weight LIMIT 1)" + of_test(BASE.removeprefix(duck("v_split")) + hybrid_ndcg((0.5,))).replace("0.5 * pop_t", "be.best * pop_t").replace("CROSS JOIN mx_t LEFT", "CROSS JOIN mx_t CROSS JOIN be LEFT")
+    + " SELECT 'validation' AS stage, weight, ndcg, weight = best AS chosen FROM va CROSS JOIN be UNION ALL SELECT 'test', best, (SELECT round(avg(ndcg), 6) FROM hm_t), true FROM be")
+def h25_tune_hybrid(v):
+    """NDCG@10 of the hybrid for several popularity weights on validation, and of the best one, once, on test."""
+    def lists(w, weight):
+        return cf.ranked(cf.hybrid_scores(w.scores(), w.users, w.history, w.pop, weight, 10), 10)
+
+    def ndcg(w, recs):
+        return metrics.ranking_metrics(recs, w.targets, 10).agg(F.avg("ndcg").alias("m")).first().m
+
+    w = World(v)
+    settings = factors.grid({"weight": list(WEIGHTS)})
+    best, scored = factors.tune(lambda s: lists(w, s["weight"]), settings, lambda recs: ndcg(w, recs))
+    final = World(v, "test")
+    rows = [("validation", float(s["weight"]), round(m, 6), s == best) for s, m in scored]
+    rows.append(("test", float(best["weight"]), round(ndcg(final, lists(final, best["weight"])), 6), True))
+    return v.spark.createDataFrame(rows, "stage string, weight double, ndcg double, chosen boolean")
+
+
 @query(BASE + POP_LISTS + """, ou AS (SELECT * FROM tg WHERE item NOT IN (SELECT item FROM cn WHERE n >= 5)), nr AS (SELECT user_id, count(*) AS n FROM ou GROUP BY 1),
 m AS (SELECT s.source, nr.user_id, n, (SELECT count(DISTINCT item) FROM ls JOIN ou USING (user_id, item) WHERE ls.user_id = nr.user_id AND ls.source = s.source) AS hits FROM nr CROSS JOIN (SELECT DISTINCT source FROM ls) s)
 SELECT source, count(*) AS users, round(avg(hits * 1.0 / n), 6) AS macro_recall, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM m GROUP BY 1""")

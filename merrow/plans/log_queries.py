@@ -30,11 +30,29 @@ def l01_love_and_hate(v):
     return rows.select("user_id", join("love_items"), join("hate_items"))
 
 
-@query()
+REQUESTS = f"""{duck('v_split', 'v_items')}, f AS (SELECT user_id, parent_asin, ts FROM v_split WHERE split = 'train'), t AS (SELECT DISTINCT user_id, parent_asin FROM v_split WHERE split = 'validation'),
+h AS (SELECT user_id, count(DISTINCT parent_asin) AS n, arg_max(parent_asin, (ts, parent_asin)) AS last FROM f GROUP BY 1),
+u AS (SELECT *, CASE WHEN coalesce(n, 0) = 0 THEN 'cold' WHEN n <= 4 THEN 'sparse' ELSE 'warm' END AS segment FROM (SELECT DISTINCT user_id FROM t) LEFT JOIN h USING (user_id)),
+x AS (SELECT user_id, parent_asin, price, cat1, cat2, row_number() OVER (PARTITION BY user_id ORDER BY parent_asin) AS r FROM t JOIN v_items ON parent_asin = item_id),
+p AS (SELECT user_id, cat2 AS pc, ceil(price * 1.2 / 50.0) * 50.0 AS lim FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY parent_asin) AS q FROM x WHERE price IS NOT NULL) WHERE q = 1),
+o AS (SELECT user_id, parent_asin AS fi, cat2 AS fc FROM x WHERE r = 1),
+k AS (SELECT user_id, segment, 'similar' AS kind, last AS seed_item_id, NULL::DOUBLE AS price_max, NULL AS category, NULL AS excluded_item, concat('more like ', last) AS text FROM u WHERE last IS NOT NULL AND segment <> 'cold'
+UNION ALL SELECT user_id, segment, 'personalized', NULL, NULL, NULL, NULL, 'something that fits what I bought' FROM u WHERE segment <> 'cold'
+UNION ALL SELECT user_id, segment, 'constrained', NULL, lim, pc, NULL, printf('%s under %.0f', pc, lim) FROM u JOIN p USING (user_id) WHERE segment <> 'cold'
+UNION ALL SELECT user_id, segment, 'cold_text', NULL, NULL, fc, NULL, concat('I am new here and want ', fc) FROM u JOIN o USING (user_id) WHERE segment = 'cold'
+UNION ALL SELECT user_id, segment, 'exclusion', NULL, NULL, fc, fi, concat('anything but ', fc, ', and not ', fi) FROM u JOIN o USING (user_id) WHERE segment <> 'cold'),
+c AS (SELECT *, row_number() OVER (PARTITION BY kind, segment ORDER BY md5(concat_ws(':', '0', kind, user_id)), user_id) - 1 AS i FROM k),
+w AS (SELECT c.*, (SELECT coalesce(string_agg(parent_asin, '|' ORDER BY parent_asin), '') FROM x WHERE x.user_id = c.user_id AND CASE c.kind WHEN 'constrained' THEN price <= price_max AND (cat1 = category OR cat2 = category)
+      WHEN 'cold_text' THEN cat1 = category OR cat2 = category WHEN 'exclusion' THEN parent_asin <> excluded_item ELSE true END) AS targets FROM c WHERE i < 20)
+SELECT concat_ws('-', kind, segment, i) AS request_id, kind, segment, user_id, seed_item_id, price_max, category, excluded_item, targets, text, kind IN ('constrained', 'cold_text') AS oracle FROM w
+UNION ALL SELECT concat('ambiguous-none-', i), 'ambiguous', 'none', NULL, NULL, NULL, NULL, NULL, NULL, ['I need something nice', 'what would you take?', 'find me a gift'][CAST(i % 3 AS INT) + 1], false FROM range(0, 3) g(i)
+UNION ALL SELECT concat('unanswerable-none-', i), 'unanswerable', 'none', NULL, NULL, NULL, NULL, NULL, NULL, 'a product that costs less than nothing', false FROM range(0, 3) g(i)"""
+
+
+@query(REQUESTS)
 def l02_build_requests(v):
-    train = v.split().where("split = 'train'")
-    target = v.split().where("split = 'validation'")
-    return profile.build_requests(train, target, items(v), 20)
+    rows = v.split()
+    return profile.build_requests(rows.where("split = 'train'"), rows.where("split = 'validation'"), items(v), 20)
 
 
 @query(f"{SCORED} SELECT request_id, kind FROM v_scored WHERE kind IN ('K0', 'K1', 'K2')")
@@ -70,23 +88,47 @@ def l08_grounding_flags(v):
     return trajectory.score_grounding(v.v_scored.select("request_id", F.expr("CASE WHEN success THEN 'answered' WHEN errors = 1 THEN 'fallback' ELSE 'failed' END").alias("status")))
 
 
-PROCESS = """, g AS (SELECT request_id, count(*) AS steps, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS steps_ok_rate, 1.0::DOUBLE AS args_valid_rate, coalesce(string_agg(DISTINCT CASE WHEN NOT ok THEN tool END, ',' ORDER BY CASE WHEN NOT ok THEN tool END), '') AS failed_tools,
-string_agg(tool, ' ' ORDER BY step_no) LIKE '%view%click%purchase%' AS plan_followed, NOT arg_min(ok, step_no) AS first_failed, NOT arg_min(ok, step_no) AND bool_or(ok) AS rescued FROM v_tool_log GROUP BY 1)"""
+PROCESS = """, g AS (SELECT request_id, count(*) AS steps, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 6) AS steps_ok_rate, round(avg(CASE WHEN error_kind IN ('unknown_args', 'bad_reference') THEN 0.0 ELSE 1.0 END), 6) AS args_valid_rate, coalesce(string_agg(DISTINCT CASE WHEN NOT ok THEN tool END, ',' ORDER BY CASE WHEN NOT ok THEN tool END), '') AS failed_tools,
+string_agg(tool, ' ' ORDER BY step_no) LIKE '%view%click%purchase%' AS plan_followed, NOT arg_min(ok, step_no) AS first_failed, NOT arg_min(ok, step_no) AND bool_or(ok) AS rescued FROM v_steps GROUP BY 1)"""
 
 
-@query(f"{LOG}{PROCESS} SELECT * FROM g")
+BEFORE_CALL = ["unknown_tool", "invented_id", "unknown_args", "bad_reference"]
+STEPS, SCORED_STEPS = duck("v_steps"), duck("v_scored", "v_steps")
+
+
+@query(f"{STEPS}{PROCESS} SELECT * FROM g")
 def l09_process_scores(v):
-    return trajectory.score_process(v.v_tool_log, ["view", "click", "purchase"])
+    return trajectory.score_process(v.v_steps, ["view", "click", "purchase"], BEFORE_CALL)
+
+
+@query(f"""{STEPS}, a AS (SELECT request_id, bool_or(CASE WHEN kind IN ('K1', 'K2') AND ok AND tool IN ('view', 'click') AND has_filter THEN asked_price <= 50 END) AS price_arg_ok,
+bool_or(CASE WHEN kind IN ('K1', 'K2') AND ok AND tool IN ('view', 'click') AND asked_category = 'cat1' THEN true END) AS category_arg_ok, bool_or(ok AND tool = 'purchase') AS used_ranker FROM v_steps GROUP BY 1) SELECT * FROM a""")
+def l09_argument_scores(v):
+    filters = F.when(F.col("has_filter"), F.struct(F.col("asked_price").alias("price_max"), F.array("asked_category").alias("categories_any")))
+    query_text = F.when(~F.col("has_filter"), F.concat(F.lit("Some "), F.upper("asked_category"), F.lit(" please")))
+    steps = v.v_steps.withColumn("args", F.to_json(F.struct(filters.alias("filters"), query_text.alias("query"))))
+    requests = v.v_steps.select("request_id", "kind").distinct().select("request_id", "kind", F.lit(50.0).alias("price_max"), F.lit("cat1").alias("category"))
+    return trajectory.score_arguments(steps, requests, ["view", "click"], "purchase", ["K1", "K2"])
+
+
+COST = "(prompt_tokens + 3 * completion_tokens) / 1000000"
 
 
-@query(f"{LOG} SELECT request_id, count(*) AS calls, round(sum(latency_seconds), 6) AS latency, round(max(latency_seconds), 6) AS slowest, arg_max(tool, (latency_seconds, step_no)) AS slowest_tool FROM v_tool_log GROUP BY 1")
+@query(f"""{STEPS} SELECT request_id, count(*) AS calls, round(sum(latency_seconds), 6) AS latency, round(max(latency_seconds), 6) AS slowest, arg_max(tool, (latency_seconds, step_no)) AS slowest_tool, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, round(sum({COST}), 6) AS cost, count(*) FILTER (WHERE error_kind = 'time_budget') AS time_budget_hits FROM v_steps GROUP BY 1""")
 def l10_deployment_scores(v):
-    return trajectory.score_deployment(v.v_tool_log)
+    return trajectory.score_deployment(v.v_steps.withColumn("cost", F.expr(COST)))
 
 
-@query(f"{SCORED}{PROCESS} SELECT request_id, agent, kind, segment, latency, steps_ok_rate, plan_followed FROM v_scored JOIN g USING (request_id)")
+@query(f"""{STEPS} SELECT tool, count(*) AS calls, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum({COST}), 6) AS cost, round(quantile_cont(latency_seconds, 0.5), 9) AS p50, round(quantile_cont(latency_seconds, 0.95), 9) AS p95,
+round(quantile_cont(latency_seconds, 0.99), 9) AS p99 FROM v_steps GROUP BY 1""")
+def l10_deployment_by_tool(v):
+    return trajectory.deployment_by_tool(v.v_steps.withColumn("cost", F.expr(COST)))
+
+
+@query(f"{SCORED_STEPS}{PROCESS} SELECT request_id, agent, kind, segment, latency, steps_ok_rate, plan_followed FROM v_scored JOIN g USING (request_id)")
 def l11_scored_rows(v):
-    parts = [v.v_scored.select("request_id", "agent", "kind", "segment", "latency"), trajectory.score_process(v.v_tool_log, ["view", "click", "purchase"]).select("request_id", "steps_ok_rate", "plan_followed")]
+    parts = [v.v_scored.select("request_id", "agent", "kind", "segment", "latency"), trajectory.score_process(v.v_steps, ["view", "click", "purchase"]).select("request_id", "steps_ok_rate", "plan_followed")]
     return trajectory.join_scores(parts)
 
 
@@ -95,9 +137,11 @@ def l12_summary(v):
     return trajectory.summarize(v.v_scored, ["success", "spend"], ["latency"])
 
 
-@query(f"{LOG} SELECT agent, kind, CASE WHEN latency_seconds > 0.1 THEN 'timeout' ELSE 'tool_error' END AS error_kind, count(*) AS errors, count(DISTINCT request_id) AS requests FROM v_tool_log WHERE NOT ok GROUP BY 1, 2, 3")
+@query(f"""{SCORED_STEPS}, e AS (SELECT 'step' AS level, agent, kind, error_kind, request_id FROM v_steps WHERE NOT ok UNION ALL SELECT 'plan', agent, kind, CASE WHEN errors = steps THEN 'invalid_plan' ELSE 'truncated' END, request_id FROM v_scored WHERE errors = steps OR steps > 20)
+SELECT level, agent, kind, error_kind, count(*) AS errors, count(DISTINCT request_id) AS requests FROM e GROUP BY 1, 2, 3, 4""")
 def l13_error_taxonomy(v):
-    return trajectory.error_taxonomy(v.v_tool_log, F.when(F.col("latency_seconds") > 0.1, "timeout").otherwise("tool_error"))
+    plans = v.v_scored.withColumn("error_kind", F.expr("CASE WHEN errors = steps THEN 'invalid_plan' WHEN steps > 20 THEN 'truncated' END"))
+    return trajectory.error_taxonomy(v.v_steps, F.col("error_kind"), plans)
 
 
 @query(f"{SCORED} SELECT agent, count(*) AS n, round(avg(CASE WHEN NOT success THEN 1.0 ELSE 0.0 END), 6) AS any_error, round(avg(CASE WHEN errors = steps THEN 1.0 ELSE 0.0 END), 6) AS all_errors FROM v_scored GROUP BY 1")
@@ -105,9 +149,9 @@ def l14_failure_rates(v):
     return trajectory.failure_rates(v.v_scored, {"any_error": ~F.col("success"), "all_errors": F.col("errors") == F.col("steps")})
 
 
-@query(f"{SCORED}{PROCESS} SELECT agent, count(*) AS n, count(*) FILTER (WHERE first_failed) AS first_failed, round(avg(CASE WHEN first_failed THEN CASE WHEN rescued THEN 1.0 ELSE 0.0 END END), 6) AS rescue_rate, round(avg(CASE WHEN NOT first_failed THEN CASE WHEN success THEN 0.0 ELSE 1.0 END END), 6) AS blind_spot_rate FROM v_scored JOIN g USING (request_id) GROUP BY 1")
+@query(f"{SCORED_STEPS}{PROCESS} SELECT agent, count(*) AS n, count(*) FILTER (WHERE first_failed) AS first_failed, round(avg(CASE WHEN first_failed THEN CASE WHEN rescued THEN 1.0 ELSE 0.0 END END), 6) AS rescue_rate, round(avg(CASE WHEN NOT first_failed THEN CASE WHEN success THEN 0.0 ELSE 1.0 END END), 6) AS blind_spot_rate FROM v_scored JOIN g USING (request_id) GROUP BY 1")
 def l15_reflection(v):
-    rows = v.v_scored.join(trajectory.score_process(v.v_tool_log, ["view"]).select("request_id", "first_failed", "rescued"), "request_id")
+    rows = v.v_scored.join(trajectory.score_process(v.v_steps, ["view"]).select("request_id", "first_failed", "rescued"), "request_id")
     return trajectory.reflection_stats(rows)
 
 
@@ -285,9 +329,20 @@ def contrasted(v):
     return stats.contrast(paired(v).select(F.concat(F.lit("K"), (F.col("user_id") % 5).cast("string")).alias("kind"), milli("a"), milli("b")), ["kind"])
 
 
-@query(f"{CONTRAST} SELECT kind, n, mean_a, mean_b, diff, wins, losses, ties FROM g")
+POISSON = " ".join(f"WHEN d >= {step} THEN {n + 1}" for n, step in reversed(list(enumerate(stats.poisson_steps()))))
+
+
+@query(f"""{CONTRAST}, kk AS (SELECT user_id, concat('K', CAST(user_id % 5 AS VARCHAR)) AS kind, CAST(round(a * 1000) AS BIGINT) / 1000.0::DOUBLE AS a, CAST(round(b * 1000) AS BIGINT) / 1000.0::DOUBLE AS b, sa, sb FROM pp),
+lv AS (SELECT * FROM kk UNION ALL SELECT user_id, 'all', a, b, sa, sb FROM kk),
+bw AS (SELECT kind, rep, x, CASE {POISSON} ELSE 0 END AS w FROM (SELECT kind, rep, b - a AS x, {draw_sql('user_id', 'rep', '0')} AS d FROM lv CROSS JOIN range(1, 201) r(rep))),
+bm AS (SELECT kind, rep, sum(w * x) / sum(w) AS m FROM bw GROUP BY 1, 2), ci AS (SELECT kind, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM bm GROUP BY 1),
+fl AS (SELECT kind, count(*) FILTER (WHERE sa AND NOT sb) AS only_a, count(*) FILTER (WHERE NOT sa AND sb) AS only_b FROM lv GROUP BY 1)
+SELECT kind, n, mean_a, mean_b, diff, wins, losses, ties, low, high, only_a, only_b, CASE WHEN only_a + only_b >= 10 THEN round(power(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b), 6) END AS chi2
+FROM g JOIN ci USING (kind) JOIN fl USING (kind)""")
 def p08_contrast_report(v):
-    return contrasted(v)
+    milli = lambda c: (F.round(F.col(c) * 1000).cast("long") / 1000.0).alias(c)
+    rows = paired(v).select("user_id", F.concat(F.lit("K"), (F.col("user_id") % 5).cast("string")).alias("kind"), milli("a"), milli("b"), "sa", "sb")
+    return stats.contrast_report(rows, ["kind"], "user_id")
 
 
 @query(f"{DAYS} SELECT user_id, sa, sb FROM pp WHERE sa <> sb")

@@ -40,8 +40,8 @@ ls AS MATERIALIZED (SELECT user_id, 'cf' AS source, rank, item FROM tk UNION ALL
 class World:
     """The pieces that these queries share, each made when first used; what several of them read is written once."""
 
-    def __init__(self, v) -> None:
-        self._v = v
+    def __init__(self, v, eval_on: str = "validation") -> None:
+        self._v, self._on = v, eval_on
 
     @cached_property
     def events(self):
@@ -50,11 +50,11 @@ class World:
 
     @cached_property
     def train(self):
-        return self.events.where("split = 'train'")
+        return split.select_fit_target(self.events, self._on)[0]
 
     @cached_property
     def targets(self):
-        return cf.pairs_of(self.events.where("split = 'validation'"))
+        return cf.pairs_of(self.events.where(F.col("split") == self._on))
 
     @cached_property
     def users(self):
@@ -74,7 +74,7 @@ class World:
 
     @cached_property
     def cohort(self):
-        return split.cohort(self.train, self.events.where("split = 'validation'"), item="item")
+        return split.cohort(self.train, self.events.where(F.col("split") == self._on), item="item")
 
     def n_items(self):
         return self._v.n_items()
@@ -437,6 +437,24 @@ def k17_score_ties(v):
     return metrics.score_ties(cf.topk(w.scores(), w.history, 1 << 30), 10)
 
 
+KEPT = "status IN ('ranked', 'beyond_k')"
+
+
+@query(BASE + RANKED + f""", rt AS (SELECT user_id, count(*) AS targets, count(*) FILTER (WHERE (user_id, item) IN (SELECT user_id, item FROM hp)) AS repeats FROM tg GROUP BY 1),
+ru AS (SELECT segment, user_id, count(*) AS candidates, count(*) FILTER (WHERE status = 'seen') AS seen, count(*) FILTER (WHERE status = 'unscored') AS unscored, count(*) FILTER (WHERE status = 'hidden') AS hidden,
+       count(*) FILTER (WHERE status = 'ranked') AS returned, count(*) FILTER (WHERE {KEPT}) AS kept FROM rk JOIN ch USING (user_id) GROUP BY 1, 2),
+rs AS (SELECT user_id, score, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id ORDER BY score DESC) AS upto FROM rk WHERE {KEPT} GROUP BY 1, 2),
+rn AS (SELECT user_id, sum(n * (n - 1) / 2) AS tie_pairs, max(CASE WHEN upto > 10 AND upto - n < 10 THEN 1 ELSE 0 END) AS boundary FROM rs GROUP BY 1)
+SELECT 'cf' AS merge, 'runtime' AS scorer, segment, count(*) AS users, count(*) FILTER (WHERE targets > repeats) AS users_with_unseen_targets, CAST(sum(repeats) AS BIGINT) AS repeat_pairs, round(avg(repeats / targets), 6) AS repeat_fraction,
+CAST(sum(candidates) AS BIGINT) AS candidates, CAST(sum(returned) AS BIGINT) AS returned, round(sum(seen) / sum(candidates), 6) AS seen_loss_rate, round(sum(unscored) / sum(candidates), 6) AS unscored_loss_rate,
+round(sum(seen + unscored + hidden) / sum(candidates), 6) AS total_loss_rate, round(avg(CASE WHEN kept > 1 THEN tie_pairs / (kept * (kept - 1) / 2) ELSE 0 END), 6) AS tie_pair_rate, round(avg(coalesce(boundary, 0)), 6) AS boundary_tie_rate
+FROM ru JOIN rt USING (user_id) LEFT JOIN rn USING (user_id) GROUP BY segment""")
+def k17_ranking_summary(v):
+    w = World(v)
+    rows = ranked_of(w).join(w.cohort.select("user_id", "segment"), "user_id").withColumn("merge", F.lit("cf")).withColumn("scorer", F.lit("runtime"))
+    return metrics.ranking_summary(rows, w.targets, w.history, 10)
+
+
 @query(BASE + POP_LISTS + """, n AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE (user_id, item) IN (SELECT user_id, item FROM ls)) AS got, count(*) FILTER (WHERE (user_id, item) IN (SELECT user_id, item FROM tk)) AS hit FROM tg GROUP BY 1)
 SELECT count(*) AS users, round(avg((n - got) * 1.0 / n), 6) AS retrieval_loss, round(avg((got - least(10, got)) * 1.0 / n), 6) AS capacity_loss, round(avg((least(10, got) - hit) * 1.0 / n), 6) AS ranking_loss, round(avg(hit * 1.0 / n), 6) AS recall FROM n""")
 def k18_loss_decomposition(v):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from merrow.functions.draws import draw_sql
 from merrow.functions.storage import shared_folder
-from merrow.operators import factors, metrics
+from merrow.operators import factors
 from merrow.streaming import jobs
 
 from .recommend_queries import BASE, World
@@ -62,21 +62,6 @@ def h23_factor_topk(v):
     return factors.factor_topk(users.join(w.users, "user_id", "left_semi"), items, w.history, 10)
 
 
-@query()
-def h25_tune_hybrid(v):
-    """NDCG@10 of the hybrid for several popularity weights, and which one validation picks."""
-    from merrow.operators import cf
-
-    w = World(v)
-    scores = w.scores()
-    settings = factors.grid({"weight": [0.0, 0.5, 2.0]})
-    fit = lambda s: cf.ranked(cf.hybrid_scores(scores, w.users, w.history, w.pop, s["weight"], 10), 10)
-    ndcg = lambda recs: metrics.ranking_metrics(recs, w.targets, 10).agg(F.avg("ndcg").alias("m")).first().m
-    best, scored = factors.tune(fit, settings, ndcg)
-    rows = [(float(s["weight"]), round(m, 6), s == best) for s, m in scored]
-    return v.spark.createDataFrame(rows, "weight double, ndcg double, chosen boolean")
-
-
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def s02_stream_stats(v):
     out = jobs.run_once(jobs.stream_stats(events_stream(v)), "complete", scratch(v))

@@ -46,6 +46,12 @@ SELECT {USER_DAY} AS request_id, user_id, event_id, EPOCH(ts) AS ts_ms,
        event_type AS tool, event_type <> 'error' AS ok, value / 1000 AS latency_seconds, props AS args,
        concat('A', CAST(user_id % 2 AS STRING)) AS agent, concat('K', CAST(user_id % 5 AS STRING)) AS kind
 FROM {{events}}""",
+    "v_steps": """
+SELECT request_id, agent, kind, step_no, tool, ok, latency_seconds,
+       CASE WHEN ok THEN NULL WHEN event_id % 4 = 0 THEN 'unknown_args' WHEN event_id % 4 = 1 THEN 'bad_reference' WHEN event_id % 4 = 2 THEN 'time_budget' ELSE 'tool_error' END AS error_kind,
+       CAST(event_id % 120 AS BIGINT) AS prompt_tokens, CAST(event_id % 40 AS BIGINT) AS completion_tokens,
+       CAST(20 + event_id % 60 AS DOUBLE) AS asked_price, concat('cat', CAST(event_id % 3 AS STRING)) AS asked_category, event_id % 2 = 0 AS has_filter
+FROM {v_tool_log}""",
     "v_scored": """
 SELECT request_id, agent, kind, user_id,
        CASE WHEN user_id % 3 = 0 THEN 'cold' WHEN user_id % 3 = 1 THEN 'sparse' ELSE 'warm' END AS segment,
