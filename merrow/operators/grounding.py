@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITEM = r"([A-Za-z_]+::[A-Za-z0-9]+)"
 PRICE = r"\$(\d+(?:\.\d+)?)"
 RATING = r"(\d(?:\.\d+)?)\s*(?:/\s*5|stars?)"
+NUMBER = r"(\d+(?:[.,]\d+)*)"
+# fixed values: product codes, phrases that claim nothing, and words of claims
+CODE = r"(?<![A-Za-z0-9_:])(B0[0-9A-Z]{8})(?![A-Za-z0-9_])"
+COURTESY = (
+    r"^((here|the following|these are|below) (are|is|you can find)|(i|we) (recommend|suggest)|(please|feel free to)|(hope|this helps)|let me know"
+    r"|based on your request|(thank you|thanks)|(sure|of course))"
+)
+PRODUCT_WORDS = (
+    "price rating review star category store cheap expensive wireless wire cable feature best popular suitable good great dollar cents $ rated".split()
+)
 
 
 def mentions(answers: DataFrame) -> DataFrame:
@@ -19,32 +32,69 @@ def mentions(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", F.explode(F.concat(*kinds)).alias("m")).select("answer_id", "m.kind", "m.value")
 
 
-def check_grounding(answers: DataFrame, items: DataFrame, price_tolerance: float = 0.01, rating_tolerance: float = 0.05) -> DataFrame:
-    """By answer: ids that were not given, prices and ratings that fit none of the given items, ids in the order given."""
-    given = answers.select("answer_id", F.explode("item_ids").alias("item_id")).join(items.select("item_id", "price", "average_rating"), "item_id")
-    facts = given.groupBy("answer_id").agg(F.collect_set("price").alias("prices"), F.collect_set("average_rating").alias("ratings"))
+def check_grounding(answers: DataFrame, items: DataFrame, price_tolerance: float = 0.01, rating_tolerance: float = 0.05, code: str = CODE) -> DataFrame:
+    """By answer: foreign ids, ids in the order given, product codes without domain, prices and ratings without basis.
+
+    answers (answer_id, text, item_ids[, request_text]). A price has a basis in the price of a given item, in a number of
+    the request and in a number of a given title; a rating in the rating of a given item.
+    """
+    given = answers.select("answer_id", F.explode("item_ids").alias("item_id")).join(items.select("item_id", "price", "average_rating", "title"), "item_id")
+    numbers = lambda column, p: F.transform(F.regexp_extract_all(column, F.lit(p), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").cast("double"))
+    facts = given.groupBy("answer_id").agg(
+        F.collect_set("price").alias("prices"), F.collect_set("average_rating").alias("ratings"), F.flatten(F.collect_list(numbers(F.coalesce("title", F.lit("")), NUMBER))).alias("printed")
+    )
     ids = F.regexp_extract_all("text", F.lit(ITEM), F.lit(1))
-    numbers = lambda p: F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), lambda x: x.cast("double"))
+    own = F.transform("item_ids", lambda x: F.element_at(F.split(x, "::"), -1))
     empty = F.array().cast("array<double>")
-    wrong = lambda said, known, tolerance: F.size(F.filter(said, lambda x: ~F.exists(F.coalesce(known, empty), lambda y: F.abs(x - y) <= tolerance)))
+    wrong = lambda said, known, tolerance: F.size(F.filter(said, lambda x: ~F.exists(known, lambda y: F.abs(x - y) <= tolerance + 1e-9)))
     rows = answers.join(facts, "answer_id", "left")
+    asked = numbers(F.coalesce("request_text", F.lit("")), NUMBER) if "request_text" in answers.columns else empty
+    known = F.concat(F.coalesce("prices", empty), F.coalesce("printed", empty), asked)
     out = rows.select(
         "answer_id", F.size(F.array_except(ids, "item_ids")).alias("foreign_ids"), (F.array_distinct(ids) == F.col("item_ids")).alias("ids_in_order"),
-        wrong(numbers(PRICE), F.col("prices"), price_tolerance).alias("wrong_prices"), wrong(numbers(RATING), F.col("ratings"), rating_tolerance).alias("wrong_ratings"),
+        F.size(F.filter(F.regexp_extract_all("text", F.lit(code), F.lit(1)), lambda x: ~F.array_contains(own, x))).alias("bare_codes"),
+        wrong(numbers("text", PRICE), known, price_tolerance).alias("wrong_prices"), wrong(numbers("text", RATING), F.coalesce("ratings", empty), rating_tolerance).alias("wrong_ratings"),
     )
-    return out.withColumn("grounded", (F.col("foreign_ids") == 0) & (F.col("wrong_prices") == 0) & (F.col("wrong_ratings") == 0))
+    clean = [F.col(c) == 0 for c in ("foreign_ids", "bare_codes", "wrong_prices", "wrong_ratings")]
+    return out.withColumn("grounded", reduce(and_, clean))
 
 
 def claims(answers: DataFrame, items: DataFrame) -> DataFrame:
-    """One row a sentence that names an item: what it claims and whether the item's fields support it."""
-    sentences = answers.select("answer_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("no", "sentence"))
-    named = sentences.withColumn("item_id", F.regexp_extract("sentence", ITEM, 1)).where("item_id <> ''").join(items, "item_id", "left")
-    price = F.regexp_extract("sentence", PRICE, 1).try_cast("double")
-    rating = F.regexp_extract("sentence", RATING, 1).try_cast("double")
-    kind = F.when(price.isNotNull(), "price").when(rating.isNotNull(), "rating").otherwise("item")
-    support = F.when(F.col("domain").isNull(), "unknown_item").when(price.isNotNull(), F.when(F.coalesce(F.abs(price - F.col("price")) <= 0.01, F.lit(False)), "supported").otherwise("contradicted"))
-    support = support.when(rating.isNotNull(), F.when(F.abs(rating - F.col("average_rating")) <= 0.05, "supported").otherwise("contradicted")).otherwise("supported")
-    return named.select("answer_id", "no", "item_id", kind.alias("claim"), support.alias("verdict"))
+    """One row a sentence that claims something of a product: of which item, what, and whether the item's fields support it.
+
+    The item is the one whose id the sentence has, else the first given one with two words of its title in it. Phrases of
+    courtesy claim nothing, and neither do sentences without item or product word. A claim is contradicted by another
+    number or name, unsupported where the field is null or nothing can be checked.
+    """
+    sentences = answers.select("answer_id", "item_ids", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("no", "sentence")).withColumn("low", F.lower("sentence"))
+    sentences = sentences.where(~F.col("low").rlike(COURTESY)).withColumn("named", F.regexp_extract("sentence", ITEM, 1))
+    words = lambda c: F.array_distinct(F.split(F.lower(c), r"\s+"))
+    titles = answers.select("answer_id", F.posexplode("item_ids").alias("at", "item_id")).join(items.select("item_id", "title"), "item_id")
+    meant = sentences.where("named = ''").join(titles, "answer_id").where(F.size(F.array_intersect(words("sentence"), words("title"))) >= 2)
+    meant = meant.groupBy("answer_id", "no").agg(F.min_by("item_id", "at").alias("by_title"))
+    found = sentences.join(meant, ["answer_id", "no"], "left").withColumn("item_id", F.coalesce(F.nullif("named", F.lit("")), "by_title"))
+    has = lambda *parts: reduce(or_, [F.contains("low", F.lit(p)) for p in parts])
+    found = found.where(F.col("item_id").isNotNull() | has(*PRODUCT_WORDS)).join(items.withColumn("known", F.lit(True)), "item_id", "left")
+    number = lambda p: F.regexp_extract("low", p, 1).try_cast("double")
+
+    def judged(field: str, good):
+        return F.when(F.col(field).isNull(), "unsupported").when(F.coalesce(good, F.lit(True)), "supported").otherwise("contradicted")
+
+    in_sentence = lambda c: F.contains("low", F.lower(c))
+    of_title = F.size(F.array_intersect(words("sentence"), words("title"))) >= 2
+    kinds = [
+        (has("price", "cost", "$", "dollar", "cheap", "expensive"), "price", judged("price", F.abs(number(r"\$?(\d+\.?\d*)") - F.col("price")) <= 0.01 + 1e-9)),
+        (has("rating", "star", "rated", "/5", "out of 5"), "rating", judged("average_rating", F.abs(number(r"(\d\.?\d*)\s*(?:star|rating|/|out of)") - F.col("average_rating")) <= 0.1 + 1e-9)),
+        (has("review"), "reviews", judged("rating_number", number(r"(\d+)\s*(?:review|rating)") == F.col("rating_number"))),
+        (has("store", "sold by", "available at"), "store", judged("store", in_sentence("store"))),
+        (has("category", "type", "belongs to"), "category", judged("main_category", in_sentence("main_category"))),
+        (of_title, "title", F.lit("supported")),
+    ]
+    kind, verdict = F.lit("other"), F.lit("unsupported")
+    for condition, name, of in reversed(kinds):
+        kind, verdict = F.when(condition, name).otherwise(kind), F.when(condition, of).otherwise(verdict)
+    verdict = F.when(F.col("known").isNull(), "unknown_item").otherwise(verdict)
+    return found.select("answer_id", "no", "item_id", kind.alias("claim"), verdict.alias("verdict"))
 
 
 def grounding_rates(judged: DataFrame) -> DataFrame:

@@ -203,36 +203,65 @@ def m04_conversation_summary(v):
     return dialogue.summarize_conversations(dialogue.score_conversations(turns(v)))
 
 
-ANSWERS = duck("v_items") + ", a AS (SELECT seq AS answer_id, item_id, price, average_rating, seq % 7 = 0 AS bad_price, seq % 5 = 0 AS bad_id FROM v_items WHERE price IS NOT NULL)"
+#: An answer for every item, sentence by sentence: every fifth names another id, every seventh a wrong price, every ninth
+#: a wrong rating; some have codes without domain, a number of the request, the title, a store, or a courtesy.
+NAMED = "CASE WHEN seq % 5 = 0 THEN 'NONE::X1' ELSE item_id END"
+SENTENCES = [
+    f"CASE WHEN price IS NULL THEN concat({NAMED}, ' has no price here.') ELSE concat({NAMED}, ' costs $', printf('%.2f', CASE WHEN seq % 7 = 0 THEN price + 10 ELSE price END), '.') END",
+    f"concat({NAMED}, ' is rated ', printf('%.1f', CASE WHEN seq % 9 = 0 THEN average_rating - 0.5 ELSE average_rating END), '/5.')",
+    "CASE WHEN seq % 11 = 0 THEN concat('Code B0', printf('%08d', seq), ' fits as well.') END",
+    "CASE WHEN seq % 13 = 0 THEN 'It keeps to your budget of $40.' END",
+    "CASE WHEN seq % 4 = 0 THEN concat('Some say ', title, ' lasts.') END",
+    "CASE WHEN seq % 3 = 0 THEN concat(item_id, ' is sold by ', coalesce(store, 'nobody'), '.') END",
+    "CASE WHEN seq % 2 = 0 THEN 'Thank you for asking about the price.' END",
+]
+REQUEST = "'something for 40 or less'"
+ANSWERS = duck("v_items") + f", s AS (SELECT *, list_filter([{', '.join(SENTENCES)}], lambda x: x IS NOT NULL) AS sentences FROM v_items), a AS (SELECT *, seq AS answer_id, array_to_string(sentences, ' ') AS text FROM s)"
 
 
 def answers(v):
-    """Every priced item as an answer of two sentences; every fifth names another id, every seventh a wrong price."""
-    named = F.when(F.col("seq") % 5 == 0, F.lit("NONE::X1")).otherwise(F.col("item_id"))
-    price = F.format_string("%.2f", F.when(F.col("seq") % 7 == 0, F.col("price") + 10).otherwise(F.col("price")))
-    text = F.concat(named, F.lit(" costs $"), price, F.lit(". "), named, F.lit(" is rated "), F.format_string("%.1f", "average_rating"), F.lit("/5."))
-    return v.v_items.where("price IS NOT NULL").select(F.col("seq").alias("answer_id"), text.alias("text"), F.array("item_id").alias("item_ids"))
+    text = F.concat_ws(" ", *[F.expr(x) for x in SENTENCES])
+    return v.v_items.select(F.col("seq").alias("answer_id"), text.alias("text"), F.array("item_id").alias("item_ids"), F.expr(REQUEST).alias("request_text"))
 
 
-@query(ANSWERS + " SELECT answer_id, 'item' AS kind, CASE WHEN bad_id THEN 'NONE::X1' ELSE item_id END AS value FROM a UNION ALL SELECT answer_id, 'item', CASE WHEN bad_id THEN 'NONE::X1' ELSE item_id END FROM a UNION ALL SELECT answer_id, 'price', printf('%.2f', CASE WHEN bad_price THEN price + 10 ELSE price END) FROM a UNION ALL SELECT answer_id, 'rating', printf('%.1f', average_rating) FROM a")
+IDS, PRICES, RATINGS = r"'([A-Za-z_]+::[A-Za-z0-9]+)'", r"'\$(\d+(?:\.\d+)?)'", r"'(\d(?:\.\d+)?)\s*(?:/\s*5|stars?)'"
+
+
+@query(f"""{ANSWERS} SELECT answer_id, 'item' AS kind, unnest(regexp_extract_all(text, {IDS}, 1)) AS value FROM a UNION ALL SELECT answer_id, 'price', unnest(regexp_extract_all(text, {PRICES}, 1)) FROM a
+UNION ALL SELECT answer_id, 'rating', unnest(regexp_extract_all(text, {RATINGS}, 1)) FROM a""")
 def n01_mentions(v):
     return grounding.mentions(answers(v))
 
 
-@query(ANSWERS + " SELECT answer_id, CASE WHEN bad_id THEN 1 ELSE 0 END AS foreign_ids, NOT bad_id AS ids_in_order, CASE WHEN bad_price THEN 1 ELSE 0 END AS wrong_prices, 0 AS wrong_ratings, NOT bad_id AND NOT bad_price AS grounded FROM a")
+WITHOUT = "len(list_filter(list_transform(regexp_extract_all(text, {0}, 1), lambda x: CAST(x AS DOUBLE)), lambda x: len(list_filter({1}, lambda y: abs(x - y) <= {2})) = 0))"
+TITLE_NUMBERS = r"list_transform(regexp_extract_all(title, '\d+(?:[.,]\d+)*'), lambda x: CAST(replace(x, ',', '') AS DOUBLE))"
+
+
+@query(f"""{ANSWERS}, g AS (SELECT answer_id, CASE WHEN list_contains(regexp_extract_all(text, {IDS}, 1), 'NONE::X1') THEN 1 ELSE 0 END AS foreign_ids, list_distinct(regexp_extract_all(text, {IDS}, 1)) = [item_id] AS ids_in_order,
+len(regexp_extract_all(text, 'B0[0-9A-Z]{{8}}')) AS bare_codes, {WITHOUT.format(PRICES, f"list_concat([40.0, coalesce(price, -1e9)], {TITLE_NUMBERS})", 0.01 + 1e-9)} AS wrong_prices, {WITHOUT.format(RATINGS, "[average_rating]", 0.05 + 1e-9)} AS wrong_ratings FROM a)
+SELECT *, foreign_ids = 0 AND bare_codes = 0 AND wrong_prices = 0 AND wrong_ratings = 0 AS grounded FROM g""")
 def n02_check_grounding(v):
     return grounding.check_grounding(answers(v), v.v_items)
 
 
-CLAIMS = ANSWERS + ", c AS (SELECT answer_id, 0 AS no, CASE WHEN bad_id THEN 'NONE::X1' ELSE item_id END AS item_id, 'price' AS claim, CASE WHEN bad_id THEN 'unknown_item' WHEN bad_price THEN 'contradicted' ELSE 'supported' END AS verdict FROM a UNION ALL SELECT answer_id, 1, CASE WHEN bad_id THEN 'NONE::X1' ELSE item_id END, 'rating', CASE WHEN bad_id THEN 'unknown_item' ELSE 'supported' END FROM a)"
+CLAIMS = ANSWERS + r""", q AS (SELECT answer_id, unnest(range(len(sentences))) AS no, unnest(sentences) AS sentence, item_id AS given FROM a),
+w AS (SELECT q.*, lower(sentence) AS low, nullif(regexp_extract(sentence, '([A-Za-z_]+::[A-Za-z0-9]+)', 1), '') AS named, t.title AS given_title FROM q JOIN v_items t ON t.item_id = given WHERE NOT starts_with(lower(sentence), 'thank you')),
+n AS (SELECT answer_id, no, low, coalesce(named, CASE WHEN len(list_intersect(string_split(low, ' '), string_split(lower(given_title), ' '))) >= 2 THEN given END) AS item_id FROM w),
+k AS (SELECT n.*, i.item_id IS NOT NULL AS known, price, average_rating, store, title FROM n LEFT JOIN v_items i ON i.item_id = n.item_id WHERE n.item_id IS NOT NULL OR regexp_matches(low, 'price|rating|review|star|category|store|cheap|expensive|wire|cable|feature|best|popular|suitable|good|great|dollar|cents|\$|rated')),
+c AS (SELECT answer_id, no, item_id, CASE WHEN regexp_matches(low, 'price|cost|\$|dollar|cheap|expensive') THEN 'price' WHEN regexp_matches(low, 'rating|star|rated|/5|out of 5') THEN 'rating' WHEN contains(low, 'review') THEN 'reviews'
+ WHEN regexp_matches(low, 'store|sold by|available at') THEN 'store' WHEN regexp_matches(low, 'category|type|belongs to') THEN 'category' WHEN len(list_intersect(string_split(low, ' '), string_split(lower(title), ' '))) >= 2 THEN 'title' ELSE 'other' END AS claim,
+ TRY_CAST(nullif(regexp_extract(low, '\$?(\d+\.?\d*)', 1), '') AS DOUBLE) AS p, TRY_CAST(nullif(regexp_extract(low, '(\d\.?\d*)\s*(?:star|rating|/|out of)', 1), '') AS DOUBLE) AS r, known, price, average_rating, store, low FROM k),
+cl AS (SELECT answer_id, no, item_id, claim, CASE WHEN NOT known THEN 'unknown_item' WHEN claim = 'price' THEN CASE WHEN price IS NULL THEN 'unsupported' WHEN coalesce(abs(p - price) <= 0.010000001, true) THEN 'supported' ELSE 'contradicted' END
+ WHEN claim = 'rating' THEN CASE WHEN coalesce(abs(r - average_rating) <= 0.100000001, true) THEN 'supported' ELSE 'contradicted' END WHEN claim = 'store' THEN CASE WHEN store IS NULL THEN 'unsupported' WHEN contains(low, lower(store)) THEN 'supported' ELSE 'contradicted' END
+ WHEN claim = 'title' THEN 'supported' ELSE 'unsupported' END AS verdict FROM c)"""
 
 
-@query(CLAIMS + " SELECT * FROM c")
+@query(CLAIMS + " SELECT * FROM cl")
 def n03_claims(v):
     return grounding.claims(answers(v), v.v_items)
 
 
-@query(CLAIMS + " SELECT answer_id AS case_id, count(*) AS claims, round(count(*) FILTER (WHERE verdict = 'supported') * 1.0 / count(*), 6) AS grounding_rate, round(1 - count(*) FILTER (WHERE verdict = 'supported') * 1.0 / count(*), 6) AS hallucination_rate FROM c GROUP BY 1")
+@query(CLAIMS + " SELECT answer_id AS case_id, count(*) AS claims, round(count(*) FILTER (WHERE verdict = 'supported') * 1.0 / count(*), 6) AS grounding_rate, round(1 - count(*) FILTER (WHERE verdict = 'supported') * 1.0 / count(*), 6) AS hallucination_rate FROM cl GROUP BY 1")
 def n04_grounding_rates(v):
     return grounding.grounding_rates(grounding.claims(answers(v), v.v_items).withColumnRenamed("answer_id", "case_id"))
 
