@@ -12,14 +12,23 @@ from merrow.functions.storage import stored
 from .metrics import ranking_metrics, retrieval_metrics
 
 
-def policy_guardrails(by_policy: DataFrame, baseline: str, metric: str, least_gain: float, retention: Mapping[str, float]) -> DataFrame:
-    """by_policy (policy, metrics...): gain against the baseline's row, and whether each guarded metric keeps its share."""
-    base = by_policy.where(F.col("policy") == baseline).select(*[F.col(c).alias(f"base_{c}") for c in (metric, *retention)])
+def policy_guardrails(
+    by_policy: DataFrame, baseline: str, metric: str, least_gain: float, retention: Mapping[str, float], ceilings: Mapping[str, float] | None = None
+) -> DataFrame:
+    """by_policy (policy, metrics...): gain against the baseline's row, and whether the guards hold.
+
+    A metric of ``retention`` keeps at least its share of the baseline's; one of ``ceilings``, a latency, stays under so
+    many times the baseline's.
+    """
+    ceilings = ceilings or {}
+    base = by_policy.where(F.col("policy") == baseline).select(*[F.col(c).alias(f"base_{c}") for c in (metric, *retention, *ceilings)])
     rows = by_policy.crossJoin(base)  # one row
     gain = F.col(metric) - F.col(f"base_{metric}")
     kept = F.lit(True)
     for name, share in retention.items():
         kept = kept & (F.col(name) >= share * F.col(f"base_{name}"))
+    for name, ratio in ceilings.items():
+        kept = kept & (F.col(name) <= ratio * F.col(f"base_{name}"))
     return rows.select("policy", F.round(gain, 6).alias("gain"), kept.alias("guards_kept"), ((gain >= least_gain) & kept & (F.col("policy") != baseline)).alias("accepted"))
 
 
@@ -84,12 +93,27 @@ def query_availability(cohort: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.groupBy("segment").agg(F.count("*").alias("users"), F.count_if(has).alias("with_query"), F.round(F.avg(F.when(has, 1.0).otherwise(0.0)), 6).alias("share"))
 
 
-def score_outcome(recs: DataFrame, targets: DataFrame, seen: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """By user: ranking metrics, share of shown items already seen, distinct domains shown. items (item, domain)."""
+def score_outcome(
+    recs: DataFrame, targets: DataFrame, seen: DataFrame, items: DataFrame, k: int, seeds: DataFrame | None = None, wanted: DataFrame | None = None
+) -> DataFrame:
+    """By user: ranking metrics; of what is shown, the share already seen, distinct domains and main categories.
+
+    items (item, domain[, main_category]); with seeds (user_id, item) also whether a seed is shown, and with wanted
+    (user_id, category) whether that main category is. Null where nothing is shown.
+    """
     shown = recs.where(F.col("rank") <= k)
     flags = shown.join(seen.select("user_id", "item", F.lit(1).alias("s")).distinct(), ["user_id", "item"], "left").join(items, "item", "left")
-    extra = flags.groupBy("user_id").agg(F.round(F.avg(F.coalesce("s", F.lit(0))), 6).alias("seen_rate"), F.count_distinct("domain").alias("domains"))
-    return ranking_metrics(recs, targets, k).join(extra, "user_id", "left")
+    extra = [F.round(F.avg(F.coalesce("s", F.lit(0))), 6).alias("seen_rate"), F.count_distinct("domain").alias("domains")]
+    if "main_category" in items.columns:
+        extra.append(F.count_distinct("main_category").alias("main_categories"))
+    if seeds is not None:
+        flags = flags.join(seeds.select("user_id", "item", F.lit(True).alias("seed")).distinct(), ["user_id", "item"], "left")
+        flags = flags.join(seeds.select("user_id", F.lit(True).alias("asked")).distinct(), "user_id", "left")
+        extra.append((F.bool_or(F.coalesce("seed", F.lit(False))) & F.bool_or(F.coalesce("asked", F.lit(False)))).alias("seed_in_result"))
+    if wanted is not None:
+        flags = flags.join(wanted, "user_id", "left")
+        extra.append(F.max(F.when(F.col("main_category") == F.col("category"), 1.0).otherwise(0.0)).alias("category_coverage"))
+    return ranking_metrics(recs, targets, k).join(flags.groupBy("user_id").agg(*extra), "user_id", "left")
 
 
 def recommend_from_intent(found: DataFrame, queries: DataFrame, seen: DataFrame, items: DataFrame, k: int) -> DataFrame:

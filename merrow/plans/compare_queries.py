@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from merrow.functions.storage import shared_folder
 from merrow.operators import cf, compare, factors, fusion, metrics, provenance, split, text
+from merrow.operators.quantiles import percentiles
 from merrow.sources import interactions as src
 
 from .recommend_queries import BASE, HYBRID, NDCG, POP_LISTS, RRF, World
@@ -44,12 +45,17 @@ def k03_recommend_from_intent(v):
 
 
 @query(BASE + POP_LISTS + """, nr AS (SELECT user_id, count(*) AS n FROM tg GROUP BY 1), m AS (SELECT source AS policy, nr.user_id, n, (SELECT count(DISTINCT item) FROM ls JOIN tg USING (user_id, item) WHERE ls.user_id = nr.user_id AND ls.source = s.source) AS hits FROM nr CROSS JOIN (SELECT DISTINCT source FROM ls) s),
-p AS (SELECT policy, round(avg(hits * 1.0 / n), 6) AS macro_recall, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM m GROUP BY 1), b AS (SELECT macro_recall AS bm, hit_rate AS bh FROM p WHERE policy = 'popular')
-SELECT policy, round(macro_recall - bm, 6) AS gain, hit_rate >= 0.9 * bh AS guards_kept, macro_recall - bm >= 0.001 AND hit_rate >= 0.9 * bh AND policy <> 'popular' AS accepted FROM p CROSS JOIN b""")
+p AS (SELECT policy, round(avg(hits * 1.0 / n), 6) AS macro_recall, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM m GROUP BY 1),
+la AS (SELECT CASE event_type WHEN 'view' THEN 'cf' WHEN 'click' THEN 'popular' ELSE 'recent' END AS policy, round(quantile_cont(value / 1000, 0.95), 9) AS p95 FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1),
+b AS (SELECT macro_recall AS bm, hit_rate AS bh, p95 AS bl FROM p JOIN la USING (policy) WHERE policy = 'popular'), z AS (SELECT policy, macro_recall - bm AS gain, hit_rate >= 0.9 * bh AND p95 <= 1.5 * bl AS kept FROM p JOIN la USING (policy) CROSS JOIN b)
+SELECT policy, round(gain, 6) AS gain, kept AS guards_kept, gain >= 0.001 AND kept AND policy <> 'popular' AS accepted FROM z""")
 def k24_policy_guardrails(v):
     w = World(v)
     by_policy = metrics.retrieval_metrics(w.lists(), w.targets, v.n_items(), ["source"]).withColumnRenamed("source", "policy")
-    return compare.policy_guardrails(by_policy, "popular", "macro_recall", 0.001, {"hit_rate": 0.9})
+    tool = F.when(F.col("tool") == "view", "cf").when(F.col("tool") == "click", "popular").otherwise("recent")
+    steps = v.v_tool_log.where(F.col("tool").isin("view", "click", "purchase")).select(tool.alias("policy"), "latency_seconds")
+    latency = percentiles(steps, "latency_seconds", [0.95], ["policy"]).select("policy", F.round(F.col("p")[0], 9).alias("p95"))
+    return compare.policy_guardrails(by_policy.join(latency, "policy"), "popular", "macro_recall", 0.001, {"hit_rate": 0.9}, {"p95": 1.5})
 
 
 WEIGHTS = (0.0, 0.5, 2.0)
@@ -80,7 +86,7 @@ def h26_tune_hybrid_weight(v):
 
 def of_test(sql: str) -> str:
     """The CTEs of BASE and those after it under other names, fitted on train and validation, with test targets."""
-    names = "ev|pr|tg|us|hs|ch|pop|co|cn|sim|nb|hp|sc|un|tk|bs|mx|hy0|hr0|hl|vn|hh|hm"
+    names = "ev|pr|tg|us|hs|ch|pop|co|cn|sim|nb|hp|sc|un|tk|bs|best|mx|hy0|hr0|hl|vn|hh|hm"
     sql = sql.replace("split = 'train'", "split <> 'test'").replace("split = 'validation'", "split = 'test'")
     return re.sub(rf"\b({names})\b", r"\g<1>_t", sql)
 
@@ -143,11 +149,20 @@ def k28_query_availability(v):
     return compare.query_availability(w.cohort, queries)
 
 
-@query(BASE + NDCG + ", x AS (SELECT user_id, count(DISTINCT p_type) AS domains FROM tk JOIN part ON p_partkey = item GROUP BY 1) SELECT user_id, ndcg, recall, CASE WHEN domains IS NOT NULL THEN 0.0::DOUBLE END AS seen_rate, domains FROM mt LEFT JOIN x USING (user_id)")
+@query(BASE + POP_LISTS + """, cn1 AS (SELECT user_id, item FROM pl UNION ALL SELECT user_id, item FROM rc WHERE rank = 1),
+sl AS (SELECT DISTINCT user_id, item FROM cn1), pt AS (SELECT user_id, min(p_brand) AS wanted FROM tg JOIN part ON p_partkey = item GROUP BY 1),
+x AS (SELECT user_id, round(avg(CASE WHEN (user_id, item) IN (SELECT user_id, item FROM hp) THEN 1.0 ELSE 0.0 END), 6) AS seen_rate, bool_or((user_id, item) IN (SELECT user_id, item FROM rc WHERE rank = 1)) AS seed_in_result,
+      count(DISTINCT p_type) AS domains, count(DISTINCT p_brand) AS main_categories, max(CASE WHEN p_brand = wanted THEN 1.0 ELSE 0.0 END) AS category_coverage FROM sl JOIN part ON p_partkey = item LEFT JOIN pt USING (user_id) GROUP BY 1)
+SELECT user_id, x.seen_rate, seed_in_result AND user_id IN (SELECT user_id FROM rc) AS seed_in_result, domains, main_categories, category_coverage FROM us JOIN x USING (user_id)""")
 def l05_outcome_scores(v):
+    """Popular items and, beside them, the item bought last, so that some of what is shown has been seen."""
     w = World(v)
-    catalog = v.part.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("domain"))
-    return compare.score_outcome(w.cf_list(), w.targets, w.history, catalog, 10).select("user_id", "ndcg", "recall", "seen_rate", "domains")
+    seeds = w.recent_list(1).select("user_id", "item")
+    shown = w.popular_list(10).select("user_id", "item").unionByName(seeds).distinct().withColumn("rank", F.lit(1))
+    catalog = v.part.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("domain"), F.col("p_brand").alias("main_category"))
+    wanted = w.targets.join(catalog.select("item", "main_category"), "item").groupBy("user_id").agg(F.min("main_category").alias("category"))
+    out = compare.score_outcome(shown, w.targets, w.history, catalog, 10, seeds, wanted)
+    return out.select("user_id", "seen_rate", "seed_in_result", "domains", "main_categories", "category_coverage")
 
 
 @query(duck("v_split") + ", h AS (SELECT user_id, count(DISTINCT parent_asin) AS n FROM v_split WHERE split = 'train' GROUP BY 1) SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'cold' WHEN n <= 4 THEN 'sparse' ELSE 'warm' END AS segment, count(*) AS users FROM (SELECT DISTINCT user_id FROM v_split WHERE split = 'validation') LEFT JOIN h USING (user_id) GROUP BY 1")
