@@ -75,7 +75,8 @@ def claims(answers: DataFrame, items: DataFrame) -> DataFrame:
     found = sentences.join(meant, ["answer_id", "no"], "left").withColumn("item_id", F.coalesce(F.nullif("named", F.lit("")), "by_title"))
     has = lambda *parts: reduce(or_, [F.contains("low", F.lit(p)) for p in parts])
     found = found.where(F.col("item_id").isNotNull() | has(*PRODUCT_WORDS)).join(items.withColumn("known", F.lit(True)), "item_id", "left")
-    number = lambda p: F.regexp_extract("low", p, 1).try_cast("double")
+    bare = F.regexp_replace("low", "[a-z_]+::[a-z0-9]+", " ")  # an id's digits are no claim
+    number = lambda p: F.regexp_extract(bare, p, 1).try_cast("double")
 
     def judged(field: str, good):
         return F.when(F.col(field).isNull(), "unsupported").when(F.coalesce(good, F.lit(True)), "supported").otherwise("contradicted")

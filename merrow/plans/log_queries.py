@@ -250,7 +250,7 @@ n AS (SELECT answer_id, no, low, coalesce(named, CASE WHEN len(list_intersect(st
 k AS (SELECT n.*, i.item_id IS NOT NULL AS known, price, average_rating, store, title FROM n LEFT JOIN v_items i ON i.item_id = n.item_id WHERE n.item_id IS NOT NULL OR regexp_matches(low, 'price|rating|review|star|category|store|cheap|expensive|wire|cable|feature|best|popular|suitable|good|great|dollar|cents|\$|rated')),
 c AS (SELECT answer_id, no, item_id, CASE WHEN regexp_matches(low, 'price|cost|\$|dollar|cheap|expensive') THEN 'price' WHEN regexp_matches(low, 'rating|star|rated|/5|out of 5') THEN 'rating' WHEN contains(low, 'review') THEN 'reviews'
  WHEN regexp_matches(low, 'store|sold by|available at') THEN 'store' WHEN regexp_matches(low, 'category|type|belongs to') THEN 'category' WHEN len(list_intersect(string_split(low, ' '), string_split(lower(title), ' '))) >= 2 THEN 'title' ELSE 'other' END AS claim,
- TRY_CAST(nullif(regexp_extract(low, '\$?(\d+\.?\d*)', 1), '') AS DOUBLE) AS p, TRY_CAST(nullif(regexp_extract(low, '(\d\.?\d*)\s*(?:star|rating|/|out of)', 1), '') AS DOUBLE) AS r, known, price, average_rating, store, low FROM k),
+ TRY_CAST(nullif(regexp_extract(regexp_replace(low, '[a-z_]+::[a-z0-9]+', ' ', 'g'), '\$?(\d+\.?\d*)', 1), '') AS DOUBLE) AS p, TRY_CAST(nullif(regexp_extract(regexp_replace(low, '[a-z_]+::[a-z0-9]+', ' ', 'g'), '(\d\.?\d*)\s*(?:star|rating|/|out of)', 1), '') AS DOUBLE) AS r, known, price, average_rating, store, low FROM k),
 cl AS (SELECT answer_id, no, item_id, claim, CASE WHEN NOT known THEN 'unknown_item' WHEN claim = 'price' THEN CASE WHEN price IS NULL THEN 'unsupported' WHEN coalesce(abs(p - price) <= 0.010000001, true) THEN 'supported' ELSE 'contradicted' END
  WHEN claim = 'rating' THEN CASE WHEN coalesce(abs(r - average_rating) <= 0.100000001, true) THEN 'supported' ELSE 'contradicted' END WHEN claim = 'store' THEN CASE WHEN store IS NULL THEN 'unsupported' WHEN contains(low, lower(store)) THEN 'supported' ELSE 'contradicted' END
  WHEN claim = 'title' THEN 'supported' ELSE 'unsupported' END AS verdict FROM c)"""
