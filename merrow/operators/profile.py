@@ -38,6 +38,23 @@ def love_and_hate(ratings: DataFrame, love: float, hate: float) -> DataFrame:
     )
 
 
+def love_and_hate_categories(events: DataFrame, items: DataFrame, love: float, hate: float, order: Sequence[str]) -> DataFrame:
+    """Categories of the events rated at or above ``love``, and at or below ``hate``, as first seen in the order given.
+
+    events (user_id, item_id, rating, order...); a user's lists have at most one entry a category.
+    """
+    rows = events.join(items.select("item_id", "categories"), "item_id")
+    rows = rows.select("user_id", "rating", F.struct(*order).alias("o"), F.posexplode("categories").alias("pos", "category"))
+
+    def lists(rated, name: str) -> DataFrame:
+        first = rows.where(rated).groupBy("user_id", "category").agg(F.min(F.struct("o", "pos", "category")).alias("at"))
+        return first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list("at")), lambda x: x["category"]).alias(name))
+
+    users = events.select("user_id").distinct()
+    loved, hated = lists(F.col("rating") >= love, "love_categories"), lists(F.col("rating") <= hate, "hate_categories")
+    return users.join(loved, "user_id", "left").join(hated, "user_id", "left")
+
+
 #: The segments of users that a kind of request is drawn from; other kinds have no user.
 SEGMENTS = {"similar": ("sparse", "warm"), "personalized": ("sparse", "warm"), "constrained": ("sparse", "warm"), "cold_text": ("cold",), "exclusion": ("sparse", "warm")}
 VAGUE = ("I need something nice", "what would you take?", "find me a gift")

@@ -107,6 +107,19 @@ def bm25_search(postings: DataFrame, queries: DataFrame, limit: int, visible: Da
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def bm25_listing(postings: DataFrame, queries: DataFrame, items: DataFrame, limit: int, tie: str = "rating_number", id_col: str = "item_id") -> DataFrame:
+    """Search among items that a filter has left: statistics are those of the whole index, only listed items compete.
+
+    Order: score, then ``tie`` from high to low with nulls last, then id. total_matches counts what matches before the cut.
+    """
+    scores = bm25(postings, queries).withColumn("score", F.round("score", 6))
+    found = scores.join(items.select(F.col(id_col).alias("id"), F.col(tie).alias("_tie")), "id")
+    totals = found.groupBy("query_id").agg(F.count("*").alias("total_matches"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("_tie"), "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.join(totals, "query_id").select("query_id", "id", "score", "rank", "total_matches")
+
+
 def bm25_rank_of(postings: DataFrame, queries: DataFrame, targets: DataFrame, shown: int = 25) -> DataFrame:
     """targets (query_id, id): place in the complete ranking, and what it says about the miss."""
     scores = bm25(postings, queries).withColumn("score", F.round("score", 6))

@@ -30,6 +30,19 @@ def l01_love_and_hate(v):
     return rows.select("user_id", join("love_items"), join("hate_items"))
 
 
+FIRST_SEEN = "min((ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, pos))"
+
+
+@query(f"""{duck('v_interactions', 'v_items')}, c AS (SELECT t.*, unnest([cat1, cat2]) AS category, unnest([0, 1]) AS pos FROM v_interactions t JOIN v_items ON parent_asin = item_id),
+l AS (SELECT user_id, category, {FIRST_SEEN} AS since FROM c WHERE rating >= 5 GROUP BY 1, 2), h AS (SELECT user_id, category, {FIRST_SEEN} AS since FROM c WHERE rating <= 1 GROUP BY 1, 2)
+SELECT user_id, love_categories, hate_categories FROM (SELECT DISTINCT user_id FROM v_interactions) LEFT JOIN (SELECT user_id, string_agg(category, '|' ORDER BY since) AS love_categories FROM l GROUP BY 1) USING (user_id)
+LEFT JOIN (SELECT user_id, string_agg(category, '|' ORDER BY since) AS hate_categories FROM h GROUP BY 1) USING (user_id)""")
+def l01_love_and_hate_categories(v):
+    rows = v.v_interactions.withColumnRenamed("parent_asin", "item_id")
+    out = profile.love_and_hate_categories(rows, items(v), 5, 1, ["ts", *ORDER])
+    return out.select("user_id", *[F.array_join(c, "|").alias(c) for c in ("love_categories", "hate_categories")])
+
+
 REQUESTS = f"""{duck('v_split', 'v_items')}, f AS (SELECT user_id, parent_asin, ts FROM v_split WHERE split = 'train'), t AS (SELECT DISTINCT user_id, parent_asin FROM v_split WHERE split = 'validation'),
 h AS (SELECT user_id, count(DISTINCT parent_asin) AS n, arg_max(parent_asin, (ts, parent_asin)) AS last FROM f GROUP BY 1),
 u AS (SELECT *, CASE WHEN coalesce(n, 0) = 0 THEN 'cold' WHEN n <= 4 THEN 'sparse' ELSE 'warm' END AS segment FROM (SELECT DISTINCT user_id FROM t) LEFT JOIN h USING (user_id)),

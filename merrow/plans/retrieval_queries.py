@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from merrow.functions.storage import stored
-from merrow.operators import text, vectors
+from merrow.operators import catalog, text, vectors
 
 from .catalog_queries import items
 from .registry import query
@@ -69,6 +69,27 @@ def f05_bm25_search(v):
     return text.bm25_search(postings_of(v), bench_queries(v), 10)
 
 
+LISTING = (
+    duck("v_items") + ", d AS (SELECT item_id AS id, " + WORDS.format("concat_ws(' ', title, store, main_category)") + " AS w FROM v_items), t AS (SELECT id, len(w) AS dl, unnest(w) AS token FROM d), "
+    "post AS (SELECT token, id, dl, count(*) AS tf FROM t GROUP BY 1, 2, 3), q AS (SELECT DISTINCT cat2 AS query_id, unnest(" + WORDS.format("cat2") + ") AS token FROM v_items), "
+    "st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT id, any_value(dl) AS dl FROM post GROUP BY id)), df AS (SELECT token, count(*) AS df FROM post GROUP BY token), "
+    "sc AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN q USING (token) JOIN df USING (token) CROSS JOIN st GROUP BY 1, 2), "
+    "fl AS (SELECT sc.*, rating_number FROM sc JOIN v_items ON id = item_id WHERE domain IN ('PROMO', 'SMALL', 'LARGE') AND average_rating >= 2.0), "
+    "rk AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rating_number DESC NULLS LAST, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_matches FROM fl) "
+    "SELECT * FROM rk WHERE rank <= 10"
+)
+
+
+@query(LISTING)
+def f05_bm25_listing(v):
+    """A search for every brand among the items that a filter specification leaves."""
+    text_of = F.concat_ws(" ", "title", "store", "main_category")
+    postings = stored(text.build_postings(v.v_items.withColumn("all_text", text_of), "item_id", "all_text"), "postings")
+    queries = v.v_items.select(F.col("cat2").alias("query_id"), F.explode(text.index_tokens("cat2")).alias("token")).distinct()
+    left = catalog.apply_filters(items(v), {"domain": ["PROMO", "SMALL", "LARGE"], "average_rating_min": 2.0}, ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"])
+    return text.bm25_listing(postings, queries, left, 10)
+
+
 VISIBLE = ", vis AS (SELECT post.* FROM post JOIN documents ON id = doc_id WHERE lang = 'en')"
 
 
