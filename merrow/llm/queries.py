@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, suffix_dedup, toxicity
+from . import ann, bpe, exact_dedup, line_dedup, near_dedup, packing, pieces, pii, quality, ranked_search, suffix_dedup, toxicity, whitening
 
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
@@ -30,9 +30,13 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_sentencepiece": pieces.op13_sentencepiece,
 }
 SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
 }
