@@ -82,14 +82,16 @@ def build_postings(docs: DataFrame, id_col: str, text: Column | str, stem: bool
     return tokens.groupBy("token", "id", "dl").agg(F.count("*").alias("tf")).select("token", "id", "tf", "dl")
 
 
-def bm25(postings: DataFrame, queries: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+def bm25(postings: DataFrame, queries: DataFrame, visible: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
     """queries (query_id, token) -> (query_id, id, score) of every document with any of the tokens.
 
-    ``visible`` (id) restricts documents and, with them, all statistics. A frequent token's postings meet a few query
-    rows: the join may be split by adaptive execution, the sums are partial.
+    ``visible`` (id) restricts documents and, with them, all statistics. ``size`` (docs, avgdl; one row) gives the
+    statistics where they are known, or where the postings are a part of the index. A frequent token's postings meet a
+    few query rows: the join may be split by adaptive execution, the sums are partial.
     """
     rows = postings if visible is None else postings.join(visible.select("id").distinct(), "id", "left_semi")
-    size = rows.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    if size is None:
+        size = rows.groupBy("id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
     asked = queries.select("query_id", "token").distinct()
     rows = rows.join(asked.select("token").distinct(), "token", "left_semi")
     df = rows.groupBy("token").agg(F.count("*").alias("df"))
@@ -100,19 +102,21 @@ def bm25(postings: DataFrame, queries: DataFrame, visible: DataFrame | None = No
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
-def bm25_search(postings: DataFrame, queries: DataFrame, limit: int, visible: DataFrame | None = None) -> DataFrame:
+def bm25_search(postings: DataFrame, queries: DataFrame, limit: int, visible: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
     """The best documents of each query: score (rounded, so ties are the same everywhere), then identifier."""
-    scores = bm25(postings, queries, visible).withColumn("score", F.round("score", 6))
+    scores = bm25(postings, queries, visible, size).withColumn("score", F.round("score", 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def bm25_listing(postings: DataFrame, queries: DataFrame, items: DataFrame, limit: int, tie: str = "rating_number", id_col: str = "item_id") -> DataFrame:
+def bm25_listing(
+    postings: DataFrame, queries: DataFrame, items: DataFrame, limit: int, tie: str = "rating_number", id_col: str = "item_id", size: DataFrame | None = None
+) -> DataFrame:
     """Search among items that a filter has left: statistics are those of the whole index, only listed items compete.
 
     Order: score, then ``tie`` from high to low with nulls last, then id. total_matches counts what matches before the cut.
     """
-    scores = bm25(postings, queries).withColumn("score", F.round("score", 6))
+    scores = bm25(postings, queries, size=size).withColumn("score", F.round("score", 6))
     found = scores.join(items.select(F.col(id_col).alias("id"), F.col(tie).alias("_tie")), "id")
     totals = found.groupBy("query_id").agg(F.count("*").alias("total_matches"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("_tie"), "id")
