@@ -140,12 +140,15 @@ def b05_dedupe_first(v):
     return clean.dedupe(v.v_raw.where(clean.reason().isNull()), keep="first", seq=SEQ).select("user_id", "parent_asin", "ts", "rating")
 
 
-@query(f"""{duck('v_raw')}, {CLEAN_SQL},
+REPORT_SQL = f"""{duck('v_raw')}, {CLEAN_SQL},
 r AS (SELECT CASE WHEN user_id IS NULL OR parent_asin IS NULL OR rating IS NULL OR ts IS NULL THEN 'missing'
              WHEN NOT (ts >= 631152000000 AND ts < 4102444800000) THEN 'timestamp' WHEN NOT rating BETWEEN 1 AND 5 THEN 'rating' END AS reason FROM v_raw)
 SELECT count(*) AS input_rows, count(*) FILTER (WHERE reason = 'missing') AS dropped_missing, count(*) FILTER (WHERE reason = 'timestamp') AS dropped_timestamp,
        count(*) FILTER (WHERE reason = 'rating') AS dropped_rating, count(*) FILTER (WHERE reason IS NULL) - (SELECT count(*) FROM v_clean) AS dropped_duplicates,
-       (SELECT count(*) FROM v_clean) AS output_rows, (SELECT count(DISTINCT user_id) FROM v_clean) AS users, (SELECT count(DISTINCT parent_asin) FROM v_clean) AS items FROM r""")
+       (SELECT count(*) FROM v_clean) AS output_rows, (SELECT count(DISTINCT user_id) FROM v_clean) AS users, (SELECT count(DISTINCT parent_asin) FROM v_clean) AS items FROM r"""
+
+
+@query(REPORT_SQL)
 def b06_clean_report(v):
     return clean.clean_report(v.v_raw)
 

@@ -11,9 +11,10 @@ from merrow.functions.storage import shared_folder
 from merrow.operators import factors
 from merrow.streaming import jobs
 
+from .prepare import CLEAN_SQL, REPORT_SQL, SEQ
 from .recommend_queries import BASE, World
 from .registry import query
-from .views import Views
+from .views import Views, duck
 
 
 def events_stream(v: Views):
@@ -90,11 +91,73 @@ def s04_stream_recent(v):
     return last.select("user_id", F.col("r.held").cast("long").alias("held"), "r.latest", "r.seen")
 
 
-@query("SELECT date_trunc('day', ts) AS day, event_type AS tool, count(*) AS calls, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END::DOUBLE AS error_share FROM events GROUP BY 1, 2")
+def tool_panes(v: Views):
+    """Panes of a day of the tool log, after the last slice."""
+    latency = F.when(F.col("event_id") % 11 != 0, F.col("value") / 1000)
+    steps = events_stream(v).withColumn("tool", F.col("event_type")).withColumn("ok", F.col("event_type") != "error").withColumn("latency_seconds", latency)
+    return jobs.run_once(jobs.stream_tool_log(steps, pane="1 day", delay=delay_of(v)), "complete", scratch(v))
+
+
+TOOL_LOG = """
+WITH e AS (
+  SELECT date_trunc('day', ts) AS day, event_type AS tool, event_type = 'error' AS failed, CASE WHEN event_id % 11 <> 0 THEN value / 1000 END AS s FROM events),
+w AS (SELECT e.*, day + to_days(CAST(i AS INT)) AS window_end FROM e CROSS JOIN range(1, {panes} + 1) r(i))
+SELECT window_end, tool, count(*) AS calls, round(avg(CASE WHEN failed THEN 1.0 ELSE 0.0 END), 6) AS error_share,
+  round(quantile_disc(s, 0.5), 6) AS p50, round(quantile_disc(s, 0.95), 6) AS p95 FROM w GROUP BY 1, 2"""
+
+
+def rounded(rolled):
+    at = F.col("window_end").cast("timestamp_ntz").alias("window_end")
+    return rolled.select(at, "tool", "calls", *[F.round(c, 6).alias(c) for c in ("error_share", "p50", "p95")])
+
+
+@query(TOOL_LOG.replace("{panes}", "1"))
 def s05_stream_tool_log(v):
-    steps = events_stream(v).withColumn("tool", F.col("event_type")).withColumn("ok", F.col("event_type") != "error").withColumn("latency_seconds", F.col("value") / 1000)
-    out = jobs.run_once(jobs.stream_tool_log(steps), "complete", scratch(v))
-    return out.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "tool", "calls", "error_share")
+    return rounded(jobs.rolling_tool_log(tool_panes(v), "1 day", 1))
+
+
+@query(TOOL_LOG.replace("{panes}", "3"))
+def s05_stream_tool_rolling(v):
+    """Windows of three days that move by one day."""
+    return rounded(jobs.rolling_tool_log(tool_panes(v), "1 day", 3))
+
+
+def raw_stream(v: Views, slices: int = 12):
+    """Raw events as a stream of slices, by their place in the source."""
+    source = scratch(v)
+    v.v_raw.repartitionByRange(slices, *SEQ).write.parquet(source)
+    return v.spark.readStream.schema(v.v_raw.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+@query(f"{duck('v_raw')}, {CLEAN_SQL} SELECT user_id, parent_asin, ts, rating FROM v_clean")
+def s01_stream_upsert(v):
+    """The last valid event of each key after all slices."""
+    place = scratch(v)
+    rows, _ = jobs.upsert_clean(raw_stream(v), place, SEQ, f"{place}/progress", fan=4)
+    return rows.current().select("user_id", "parent_asin", "ts", "rating")
+
+
+@query(REPORT_SQL)
+def s01_stream_upsert_report(v):
+    place = scratch(v)
+    return jobs.upserted_report(*jobs.upsert_clean(raw_stream(v), place, SEQ, f"{place}/progress", fan=4))
+
+
+@query(
+    f"""{duck('v_interactions')}, p AS (SELECT user_id, count(*) AS n FROM v_interactions GROUP BY 1)
+SELECT (SELECT count(*) FROM p) AS users, count(DISTINCT parent_asin) AS items, count(*) AS events,
+  round(1 - count(*) * 1.0 / ((SELECT count(*) FROM p) * count(DISTINCT parent_asin)), 6) AS sparsity,
+  round((SELECT avg(n) FROM p), 6) AS mean_per_user, (SELECT quantile_cont(n, 0.5) FROM p) AS median_per_user,
+  round((SELECT quantile_cont(n, 0.9) FROM p), 6) AS p90_per_user, round((SELECT quantile_cont(n, 0.99) FROM p), 6) AS p99_per_user,
+  (SELECT max(n) FROM p) AS max_per_user, round(avg(rating), 6) AS avg_rating, (SELECT count(*) FROM p WHERE n = 1) AS users_one,
+  (SELECT count(*) FROM p WHERE n >= 5) AS users_five, min(ts) AS min_ts, max(ts) AS max_ts FROM v_interactions"""
+)
+def s02_stream_running_stats(v):
+    """The statistics of all events after the last slice, from counters by user and item."""
+    source, place = scratch(v), scratch(v)
+    v.v_interactions.repartition(6, "l_orderkey").write.parquet(source)
+    stream = v.spark.readStream.schema(v.v_interactions.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return jobs.running_report(jobs.running_stats(stream, f"{place}/counters", f"{place}/progress", fan=3))
 
 
 @query("""WITH r AS (SELECT concat('U', CAST(user_id AS VARCHAR)) AS user_id, event_type AS parent_asin, 1704067200000 + event_id % 5000 AS ts, CAST(1 + (event_id % 5000) % 7 AS INT) AS rating FROM events)
