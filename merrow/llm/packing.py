@@ -4,12 +4,14 @@ Documents are tokenised once, cut into pieces of at most ``capacity`` tokens (on
 first piece takes the remainder) and stored with their length, their task and their rank in the task. What the
 planner needs is the number of pieces of each length: at most ``capacity`` numbers, whatever the input. It goes
 through the lengths from the longest on and fills the gap exactly by one, two or three lengths that are still
-available; what has no exact complement is then packed best-fit, again closing exactly as soon as it can. The plan
-is a list of patterns with multiplicities (each one uses some length up, so there are a few thousand at most). A
+available; what has no exact complement is then packed best-fit, again closing exactly as soon as it can. This is done
+in several orders (all ways together; single complements of all lengths first, then pairs, then triples; fewer ways), and
+the plan with the fewest sequences is taken. The plan is a list of patterns with multiplicities (each one uses some length up, so there are a few thousand at most). A
 piece's rank among all pieces of its length, from counts by task, places it in a pattern's slot.
 
-Defined cases: a null or empty text is one piece, the end id alone; rows that share an identifier are packed as
-separate documents; further columns are ignored; an empty table gives no rows.
+Defined cases: a null or empty text is one piece, the end id alone; texts of any length are tokenised whole, runs of
+thousands of equal characters included, with memory in proportion to one text; rows that share an identifier are packed
+as separate documents, a null identifier stays; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,9 +40,11 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteTokenizer:
-    """Token ids of a byte-level vocabulary file; texts out of the common scripts take the slower library."""
+    """Token ids of a byte-level vocabulary file; texts out of the common scripts or with long runs take the slower library."""
 
     UNUSUAL = re.compile("[^\x00-ɏ]")
+    # the faster library's matching goes as deep as a run of white space is long, and words take it more than linear time
+    SPACES, WORD, RUN = re.compile(r"\s{64,}"), re.compile(r"[^\s]{64,}"), 4096
     _made: dict[str, "ByteTokenizer"] = {}
 
     def __init__(self, path: str) -> None:
@@ -63,7 +67,8 @@ class ByteTokenizer:
         return cls._made[path]
 
     def ids(self, text: str) -> list[int]:
-        if any(s in text for s in self.specials) or not text.isascii() and self.UNUSUAL.search(text):
+        slow = any(s in text for s in self.specials) or not text.isascii() and self.UNUSUAL.search(text)
+        if slow or len(text) > self.RUN and any(m.end() - m.start() > self.RUN for runs in (self.SPACES, self.WORD) for m in runs.finditer(text)):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -127,10 +132,10 @@ class Planner:
                     return (first, *rest)
         return None
 
-    def exact(self, gap: int, left: np.ndarray) -> tuple[int, ...] | None:
+    def exact(self, gap: int, left: np.ndarray, ways: tuple[str, ...] = ("single", "pair", "triple")) -> tuple[int, ...] | None:
         if gap == 0:
             return ()
-        return self.single(gap, left) or self.pair(gap, left) or self.triple(gap, left)
+        return next((found for way in ways if (found := getattr(self, way)(gap, left))), None)
 
     def consume(self, pattern: tuple[int, ...]) -> None:
         need = Counter(pattern)
@@ -139,21 +144,25 @@ class Planner:
             self.left[length] -= n * times
         self.patterns.append((pattern, times))
 
-    def run(self) -> list[tuple[tuple[int, ...], int]]:
+    def complements(self, ways: tuple[str, ...]) -> None:
+        """From the longest length on: sequences that complements of these ways fill exactly."""
         for longest in range(self.capacity, 0, -1):
             while self.left[longest] > 0:
                 self.left[longest] -= 1
-                rest = self.exact(self.capacity - longest, self.left)
+                rest = self.exact(self.capacity - longest, self.left, ways)
                 self.left[longest] += 1
                 if rest is None:
                     break
                 self.consume((longest, *rest))
+
+    def best_fit(self, ways: tuple[str, ...]) -> None:
+        """What is left: the largest piece that fits, or an exact complement as soon as there is one."""
         for longest in range(self.capacity, 0, -1):
             while self.left[longest] > 0:
                 left, pattern, gap = self.left.copy(), [longest], self.capacity - longest
                 left[longest] -= 1
                 while gap:
-                    rest = self.exact(gap, left)
+                    rest = self.exact(gap, left, ways)
                     if rest is None:
                         some = np.flatnonzero(left[1 : gap + 1])
                         if not len(some):
@@ -164,6 +173,30 @@ class Planner:
                         gap -= length
                     pattern.extend(rest)
                 self.consume(tuple(pattern))
+
+    #: Orders of the exact phase, and the complements that the residual phase looks for.
+    ORDERS = (
+        ((("single", "pair", "triple"),), ("single", "pair", "triple")),
+        ((("single",), ("pair",), ("triple",)), ("single", "pair", "triple")),
+        ((("single",), ("pair",)), ("single", "pair", "triple")),
+        ((("single",),), ("single", "pair", "triple")),
+        ((("single",),), ("single", "pair")),
+        ((("single",),), ("single",)),
+    )
+
+    def run(self) -> list[tuple[tuple[int, ...], int]]:
+        """The plan with the fewest sequences among those of the orders; the number of pieces does not change their cost."""
+        given, plans = self.left.copy(), []
+        least = -(-int((given * np.arange(len(given))).sum()) // self.capacity)
+        for phases, ways in self.ORDERS:
+            self.left, self.patterns = given.copy(), []
+            for phase in phases:
+                self.complements(phase)
+            self.best_fit(ways)
+            plans.append(self.patterns)
+            if sum(times for _, times in self.patterns) <= least:
+                break  # no plan has fewer
+        self.patterns = min(plans, key=lambda plan: sum(times for _, times in plan))
         return self.patterns
 
 
@@ -190,7 +223,8 @@ def pack(
         base += times
     plan = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long")
     at = F.col("rank") + F.col("before")
-    placed = pieces.join(before, ["length", "task"]).withColumn("at", at).alias("p")
+    # always shuffled, at every size alike: the table of earlier pieces has a row for each length and task
+    placed = pieces.join(before.hint("shuffle_hash"), ["length", "task"]).withColumn("at", at).alias("p")
     # the plan has a few thousand rows at most, whatever the input
     met = placed.join(F.broadcast(plan).alias("s"), (F.col("p.length") == F.col("s.length")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
     columns = ["doc_id", "piece", "start", "p.length", "ids_crc32", (F.col("at") + F.col("shift")).alias("sequence_id"), "offset"]

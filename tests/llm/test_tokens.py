@@ -141,3 +141,43 @@ def test_pack_is_gapless_and_complete(spark):
             assert all(len(part) == 64 for _, _, part in mine[1:]) and [s for _, s, _ in mine] == [0, *range(len(mine[0][2]), len(ids), 64)]
     assert len([r for r in rows if r.doc_id == 5]) == 2
     assert pack(docs.limit(0), BYTE).count() == 0
+
+
+def test_long_runs_of_one_kind_through_spark(spark):
+    from merrow.llm.packing import pieces_of
+
+    byte = Tokenizer.from_file(BYTE)
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "\t" * 500_000, "ab" * 1_000_000, "word " * 3 + "\r\n " * 200_000 + "end", "x" * 4096 + " " * 4096 + "y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in pieces_of(docs, BYTE, 1024, 2, False).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*byte.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        first = (len(ids) - 1) % 1024 + 1
+        cuts = [0, *range(first, len(ids), 1024), len(ids)]
+        for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            assert got.pop((i, piece)) == (a, b - a, zlib.crc32(ids[a:b].tobytes()))
+    assert not got
+
+
+def test_no_more_sequences_than_best_fit_decreasing():
+    from bisect import bisect_left, insort
+    from collections import Counter
+
+    rng = random.Random(6)
+    for shape in range(12):
+        lengths = [min(256, max(1, int(rng.choice([rng.expovariate(1 / 40), rng.gauss(90, 20), rng.uniform(1, 256)][: 1 + shape % 3])))) for _ in range(60 * (shape + 1))]
+        gaps, plain = [], 0
+        for length in sorted(lengths, reverse=True):
+            at = bisect_left(gaps, length)
+            gap = gaps.pop(at) if at < len(gaps) else 256
+            plain += gap == 256
+            if gap > length:
+                insort(gaps, gap - length)
+        plan = Planner(Counter(lengths), 256).run()
+        used = Counter()
+        for pattern, times in plan:
+            assert sum(pattern) <= 256
+            for length in pattern:
+                used[length] += times
+        assert used == Counter(lengths)
+        assert sum(times for _, times in plan) <= plain + (plain > 200)
