@@ -273,8 +273,11 @@ def near_duplicates(
     signatures = classes.select("id", "signature")
 
     def confirmed_links(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        # texts of pairs only go into the shuffles; the joins are the same at every size, so they grow in proportion
+        ends = tables.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        some = Filter(tables, ends, "doc_id").probe(texts)
+        with_a = pairs.hint("merge").join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        with_both = with_a.hint("merge").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return tables.stored(verified(with_both, shingle, percent), "links")
 
     def links_of(pairs: DataFrame) -> DataFrame:
