@@ -36,3 +36,27 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+class Scratch:
+    """The written tables of one job, in a folder of their own; ``result`` writes the outcome beside it and deletes them."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.made = spark, 0
+        self.path = f"{shared_folder(spark)}/merrow-{label}-{uuid.uuid4().hex}"
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}-{label}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        out = f"{self.path}-result"
+        df.write.option("compression", "zstd").parquet(out)
+        self.drop()
+        return self.spark.read.schema(df.schema).parquet(out)
