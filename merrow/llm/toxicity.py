@@ -92,8 +92,12 @@ class SubwordSoftmax:
         apart = set_apart(labels)
         train = np.flatnonzero(~apart)
         bags = [tuple(x.astype(np.int32) for x in self.windows(texts[i][0])) for i in train]
-        known = np.bincount(np.concatenate([np.unique(ids) for ids, _ in bags]), minlength=self.buckets) >= 2
-        bags = [(ids[k], at[k]) for ids, at in bags for k in [known[ids]]]
+        texts_with = np.zeros(self.buckets, np.int64)
+        for ids, _ in bags:
+            texts_with[np.unique(ids)] += 1
+        known = texts_with >= 2
+        for i, (ids, at) in enumerate(bags):  # in place: the sample's n-grams are held once
+            bags[i] = ids[known[ids]], at[known[ids]]
         vectors = np.where(known[:, None], rng.normal(0, 0.05, (self.buckets, self.dim)), 0).astype(np.float32)
         # the bias is fixed: a window without evidence is clean, and clean words need not be learnt as such
         heads, bias = rng.normal(0, 0.5, (self.dim, 2)).astype(np.float32), np.array([2, -2], np.float32)
