@@ -60,17 +60,19 @@ class Tables:
 HOT_SHARE = 10_000
 
 
-def join_dealt(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, total: int, by: list[str]) -> DataFrame:
+def join_dealt(rows: DataFrame, keyed: DataFrame, on: list[str], size: str, total: int, by: list[str], alike: bool = False) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, a written table with one row a key and the key's number of rows in ``size``.
 
     The rows of hot keys meet their partner by broadcast (at most ``HOT_SHARE`` keys) and are dealt by ``by`` in the
-    shuffle of the others, so no task gets all rows of one key.
+    shuffle of the others, so no task gets all rows of one key. ``alike``: the others are sorted and merged at every size, so
+    that small inputs tell what large ones cost.
     """
     others, least = [c for c in keyed.columns if c not in on], max(total // HOT_SHARE, 512)
     alone = F.pmod(F.xxhash64(*on), F.lit(1))  # zero, but not a constant, which would fall out of the join's keys
     hot = keyed.where(F.col(size) > least).select(*on, F.struct(*others).alias("_hot"))
     cool = keyed.where(F.col(size) <= least).select(*on, alone.alias("_deal"), F.struct(*others).alias("_cool"))
     deal = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(1024))).otherwise(alone)
+    cool = cool.hint("merge") if alike else cool
     met = rows.join(F.broadcast(hot), on, "left").withColumn("_deal", deal).join(cool, [*on, "_deal"], "left")
     met = met.where("_hot IS NOT NULL OR _cool IS NOT NULL")
     return met.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cool.{c}")).alias(c) for c in others])

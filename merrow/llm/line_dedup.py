@@ -63,7 +63,8 @@ def dedup_lines(
         .select(F.col("_id").alias("_lost_id"), F.col("_version").alias("_lost_version"), "_lost")
     )
     lost = tables.result(lost)
-    met = rows.join(lost, F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_version") == F.col("_lost_version")), "left")
+    # merged at every size alike: texts are the wide side, and small inputs tell what large ones cost
+    met = rows.join(lost.hint("merge"), F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_version") == F.col("_lost_version")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), "_lost")
     rebuilt = F.concat_ws("\n", F.transform(stay, lambda i: F.get("_lines", i)))
     out = met.withColumn("_lines", lines).withColumn("_n", F.size("_lines"))

@@ -255,12 +255,12 @@ def near_duplicates(
         n_classes, n_full = classes.count(), full.count()
         bands = banded(classes)
         shared = tables.stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-        members = tables.stored(join_dealt(bands, shared, ["key"], "size", n_classes, ["id"]), "members")
+        members = tables.stored(join_dealt(bands, shared, ["key"], "size", n_classes, ["id"], alike=True), "members")
         firsts = classes.where("copies > 1").select(*key, F.col("id").alias("first"), "copies")
-        several = tables.stored(join_dealt(full.select("doc_id", *key), firsts, key, "copies", n_full, ["doc_id"]).drop(*key), "several")
+        several = tables.stored(join_dealt(full.select("doc_id", *key), firsts, key, "copies", n_full, ["doc_id"], alike=True).drop(*key), "several")
         # the texts of the copies, and one for each class that any bucket holds
         wanted = tables.stored(members.select(F.col("id").alias("doc_id")).union(several.select("doc_id")).distinct(), "wanted")
-        texts = Filter(tables, wanted, "doc_id").probe(rows).join(wanted, "doc_id", "left_semi")
+        texts = Filter(tables, wanted, "doc_id").probe(rows).join(wanted.hint("merge"), "doc_id", "left_semi")
         texts = tables.stored(texts.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
         failed = unlike(several, texts, shingle, tables)
         if failed.isEmpty():
@@ -318,7 +318,7 @@ def near_duplicates(
 
     of_class = classes.join(labels, "id", "left").select("n", "h1", "h2", "copies", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     of_class = tables.stored(of_class, "of-class")
-    placed = join_dealt(full.select("doc_id", *key), of_class, key, "copies", n_full, ["doc_id"])
+    placed = join_dealt(full.select("doc_id", *key), of_class, key, "copies", n_full, ["doc_id"], alike=True)
     alone = sigs.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component"))
     out = placed.select("doc_id", "n", "class_id", "component").unionByName(alone)
     component, named = F.coalesce("component", "doc_id"), lambda c: F.nullif(c, F.lit(NO_ID))
@@ -349,7 +349,7 @@ def in_common(texts: DataFrame, size: int, tables: Tables) -> DataFrame:
 
     rows = texts.select("doc_id", "text").mapInArrow(explode, "h int, id long")
     twice = tables.stored(rows.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", F.lit(1).alias("twice")), "twice")
-    return rows.join(twice, "h", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("twice").alias("shared"))
+    return rows.join(twice.hint("merge"), "h", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("twice").alias("shared"))
 
 
 def sets_of(texts: DataFrame, size: int) -> DataFrame:
