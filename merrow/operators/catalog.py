@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from difflib import SequenceMatcher
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FILTERS = (
@@ -123,8 +126,47 @@ def apply_filters(items: DataFrame, spec: Mapping[str, Any], domains: Sequence[s
     return items.where(predicate(spec, domains))
 
 
+@F.pandas_udf(T.DoubleType())
+def matching_ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over the characters of both names."""
+    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(first, second, strict=True)], dtype=float)
+
+
+def _letters(names: DataFrame, name: str) -> DataFrame:
+    """(name, length, letter): each character with its number among equal ones of the name, so that sets can tell repeats."""
+    chars = F.regexp_extract_all(name, F.lit("(?s)(.)"), F.lit(1))
+    numbered = F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
+    return names.select(name, F.char_length(name).alias("length"), F.explode(numbered).alias("letter"))
+
+
+def close_names(wanted: DataFrame, vocabulary: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
+    """wanted (category), vocabulary (known) -> (category, known, score): the ``most`` closest by matching ratio, at ``least``.
+
+    Names in matching blocks share characters: two names of lengths a and b need least / 2 * (a + b) common ones, of which
+    at least one is among the rarest characters of each, as many as may be missing and one more. Only such pairs are
+    compared, so common letters bring no names together. Ties go to the name that sorts last.
+    """
+    known = _letters(vocabulary.where("known <> ''"), "known")
+    rarity = known.groupBy("letter").agg(F.count("*").alias("n"))
+
+    def rarest(letters: DataFrame, name: str) -> DataFrame:
+        counted = letters.join(rarity, "letter", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        place = F.row_number().over(Window.partitionBy(name).orderBy("n", "letter"))  # a row a character of a name
+        # the shortest partner that can reach the ratio has least / (2 - least) of the length
+        needed = F.ceil(F.lit(least / 2) * F.col("length") * (1 + least / (2 - least)) - F.lit(1e-9))
+        return counted.withColumn("place", place).where(F.col("place") <= F.col("length") - needed + 1).select(name, F.col("length").alias(f"{name}_length"), "letter")
+
+    asked = _letters(wanted.select("category").distinct().where("category <> ''"), "category")
+    total = F.col("category_length") + F.col("known_length")
+    pairs = rarest(asked, "category").join(rarest(known, "known"), "letter")
+    pairs = pairs.where(2 * F.least("category_length", "known_length") >= least * total - 1e-9).select("category", "known").distinct()
+    scored = pairs.withColumn("score", matching_ratio("known", "category")).where(F.col("score") >= least)
+    order = Window.partitionBy("category").orderBy(F.desc("score"), F.desc("known"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
 def resolve_categories(wanted: DataFrame, vocabulary: DataFrame, least: float = 0.6, most: int = 5) -> DataFrame:
-    """wanted (category): the exact name, else the one name that differs in ASCII case, else close names by edit distance.
+    """wanted (category): the exact name, else the one name that differs in ASCII case, else close names by matching ratio.
 
     The vocabulary is the catalog's distinct categories; a name without any match keeps its closest ones.
     """
@@ -132,12 +174,9 @@ def resolve_categories(wanted: DataFrame, vocabulary: DataFrame, least: float =
     exact = wanted.join(v, F.col("category") == F.col("known"), "left").select("category", F.col("known").alias("exact"))
     folded = v.groupBy(ascii_fold_case("known").alias("key")).agg(F.min("known").alias("folded"))
     found = exact.join(folded, ascii_fold_case("category") == F.col("key"), "left").select("category", F.coalesce("exact", "folded").alias("resolved"))
-    open_names = found.where(F.col("resolved").isNull()).select("category")
-    score = 1 - F.levenshtein(ascii_fold_case("category"), ascii_fold_case("known")) / F.greatest(F.length("category"), F.length("known"))
-    near = open_names.join(v, F.abs(F.length("category") - F.length("known")) <= F.length("category")).withColumn("score", score).where(F.col("score") >= least)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "known"))).where(F.col("rank") <= most)
-    suggested = ranked.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "known"))), lambda s: s["known"]).alias("suggestions"))
-    return found.join(suggested, "category", "left")
+    near = close_names(found.where(F.col("resolved").isNull()), v, least, most)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "known"))), lambda s: s["known"])  # ``most`` of them
+    return found.join(near.groupBy("category").agg(ordered.alias("suggestions")), "category", "left")
 
 
 def filter_items(items: DataFrame, spec: Mapping[str, Any], order: str = "rating_number", desc: bool = True, limit: int = 20) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from merrow.functions.draws import draw
 
+from .itemblocks import block_counts
+
 DIGITS, SHORT = 9, 20_000
 
 
@@ -38,27 +40,39 @@ def popularity(df: DataFrame, mode: str = "events") -> DataFrame:
 
 
 def cooccurrence(pairs: DataFrame, max_history: int | None = None) -> DataFrame:
-    """(item, neighbor, co) without the diagonal: half the matrix is joined, counted, then mirrored.
+    """(item, neighbor, co) without the diagonal, counted in blocks of items.
 
-    A user with n items makes n * n / 2 rows; ``max_history`` leaves out users with more, for callers that want it.
+    ``max_history`` leaves out users with longer histories, for callers that want it.
     """
-    if max_history is not None:
-        light = pairs.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_history).select("user_id")
-        pairs = pairs.join(light, "user_id", "left_semi")
-    x, y = pairs.alias("x"), pairs.alias("y")
-    half = x.join(y, "user_id").where("x.item < y.item").groupBy(F.col("x.item").alias("a"), F.col("y.item").alias("b")).agg(F.count("*").alias("co"))
-    both = F.explode(F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("neighbor")), F.struct(F.col("b").alias("item"), F.col("a").alias("neighbor"))))
-    return half.select(both.alias("p"), "co").select("p.item", "p.neighbor", "co")
-
-
-def item_cosine(pairs: DataFrame, max_history: int | None = None) -> DataFrame:
-    """(item, neighbor, sim): co / (sqrt(n_i) * sqrt(n_j))."""
-    counts = pairs.groupBy("item").agg(F.count("*").alias("n"))
-    co = cooccurrence(pairs, max_history).join(counts.withColumnRenamed("n", "n_i"), "item")
-    co = co.join(counts.select(F.col("item").alias("neighbor"), F.col("n").alias("n_j")), "neighbor")
+    return block_counts(_light(pairs, max_history)).select("item", "neighbor", "co")
+
+
+def _light(pairs: DataFrame, max_history: int | None) -> DataFrame:
+    if max_history is None:
+        return pairs
+    light = pairs.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_history).select("user_id")
+    return pairs.join(light, "user_id", "left_semi")
+
+
+def item_cosine(pairs: DataFrame, max_history: int | None = None, keep: int | None = None) -> DataFrame:
+    """(item, neighbor, sim): co / (sqrt(n_i) * sqrt(n_j)); ``keep``: what may be among so many best of an item, at least.
+
+    With ``max_history`` the users that are left out count in n_i and n_j all the same.
+    """
+    if max_history is None:
+        co = block_counts(pairs, keep)
+    else:
+        counts = pairs.groupBy("item").agg(F.count("*").alias("n"))
+        co = cooccurrence(pairs, max_history).join(counts.withColumnRenamed("n", "n_i"), "item")
+        co = co.join(counts.select(F.col("item").alias("neighbor"), F.col("n").alias("n_j")), "neighbor")
     return co.select("item", "neighbor", F.round(F.col("co") / (F.sqrt("n_i") * F.sqrt("n_j")), DIGITS).alias("sim"))
 
 
+def nearest_items(pairs: DataFrame, k: int = 20) -> DataFrame:
+    """The k most similar neighbours of each item, ties to the smaller one; blocks keep no more than may be among them."""
+    return top_neighbors(item_cosine(pairs, keep=k), k)
+
+
 def top_neighbors(sim: DataFrame, k: int = 20) -> DataFrame:
     order = Window.partitionBy("item").orderBy(F.desc("sim"), "neighbor")
     return sim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -88,7 +88,7 @@ class World:
 
     @cached_property
     def neighbors(self):
-        return stored(cf.top_neighbors(self.sim(), 20), "neighbors")
+        return stored(cf.nearest_items(self.pairs), "neighbors")
 
     @cached_property
     def _scores(self):
@@ -317,7 +317,7 @@ def h27_core_model(v):
     """Similarities from the items with three users or more, applied to all events before the targets."""
     w = World(v)
     core = w.pairs.groupBy("item").agg(F.count("*").alias("n")).where("n >= 3").select("item")
-    return cf.knn_scores(w.history, cf.top_neighbors(cf.item_cosine(w.pairs.join(core, "item", "left_semi")), 20))
+    return cf.knn_scores(w.history, cf.nearest_items(w.pairs.join(core, "item", "left_semi")))
 
 
 @query(BASE + POP_LISTS + " SELECT user_id, item, rank FROM rc WHERE rank <= 5")
