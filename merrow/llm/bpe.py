@@ -62,6 +62,7 @@ class Bpe:
         self.end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: i for i, pair in enumerate(pairs)}
+        self.joined = [a + b for a, b in pairs]
         self.lookahead = sufficient_lookahead(pairs, lambda t: len(t.removesuffix(self.end)))
         self.window = max(512, 4 * self.lookahead)
         self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
@@ -69,7 +70,7 @@ class Bpe:
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.symbol_byte = byte_alphabet()
-        self.byte_symbol = {b: c for c, b in self.symbol_byte.items()}
+        self.stand_ins = {b: c for c, b in self.symbol_byte.items()}
         self.cache: dict[str, tuple[str, str]] = {}
 
     @classmethod
@@ -82,14 +83,16 @@ class Bpe:
         """All merges in a list of symbols: lowest rank first, then leftmost."""
         ranks = self.ranks
         if len(symbols) <= 64:
-            symbols = list(symbols)
-            while len(symbols) > 1:
-                found = [ranks.get(p, 1 << 30) for p in zip(symbols, symbols[1:])]
-                best = min(found)
-                if best == 1 << 30:
-                    break
+            symbols, none = list(symbols), len(self.joined)
+            found = [ranks.get(p, none) for p in zip(symbols, symbols[1:])]
+            while found and (best := min(found)) < none:
                 i = found.index(best)
-                symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+                symbols[i : i + 2] = [self.joined[best]]
+                del found[i]
+                if i < len(found):
+                    found[i] = ranks.get((symbols[i], symbols[i + 1]), none)
+                if i:
+                    found[i - 1] = ranks.get((symbols[i - 1], symbols[i]), none)
             return symbols
         tokens: list[str | None] = list(symbols)
         after, before = [*range(1, len(tokens)), -1], [*range(-1, len(tokens) - 1)]
@@ -112,29 +115,31 @@ class Bpe:
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """The transducer: tokens of one word of any length, each one as soon as it is stable; the last symbol has the word's end."""
-        held: list[str] = []
-        for symbol in symbols:
-            held.append(symbol)
-            if len(held) >= self.window:
-                used, limit = 0, len(held) - self.lookahead - 1
-                for token in self.merged(held):
-                    size = len(token.removesuffix(self.end))
-                    if used + size > limit:
-                        break
-                    used += size
-                    yield token
-                del held[:used]
+        symbols, held = iter(symbols), []
+        while True:
+            size = max(self.window, len(held) + 1)
+            held.extend(islice(symbols, size - len(held)))
+            if len(held) < size:
+                break
+            used, limit = 0, len(held) - self.lookahead - 1
+            for token in self.merged(held):
+                size = len(token.removesuffix(self.end))
+                if used + size > limit:
+                    break
+                used += size
+                yield token
+            del held[:used]
         yield from self.merged(held)
 
     def symbols(self, word: str) -> Iterator[str]:
         """The symbols of a word, byte by byte; the last one has the word's end."""
-        held = ""
         for start in range(0, len(word), self.LONG):
-            for b in word[start : start + self.LONG].encode("utf-8"):
-                if held:
-                    yield held
-                held = self.byte_symbol[b]
-        yield held + self.end
+            part = word[start : start + self.LONG].encode("utf-8").decode("latin-1").translate(self.stand_ins)
+            if start + self.LONG < len(word):
+                yield from part
+            else:
+                yield from part[:-1]
+                yield part[-1] + self.end
 
     def word(self, word: str) -> tuple[str, str]:
         """Of one word: its ids in decimal and its tokens' text, each joined by spaces."""
@@ -143,8 +148,9 @@ class Bpe:
         ids = [self.vocab[t] for t in self.stream(self.symbols(word))]
         made = " ".join(map(str, ids)), self.decode(ids)
         if len(word) <= self.CACHE_CHARS:
-            if len(self.cache) >= self.CACHED:
-                self.cache.clear()
+            if len(self.cache) >= self.CACHED:  # the oldest half goes
+                for old in list(islice(self.cache, self.CACHED // 2)):
+                    del self.cache[old]
             self.cache[word] = made
         return made
 
@@ -210,8 +216,8 @@ class Decoder:
 
     def __init__(self, bpe: Bpe, form: str) -> None:
         self.bpe, self.started = bpe, False
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-        self.feed = {"tokens": self.token, "text": self.characters}[form]
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace") if form == "text" else None
+        self.feed = self.characters if form == "text" else self.token
 
     def token(self, i: int) -> str:
         before = " " if self.started else ""
@@ -226,6 +232,8 @@ class Decoder:
         return self.utf8.decode(bytes(self.bpe.symbol_byte[c] for c in bare)) + " " * (bare != token)
 
     def finish(self) -> str:
+        if self.utf8 is None:
+            return ""
         rest = self.utf8.decode(b"", True)
         self.utf8.reset()
         return rest
