@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from merrow.functions.storage import stored
-from merrow.operators import catalog, text, vectors
+from merrow.operators import catalog, pruned, text, vectors
 
 from .catalog_queries import items
 from .registry import query
@@ -96,7 +96,7 @@ VISIBLE = ", vis AS (SELECT post.* FROM post JOIN documents ON id = doc_id WHERE
 @query(BM25_SQL.replace(", q AS", VISIBLE + ", q AS", 1).replace("{post}", "vis") + " SELECT query_id, id, score, rank FROM rk WHERE rank <= 25")
 def f06_bm25_batch_filtered(v):
     visible = v.documents.where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    return text.bm25_search(postings_of(v), bench_queries(v), 25, visible)
+    return pruned.search(postings_of(v), bench_queries(v), 25, visible)
 
 
 @query(duck("v_interactions", "v_items") + """, e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS title_no, title FROM v_interactions JOIN v_items ON parent_asin = item_id),
@@ -128,7 +128,7 @@ def f08_outside_core_search(v):
 @query(BM25_SQL.replace("{post}", "post") + " SELECT item_id AS query_id, CAST(item_id * 7 AS BIGINT) AS id, rank, CASE WHEN rank IS NULL THEN 'no_match' WHEN rank <= 25 THEN 'inside' ELSE 'outside' END AS place FROM benchmark LEFT JOIN rk ON rk.query_id = item_id AND rk.id = item_id * 7")
 def f09_bm25_rank_of_target(v):
     targets = v.benchmark.select(F.col("item_id").alias("query_id"), (F.col("item_id") * 7).alias("id"))
-    return text.bm25_rank_of(postings_of(v), bench_queries(v), targets)
+    return pruned.rank_of(postings_of(v), bench_queries(v), targets)
 
 
 @query()
