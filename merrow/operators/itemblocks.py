@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BLOCK, ROWS, AT_ONCE = 2048, 2_000_000, 4_000_000
+MARGIN = 1e-8  # similarities further apart than this differ at nine digits
 
 
 def product(ua: np.ndarray, ia: np.ndarray, ub: np.ndarray, ib: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -40,16 +41,17 @@ def product(ua: np.ndarray, ia: np.ndarray, ub: np.ndarray, ib: np.ndarray, shap
 def among_best(counts: np.ndarray, n_rows: np.ndarray, n_columns: np.ndarray, k: int) -> np.ndarray:
     """Which entries may be among the k most similar of their row, ties to the smaller column.
 
-    Entries that are as similar as the k-th to the last bit are cut by column; what rounding could bring level with it stays.
+    What rounding could bring level with the k-th stays, from above and from below. Entries that are as similar as the
+    k-th to the last bit are cut by column; only what stays above them once rounded takes room from them.
     """
     there = counts > 0
     if counts.shape[1] <= k:
         return there
     sim = np.where(there, counts / (np.sqrt(n_rows)[:, None] * np.sqrt(n_columns)), -1.0)
     kth = np.partition(sim, -k, axis=1)[:, -k][:, None]
-    above, level = sim > kth, sim == kth
-    room = k - above.sum(1, keepdims=True)
-    return there & (above | level & (np.cumsum(level, axis=1, dtype=np.int32) <= room) | (sim < kth) & (sim >= kth - 1e-8))
+    level = sim == kth
+    room = k - (sim > kth + MARGIN).sum(1, keepdims=True)
+    return there & (~level & (sim >= kth - MARGIN) | level & (np.cumsum(level, axis=1, dtype=np.int32) <= room))
 
 
 def block_counts(pairs: DataFrame, keep: int | None = None, block: int = BLOCK, rows: int = ROWS) -> DataFrame:

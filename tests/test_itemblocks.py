@@ -5,10 +5,11 @@ import random
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from merrow.operators import cf
-from merrow.operators.itemblocks import block_counts
+from merrow.operators.itemblocks import among_best, block_counts
 
 
 def plain(pairs):
@@ -53,3 +54,14 @@ def test_left_out_histories_count_in_norms(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)], "user_id long, item long")
     sim = {(r.item, r.neighbor): r.sim for r in cf.item_cosine(df, max_history=2).collect()}
     assert sim == {(1, 2): 0.5, (2, 1): 0.5}
+
+
+def test_ties_that_only_rounding_makes_go_to_the_smaller_item(spark):
+    """2 / sqrt(22 * 16) and 3 / sqrt(22 * 36) are equal, but differ in the last bit as doubles."""
+    counts, n = np.array([[2, 2, 3, 1]]), np.array([16, 16, 36, 30])
+    assert among_best(counts, np.array([22]), n, 2).tolist() == [[True, True, True, False]]
+    holders = {0: range(22), 1: [0, 1, *range(100, 114)], 2: [2, 3, *range(200, 214)], 3: [4, 5, 6, *range(300, 333)]}
+    pairs = spark.createDataFrame([(u, i) for i, users in holders.items() for u in users], "user_id long, item long")
+    for k, want in ((1, [1]), (2, [1, 2]), (3, [1, 2, 3])):
+        best = cf.nearest_items(pairs, k).where("item = 0").orderBy("rank").collect()
+        assert [r.neighbor for r in best] == want and {r.sim for r in best} == {0.106600358}
