@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from merrow.functions.draws import draw
 
 from .itemblocks import block_counts
+from .nearest import nearest
 
 DIGITS, SHORT = 9, 20_000
 
@@ -69,8 +70,8 @@ def item_cosine(pairs: DataFrame, max_history: int | None = None, keep: int | No
 
 
 def nearest_items(pairs: DataFrame, k: int = 20) -> DataFrame:
-    """The k most similar neighbours of each item, ties to the smaller one; blocks keep no more than may be among them."""
-    return top_neighbors(item_cosine(pairs, keep=k), k)
+    """(item, neighbor, sim, rank): the k most similar neighbours of each item, ties to the smaller one."""
+    return nearest(pairs, k)
 
 
 def top_neighbors(sim: DataFrame, k: int = 20) -> DataFrame:
