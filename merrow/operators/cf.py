@@ -146,15 +146,24 @@ def orders(pop: DataFrame) -> DataFrame:
 
 def fill_topk(scores: DataFrame, users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> DataFrame:
     """Positive unseen scores first; then the lowest indices for users with any signal, popularity for the others."""
+    return fill_lists(topk(scores.where("score > 0"), seen, k), scores, users, seen, pop, k)
+
+
+def fill_lists(lists: DataFrame, scores: DataFrame, users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> DataFrame:
+    """As ``fill_topk``, from lists of positive unseen scores; ``scores`` (user_id, score): the best of each user will do."""
     signal = scores.where("score > 0").select("user_id").distinct().withColumn("kind", F.lit("index"))
     kinds = users.join(signal, "user_id", "left").na.fill("popular", ["kind"])
-    return filled(topk(scores.where("score > 0"), seen, k), kinds, seen, orders(pop), k)
+    return filled(lists, kinds, seen, orders(pop), k)
 
 
 def fill_popular(scores: DataFrame, users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> DataFrame:
     """Positive unseen scores first, popularity for every slot that is left."""
+    return fill_lists_popular(topk(scores.where("score > 0"), seen, k), users, seen, pop, k)
+
+
+def fill_lists_popular(lists: DataFrame, users: DataFrame, seen: DataFrame, pop: DataFrame, k: int) -> DataFrame:
     order = pop.select(F.lit("popular").alias("kind"), "place", "item")
-    return filled(topk(scores.where("score > 0"), seen, k), users.withColumn("kind", F.lit("popular")), seen, order, k)
+    return filled(lists, users.withColumn("kind", F.lit("popular")), seen, order, k)
 
 
 def zero_signal_users(scores: DataFrame, users: DataFrame, seen: DataFrame) -> DataFrame:
@@ -187,15 +196,18 @@ def hybrid_scores(scores: DataFrame, users: DataFrame, seen: DataFrame, pop: Dat
     return joined.select("user_id", "item", F.round(score, 6).alias("score"))
 
 
-def score_candidates(candidates: DataFrame, scores: DataFrame, pop: DataFrame, mode: str = "baseline", weight: float = 4.0) -> DataFrame:
-    """candidates (user_id, item): baseline is CF + 1e-6 * popularity share, hybrid is CF over its maximum + weight * share."""
+def score_candidates(candidates: DataFrame, scores: DataFrame, pop: DataFrame, mode: str = "baseline", weight: float = 4.0, best: DataFrame | None = None) -> DataFrame:
+    """candidates (user_id, item): baseline is CF + 1e-6 * popularity share, hybrid is CF over its maximum + weight * share.
+
+    ``scores`` may be those of candidates only, if ``best`` (user_id, best) gives the maxima of the users who have some.
+    """
     top = pop.agg(F.max("pop").alias("most"))
     share = pop.crossJoin(top).select("item", (F.col("pop") / F.col("most")).alias("p"))  # one row
     rows = candidates.join(scores, ["user_id", "item"], "left").join(share, "item", "left")
     p, cf = F.coalesce("p", F.lit(0.0)), F.coalesce("score", F.lit(0.0))
     if mode == "baseline":
         return rows.select("user_id", "item", F.round(F.when(F.col("p").isNull(), 0.0).otherwise(cf + 1e-6 * p), 9).alias("score"))
-    best = scores.groupBy("user_id").agg(F.max("score").alias("best"))
+    best = scores.groupBy("user_id").agg(F.max("score").alias("best")) if best is None else best
     rows = rows.join(best, "user_id", "left")
     part = F.when(F.coalesce("best", F.lit(0.0)) > 0, cf / F.col("best")).otherwise(0.0)
     return rows.select("user_id", "item", F.round(part + weight * p, 6).alias("score"))
@@ -227,8 +239,12 @@ def empty_reason(ranked_rows: DataFrame) -> DataFrame:
     """By user: how many are ranked, and why none is."""
     n = lambda s: F.count_if(F.col("status") == s)
     out = ranked_rows.groupBy("user_id").agg(n("ranked").alias("ranked"), n("seen").alias("seen"), n("hidden").alias("hidden"), n("unscored").alias("unscored"))
-    note = F.when(F.col("ranked") > 0, F.lit(None)).when((F.col("seen") > 0) & (F.col("hidden") + F.col("unscored") == 0), "all_seen").when((F.col("hidden") > 0) & (F.col("seen") + F.col("unscored") == 0), "all_hidden").otherwise("none_left")
-    return out.withColumn("note", note)
+    return out.withColumn("note", empty_note())
+
+
+def empty_note() -> Column:
+    """From the numbers of ranked, seen, hidden and unscored candidates: why none is ranked."""
+    return F.when(F.col("ranked") > 0, F.lit(None)).when((F.col("seen") > 0) & (F.col("hidden") + F.col("unscored") == 0), "all_seen").when((F.col("hidden") > 0) & (F.col("seen") + F.col("unscored") == 0), "all_hidden").otherwise("none_left")
 
 
 def prime_from(n: int) -> int:

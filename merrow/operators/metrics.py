@@ -174,8 +174,6 @@ def ranking_summary(ranked: DataFrame, targets: DataFrame, history: DataFrame, k
     kept, else why it was not. Targets that the user has in the history are repeats; rates of ties are means over users.
     """
     keys = ["merge", "scorer", "segment"]
-    seen = targets.select("user_id", "item").distinct().join(history.select("user_id", "item", F.lit(1).alias("s")).distinct(), ["user_id", "item"], "left")
-    per_target = seen.groupBy("user_id").agg(F.count("*").alias("targets"), F.count("s").alias("repeats"))
     kept = F.col("status").isin("ranked", "beyond_k")
     users = ranked.groupBy(*keys, "user_id").agg(
         F.count("*").alias("candidates"), F.count_if(F.col("status") == "seen").alias("seen"), F.count_if(F.col("status") == "unscored").alias("unscored"),
@@ -186,7 +184,15 @@ def ranking_summary(ranked: DataFrame, targets: DataFrame, history: DataFrame, k
     runs = runs.withColumn("upto", above).groupBy(*keys, "user_id").agg(
         F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("tie_pairs"), F.max(((F.col("upto") > k) & (F.col("upto") - F.col("n") < k)).cast("int")).alias("boundary")
     )
-    rows = users.join(runs, [*keys, "user_id"], "left").join(per_target, "user_id", "left").na.fill(0, ["tie_pairs", "boundary", "targets", "repeats"])
+    return summary_of(users.join(runs, [*keys, "user_id"], "left").na.fill(0, ["tie_pairs", "boundary"]), targets, history)
+
+
+def summary_of(users: DataFrame, targets: DataFrame, history: DataFrame) -> DataFrame:
+    """As ``ranking_summary``, from counts by user: candidates, seen, unscored, hidden, returned, kept, tie_pairs, boundary."""
+    keys = ["merge", "scorer", "segment"]
+    seen = targets.select("user_id", "item").distinct().join(history.select("user_id", "item", F.lit(1).alias("s")).distinct(), ["user_id", "item"], "left")
+    per_target = seen.groupBy("user_id").agg(F.count("*").alias("targets"), F.count("s").alias("repeats"))
+    rows = users.join(per_target, "user_id", "left").na.fill(0, ["targets", "repeats"])
     pairs = F.col("kept") * (F.col("kept") - 1) / 2
     rate = lambda a, b: F.round(F.sum(a) / F.greatest(F.sum(b), F.lit(1)), 6)
     lost = F.col("seen") + F.col("unscored") + F.col("hidden")

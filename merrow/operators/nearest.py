@@ -20,7 +20,7 @@ from merrow.functions.storage import stored
 
 from .ids import build_sorted_ids
 
-HELD, AT_ONCE, BUCKETS, DIGITS = 4_000_000, 2_000_000, 4096, 9
+HELD, AT_ONCE, BUCKETS, DIGITS = 2_000_000, 1_000_000, 4096, 9
 PACKED = "users long, entries long, sizes binary, items binary, n binary"
 
 
@@ -79,7 +79,7 @@ def best_of(rows: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, n
 def numbered(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(names, numbers): items as small numbers in their order; where they lie close together, by their distance from the first."""
     low, high = (int(items.min()), int(items.max())) if len(items) else (0, 0)
-    if high - low < max(len(items), 1 << 24):
+    if high - low < max(len(items), 1 << 22):
         return np.arange(low, high + 1), items - low
     return np.unique(items, return_inverse=True)
 
@@ -113,6 +113,14 @@ def met_counts(sizes: np.ndarray, items: np.ndarray, n: np.ndarray, low: int | N
         yield names[a], names[b], co, users_of[a], users_of[b]
 
 
+def weights(counts: DataFrame) -> tuple[list[tuple[int, int]], int]:
+    """counts (item, n), distinct -> the first item and the sum of n of at most ``BUCKETS`` runs of items, and the whole sum."""
+    size = counts.agg(F.count("*").alias("items"), F.sum("n").alias("n")).first()
+    width = -(-max(1, size["items"]) // BUCKETS)
+    placed = counts.join(build_sorted_ids(counts, "item"), "item").groupBy(F.floor(F.col("idx") / width).alias("b"))
+    return [(r.low, r.n) for r in placed.agg(F.min("item").alias("low"), F.sum("n").alias("n")).orderBy("b").collect()], size["n"] or 0
+
+
 def cut(weights: list[tuple[int, int]], ranges: int) -> np.ndarray:
     """The first item of each range but the first: ranges of equal weight out of (first item, weight) in order."""
     ends = np.cumsum([w for _, w in weights])
@@ -179,17 +187,13 @@ def nearest(pairs: DataFrame, k: int, held: int = HELD) -> DataFrame:
         named = lambda c: ids.select(F.col("idx").alias(c), F.col("item").alias(f"_{c}"))
         return found.join(named("item"), "item").join(named("neighbor"), "neighbor").select(F.col("_item").alias("item"), F.col("_neighbor").alias("neighbor"), "sim", "rank")
     counts = stored(pairs.groupBy("item").agg(F.count("*").alias("n")), "counts")
-    placed = counts.join(build_sorted_ids(counts, "item"), "item")
-    size = counts.agg(F.count("*").alias("items"), F.sum("n").alias("pairs")).first()
-    width = -(-max(1, size["items"]) // BUCKETS)
-    buckets = placed.groupBy(F.floor(F.col("idx") / width).alias("b")).agg(F.min("item").alias("low"), F.sum("n").alias("n"))
-    weights = [(r.low, r.n) for r in buckets.orderBy("b").collect()]  # BUCKETS rows at most
+    found, total = weights(counts)
     folded = histories(pairs, counts)
-    choices = [cut(weights, 2 * spark.sparkContext.defaultParallelism)]
+    choices = [cut(found, 2 * spark.sparkContext.defaultParallelism)]
     slices: dict[int, int] = {}
-    if (size["pairs"] or 0) > held:
-        while len(choices[-1]) + 1 < BUCKETS and len(choices) < 12 and 2 * (len(choices[-1]) + 1) < len(weights):
-            choices.append(cut(weights, 2 * (len(choices[-1]) + 1)))
+    if total > held:
+        while len(choices[-1]) + 1 < BUCKETS and len(choices) < 12 and 2 * (len(choices[-1]) + 1) < len(found):
+            choices.append(cut(found, 2 * (len(choices[-1]) + 1)))
         found = loads(folded, choices)
         fit = next((c for c, x in enumerate(found) if max(x.values()) <= held), len(choices) - 1)
         choices, slices = [choices[fit]], {r: -(-x // held) for r, x in found[fit].items() if x > held}
