@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Mapping, Sequence
 
@@ -17,21 +18,27 @@ from .ids import build_sorted_ids
 def sample_triples(pairs: DataFrame, epoch: int, seed: int = 0, tries: int = 8) -> DataFrame:
     """(user_id, item, negative): for each positive pair the first of ``tries`` hash draws that the user has not seen.
 
-    Pairs none of whose draws is free take the first unseen item in index order, by way of the positions that the
-    user's history can cover; users who have seen everything are skipped.
+    Draws are made one at a time, the next one only for pairs whose last one is seen, and compared by index. Pairs none
+    of whose draws is free take the first unseen item in index order, by way of the positions that the user's history
+    can cover; users who have seen everything are skipped.
     """
-    items = build_sorted_ids(pairs, "item")
-    n = items.agg(F.count("*").alias("n_items"))
-    drawn = pairs.select("user_id", "item", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")).crossJoin(n)  # one row
-    drawn = drawn.withColumn("idx", draw(F.col("user_id"), F.col("item"), F.col("try"), F.lit(epoch), F.lit(seed)) % F.col("n_items"))
-    named = drawn.join(items.select("idx", F.col("item").alias("negative")), "idx")
-    seen = pairs.select("user_id", F.col("item").alias("negative"))
-    free = named.join(seen, ["user_id", "negative"], "left_anti").groupBy("user_id", "item").agg(F.min_by("negative", "try").alias("negative"))
-    left = pairs.join(free, ["user_id", "item"], "left_anti")
-    sizes = pairs.groupBy("user_id").agg(F.count("*").alias("h")).join(left.select("user_id").distinct(), "user_id")
-    places = sizes.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h"))).alias("idx")).join(items.select("idx", F.col("item").alias("negative")), "idx")
-    lowest = places.join(seen, ["user_id", "negative"], "left_anti").groupBy("user_id").agg(F.min_by("negative", "idx").alias("negative"))
-    return free.select("user_id", "item", "negative").unionByName(left.join(lowest, "user_id").select("user_id", "item", "negative"))
+    items = stored(build_sorted_ids(pairs, "item"), "indices")
+    n = items.count()
+    held = stored(pairs.select("user_id", "item").distinct().join(items, "item"), "held")
+    left, found = held.select("user_id", "item"), []
+    seen = held.select("user_id", "idx")
+    for t in range(tries):  # almost all pairs are done after the first draw
+        drawn = left.withColumn("idx", draw(F.col("user_id"), F.col("item"), F.lit(t), F.lit(epoch), F.lit(seed)) % n)
+        found.append(stored(drawn.join(seen, ["user_id", "idx"], "left_anti"), "free"))
+        left = stored(drawn.join(seen, ["user_id", "idx"], "left_semi").select("user_id", "item"), "left")
+        if left.isEmpty():
+            break
+    free = functools.reduce(DataFrame.unionByName, found) if found else held.where("false")
+    named = free.join(items.select("idx", F.col("item").alias("negative")), "idx").select("user_id", "item", "negative")
+    sizes = held.join(left.select("user_id").distinct(), "user_id", "left_semi")
+    places = sizes.groupBy("user_id").agg(F.count("*").alias("h")).select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h"))).alias("idx"))
+    lowest = places.join(seen, ["user_id", "idx"], "left_anti").groupBy("user_id").agg(F.min("idx").alias("idx")).join(items.select("idx", F.col("item").alias("negative")), "idx")
+    return named.unionByName(left.join(lowest, "user_id").select("user_id", "item", "negative"))
 
 
 def start(ids: DataFrame, key: str, dim: int, seed: int, scale: float = 0.1) -> DataFrame:
