@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def norm(column: Column | str) -> Column:
@@ -17,24 +20,39 @@ def norm(column: Column | str) -> Column:
 
 
 def l2_normalize(column: Column | str) -> Column:
-    """A zero vector stays as it is."""
-    length = norm(column)
-    return F.transform(column, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+    """A zero vector stays as it is. The length is a variable of the outer step, so it is taken once, not once an entry."""
+    scaled = lambda n: F.transform(column, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
+    return F.transform(F.array(norm(column)), scaled)[0]
 
 
 def hash_embed(docs: DataFrame, dim: int = 128, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Signed word counts in buckets by SHA-256, brought to length one; only aggregates, no Python."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.trim(F.lower(text_col)), r"\s+")).alias("w")).where("w <> ''")
-    digest = F.sha2("w", 256)
-    low_first = F.concat(*[F.substring(digest, i, 2) for i in (7, 5, 3, 1)])
-    bucket = F.pmod(F.conv(low_first, 16, 10).cast("long"), F.lit(dim)).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    counts = words.select("id", bucket.alias("bucket"), sign.alias("sign")).groupBy("id", "bucket").agg(F.sum("sign").alias("x"))
-    entries = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    out = docs.select(F.col(id_col).alias("id")).join(entries, "id", "left")
+    """Signed word counts in buckets by SHA-256, brought to length one.
+
+    A batch's different words are hashed once and its texts counted together; rows that share an id share their counts.
+    """
+    words = docs.select(F.col(id_col).alias("id"), F.split(F.trim(F.lower(text_col)), r"\s+").alias("words"))
+
+    def count(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            flat = lists.flatten().dictionary_encode()
+            digests = [hashlib.sha256(w.encode()).digest() for w in flat.dictionary.to_pylist()]
+            bucket = np.array([int.from_bytes(d[:4], "little") % dim for d in digests], np.int64)
+            sign = np.array([1 - 2 * (d[4] % 2) for d in digests], np.int64)
+            sign[np.array([w == "" for w in flat.dictionary.to_pylist()], bool)] = 0
+            codes = flat.indices.to_numpy()
+            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy())
+            sums = np.bincount(owner * dim + bucket[codes], sign[codes], len(lists) * dim)
+            offsets = pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(sums))], ["id", "counts"])
+
     zero = F.array_repeat(F.lit(0.0), dim)
-    return out.select(F.col("id").alias(id_col), l2_normalize(F.coalesce(dense, zero)).alias("vec"))
+    made = words.mapInArrow(count, T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("counts", T.ArrayType(T.DoubleType()))]))
+    held = made.groupBy("id").agg(F.collect_list("counts").alias("rows"))
+    total = F.when(F.size("rows") == 1, F.col("rows")[0]).otherwise(F.aggregate("rows", zero, lambda s, x: F.zip_with(s, x, lambda a, b: a + b)))
+    vec = l2_normalize(F.when(F.col("id").isNull(), zero).otherwise(total))
+    out = held.select("id", vec.alias("vec"), F.size("rows").alias("n"))
+    return out.select(F.col("id").alias(id_col), "vec", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select(id_col, "vec")
 
 
 def embed(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], dim: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
